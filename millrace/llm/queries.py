@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import packing, tokens
+from millrace.llm import packing, repeats, tokens
 from millrace.sources.tables import table
 
 #: Tokens that one container holds.
 CAPACITY = 2048
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.find(table(spark, folder, "chunks"), "vector_id", repeats.host_of(F.col("url")), "body")
+
+
+def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove(table(spark, folder, "chunks"), "vector_id", repeats.host_of(F.col("url")), "body")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -21,7 +30,7 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 
 def oracle_sql() -> dict[str, str]:
