@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, repeats, tokens
+from millrace.llm import distinctive, packing, repeats, similar, tokens
 from millrace.sources.tables import table
 
 #: Tokens that one container holds.
@@ -20,6 +20,27 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove(table(spark, folder, "chunks"), "vector_id", repeats.host_of(F.col("url")), "body")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = similar.pairs(table(spark, folder, "chunks"), "vector_id", "body", words=3, t=0.7, least=20)
+    return found.select(F.col("a").alias("vector_id_a"), F.col("b").alias("vector_id_b"))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return similar.classes(table(spark, folder, "chunks"), "vector_id", "body", words=5, t=0.8)
+
+
+def _terms(spark: SparkSession, folder: str, by: str) -> DataFrame:
+    return distinctive.best_terms(table(spark, folder, "chunks"), "vector_id", distinctive.joined("title", "heading_path", "body"), by)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _terms(spark, folder, "idf").select("vector_id", "term")
+
+
+def p6_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    return _terms(spark, folder, "entropy")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -30,8 +51,20 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_classes": p2_classes, "p6_found": p6_found, "p6_entropy": p6_entropy, "p7_ids": p7_ids, "p8_containers": p8_containers}
+
+
+_TERMS = """WITH one AS (SELECT vector_id, any_value(concat_ws(' ', coalesce(title, ''), coalesce(heading_path, ''), coalesce(body, ''))) AS x FROM chunks WHERE vector_id IS NOT NULL GROUP BY 1),
+tok AS (SELECT vector_id, unnest(regexp_extract_all(lower(x), '[a-z0-9]{2,}')) AS term FROM one),
+tf AS (SELECT vector_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
+n AS (SELECT count(*) AS n FROM one),
+st AS (SELECT term, count(*) AS df, sum(tf) AS gf, sum(tf * ln(tf)) AS s FROM tf GROUP BY 1),
+sc AS (SELECT vector_id, term, round(SCORE, 6) AS score FROM tf JOIN st USING (term), n WHERE df >= 2)
+SELECT COLUMNS_OUT FROM (SELECT *, row_number() OVER (PARTITION BY vector_id ORDER BY score DESC, term) AS k FROM sc) WHERE k = 1"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": _TERMS.replace("SCORE", "tf * ln(n / df)").replace("COLUMNS_OUT", "vector_id, term"),
+        "p6_entropy": _TERMS.replace("SCORE", "ln(1 + tf) * round(1 - (ln(gf) - s / gf) / ln(n), 9)").replace("COLUMNS_OUT", "vector_id, term, score"),
+    }
