@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import distinctive, packing, repeats, similar, tokens
+from millrace.llm import distinctive, packing, quality, repeats, similar, tokens
 from millrace.sources.tables import table
 
 #: Tokens that one container holds.
@@ -50,8 +50,20 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "doc_labels"), "kind", table(spark, folder, "common_words"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _quality(spark, folder).filter("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return _quality(spark, folder)
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_classes": p2_classes, "p6_found": p6_found, "p6_entropy": p6_entropy, "p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_classes": p2_classes, "p6_found": p6_found, "p6_entropy": p6_entropy, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 _TERMS = """WITH one AS (SELECT vector_id, any_value(concat_ws(' ', coalesce(title, ''), coalesce(heading_path, ''), coalesce(body, ''))) AS x FROM chunks WHERE vector_id IS NOT NULL GROUP BY 1),
