@@ -26,6 +26,8 @@ COUNTERS = 1 << 22
 BLOCK = 1 << 16
 #: Sequences estimated to be in at most RARE texts are compared alone, all others two by two in FRAGMENTS fragments.
 RARE, FRAGMENTS = 8, 8
+#: Parity bits that come with a set, and bits of the table of sets whose overlaps are counted.
+PARITY, MARKS = 256, 1 << 23
 #: Fragments in which overlaps are counted, and texts for each task that joins agreements.
 COUNTED, TEXTS_PER_TASK = 4, 40_000
 
@@ -124,9 +126,9 @@ def _signatures(doc: np.ndarray, x: np.ndarray, rank: np.ndarray, t: float):
 
 
 def _parity(doc: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
-    """128 bits for each text: each member flips one. Two sets' bits differ in no more places than the sets themselves."""
-    out = np.zeros((rows, 2), U)
-    bit = mix(x ^ U(0x5BF03635)) & U(127)
+    """PARITY bits for each text: each member flips one. Two sets' bits differ in no more places than the sets themselves."""
+    out = np.zeros((rows, PARITY // 64), U)
+    bit = mix(x ^ U(0x5BF03635)) & U(PARITY - 1)
     np.bitwise_xor.at(out, (doc, (bit >> U(6)).astype(np.int64)), U(1) << (bit & U(63)))
     return out
 
@@ -137,7 +139,7 @@ def _join_fragment(tbl: pa.Table, t: float) -> pa.Table:
     for row in tbl.to_pylist():
         sets.append(np.frombuffer(row["sets"], "<u8"))
         sizes.append(np.frombuffer(row["sizes"], "<u4"))
-        bits.append(np.frombuffer(row["bits"], "<u8").reshape(-1, 2))
+        bits.append(np.frombuffer(row["bits"], "<u8").reshape(-1, PARITY // 64))
         high, low = np.frombuffer(row["high"], "<u4"), np.frombuffer(row["low"], "<u2")
         sigs.append((high.astype(U) << U(16)) | low)
         docs.append(np.frombuffer(row["docs"], "<u2").astype(np.int64) + at)
@@ -214,6 +216,35 @@ def _candidates(df: DataFrame, text: str, words: int, t: float, least: int) -> D
     return blobs.repartition(tasks, "task").groupBy("task").applyInArrow(lambda tbl: _join_fragment(tbl, t), "a long, b long").distinct()
 
 
+def _mark(sets: np.ndarray) -> np.ndarray:
+    return (sets >> U(64 - int(math.log2(MARKS)))).astype(np.int64)
+
+
+def _marks(sets: DataFrame) -> np.ndarray:
+    """A table of MARKS bits in which each set's bit is set. Other sets may share a bit; what they cost is time only."""
+
+    def mark(batches):
+        bits = np.zeros(MARKS // 8, np.uint8)
+        for batch in batches:
+            m = _mark(batch.column(0).to_numpy().view(U))
+            np.bitwise_or.at(bits, m >> 3, (1 << (m & 7)).astype(np.uint8))
+        some = [(k // BLOCK, bits[k : k + BLOCK].tobytes()) for k in range(0, len(bits), BLOCK) if bits[k : k + BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())], ["block", "bits"])
+
+    def join(batches):
+        all_: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                all_[k] = np.frombuffer(b, np.uint8) | all_.get(k, np.uint8(0))
+        yield pa.RecordBatch.from_arrays([pa.array(list(all_), pa.int32()), pa.array([x.tobytes() for x in all_.values()], pa.binary())], ["block", "bits"])
+
+    rows = sets.mapInArrow(mark, "block int, bits binary").repartition("block").mapInArrow(join, "block int, bits binary").toArrow()
+    out = np.zeros(MARKS // 8, np.uint8)
+    for k, b in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(b, np.uint8)
+    return out
+
+
 def similar(df: DataFrame, key: str, text: str, words: int = 5, t: float = 0.8, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """Members (key, set, n) and links (a, b, overlap, n_a, n_b).
 
@@ -233,20 +264,22 @@ def similar(df: DataFrame, key: str, text: str, words: int = 5, t: float = 0.8,
 
     kind = T.StructField("key", df.schema[key].dataType)
     members = cut(own.mapInArrow(member, T.StructType([kind, T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType())])).distinct())
-    needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    chosen = members.join(needed, "set").groupBy("set").agg(F.min("key").alias("key"))
+    marks = broadcast_value(df.sparkSession, _marks(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))))
 
     def fragments(batches):
         for batch in batches:
             for part in pieces(batch, 0):
                 doc, x, sets, sizes = _sets(part.column(0), words, least)
+                m = _mark(sets)[doc]
+                k = (marks.value[m >> 3] >> (m & 7)) & 1 == 1
+                doc, x = doc[k], x[k]
                 fragment = (x >> U(64 - int(math.log2(COUNTED)))).astype(np.int64)
                 at = run_starts(doc, fragment)
                 ends = pa.array([*at, len(doc)], pa.int32())
                 of = doc[at]
                 yield pa.RecordBatch.from_arrays([pa.array(sets[of].view(np.int64)), pa.array(sizes[of], pa.int32()), pa.array(fragment[at], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64)))], ["set", "n", "fragment", "x"])
 
-    parts = own.join(chosen.select("key").distinct(), "key", "left_semi").select("text").mapInArrow(fragments, "set long, n int, fragment int, x array<long>").dropDuplicates(["set", "fragment"])
+    parts = own.select("text").mapInArrow(fragments, "set long, n int, fragment int, x array<long>").dropDuplicates(["set", "fragment"])
     parts = cut(parts)
     a = parts.select(F.col("set").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("x").alias("x"))
     b = parts.select(F.col("set").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("x").alias("y"))
