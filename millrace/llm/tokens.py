@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import importlib.util
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary in a Python worker, so that what it has learnt serves later tasks."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+        gc.freeze()
+        gc.set_threshold(200_000, 50, 50)  # states are many small tuples without cycles
     return _ENCODERS[path]
 
 
@@ -46,7 +50,7 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataF
         for batch in batches:
             ids = [one(x) for x in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(ends[-1]))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], [key, "ids"])
 
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
