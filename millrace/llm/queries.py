@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import distinctive, packing, quality, repeats, similar, tokens
+from millrace.llm import distinctive, packing, personal, quality, repeats, similar, tokens
 from millrace.sources.tables import table
 
 #: Tokens that one container holds.
@@ -29,6 +29,22 @@ def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     return similar.classes(table(spark, folder, "chunks"), "vector_id", "body", words=5, t=0.8)
 
 
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct questions of the log and of the saved conversations, each with its place."""
+    log = table(spark, folder, "query_log").select(F.lit("query_log").alias("source_name"), F.col("id").cast("string").alias("row_key"), F.lit(0).alias("turn_no"), F.col("query").alias("text"))
+    turns = table(spark, folder, "chat_sessions").select(F.lit("chat_sessions").alias("source_name"), F.col("id").alias("row_key"), F.posexplode("turns.question").alias("turn_no", "text"))
+    return log.unionByName(turns).filter("text is not null").distinct()
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.find(_questions(spark, folder), "text")
+    return found.select("source_name", "row_key", "turn_no", F.explode("pieces").alias("p")).select("source_name", "row_key", "turn_no", "p.kind", "p.start_pos").distinct()
+
+
+def p5_masked(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.mask(_questions(spark, folder), "text").select("source_name", "row_key", "turn_no", "masked")
+
+
 def _terms(spark: SparkSession, folder: str, by: str) -> DataFrame:
     return distinctive.best_terms(table(spark, folder, "chunks"), "vector_id", distinctive.joined("title", "heading_path", "body"), by)
 
@@ -63,7 +79,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_classes": p2_classes, "p6_found": p6_found, "p6_entropy": p6_entropy, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_classes": p2_classes, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p6_entropy": p6_entropy, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 _TERMS = """WITH one AS (SELECT vector_id, any_value(concat_ws(' ', coalesce(title, ''), coalesce(heading_path, ''), coalesce(body, ''))) AS x FROM chunks WHERE vector_id IS NOT NULL GROUP BY 1),
