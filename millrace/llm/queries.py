@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import distinctive, packing, personal, quality, repeats, similar, tokens
-from millrace.sources.tables import table
+from millrace.llm import boilerplate, distinctive, packing, personal, quality, repeats, similar, tokens
+from millrace.sources.tables import one_of_each, table
 
 #: Tokens that one container holds.
 CAPACITY = 2048
@@ -29,6 +29,11 @@ def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     return similar.classes(table(spark, folder, "chunks"), "vector_id", "body", words=5, t=0.8)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = one_of_each(table(spark, folder, "pages_raw").select("fetch_id", "html"), "fetch_id")
+    return boilerplate.main_blocks(pages, "fetch_id", "html").select("fetch_id", F.md5(F.encode("text", "UTF-8")).alias("block_md5")).distinct()
+
+
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct questions of the log and of the saved conversations, each with its place."""
     log = table(spark, folder, "query_log").select(F.lit("query_log").alias("source_name"), F.col("id").cast("string").alias("row_key"), F.lit(0).alias("turn_no"), F.col("query").alias("text"))
@@ -79,7 +84,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_classes": p2_classes, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p6_entropy": p6_entropy, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p6_entropy": p6_entropy, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 _TERMS = """WITH one AS (SELECT vector_id, any_value(concat_ws(' ', coalesce(title, ''), coalesce(heading_path, ''), coalesce(body, ''))) AS x FROM chunks WHERE vector_id IS NOT NULL GROUP BY 1),
