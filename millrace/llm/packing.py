@@ -65,7 +65,7 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, nearly: float = 0.99
     as are needed for per_task containers each, so no task grows with the data. Only underfull containers move, by
     number and size. Containers are numbered at the end without collecting them.
     """
-    own = df.select(F.col(key).alias("item"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
+    own = cut(df.select(F.col(key).alias("item"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n")))
     pieces = own.select("item", F.posexplode(F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("long")), lambda k: F.least(F.lit(capacity), F.col("n") - k * capacity))).otherwise(F.array(F.lit(0).cast("long")))).alias("piece", "size"))
     # random bin names are made once and written, so a lost task can't name them anew
     packed = cut(_round(pieces.filter("size > 0"), capacity))
