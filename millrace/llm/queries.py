@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import boilerplate, distinctive, packing, personal, quality, repeats, similar, tokens
+from millrace.llm import bisecting, boilerplate, components, distinctive, packing, personal, quality, repeats, similar, tokens
 from millrace.sources.tables import one_of_each, table
 
 #: Tokens that one container holds.
@@ -34,6 +34,26 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.main_blocks(pages, "fetch_id", "html").select("fetch_id", F.md5(F.encode("text", "UTF-8")).alias("block_md5")).distinct()
 
 
+def _low_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct logged questions that scored low."""
+    log = table(spark, folder, "query_log").select("id", "query", "top_score")
+    return one_of_each(log.filter("top_score < 0.45 and query is not null"), "id")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    members, links = similar.similar(_low_questions(spark, folder), "id", "query", words=1, t=0.5, least=4)
+    low = members.groupBy("set").agg(F.min("key").alias("k"), F.count("*").alias("c"))
+    name = low.select("set", "k")
+    ends = links.select("a", "b").join(name.withColumnsRenamed({"set": "a", "k": "ka"}), "a").join(name.withColumnsRenamed({"set": "b", "k": "kb"}), "b")
+    found = components.components(ends, "ka", "kb")
+    own = low.join(found, F.col("k") == F.col("id"), "left").filter("c > 1 or component is not null").select("set", F.coalesce("component", "k").alias("cluster_id"))
+    return members.join(own, "set").select("cluster_id", F.col("key").alias("id"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return bisecting.groups(_low_questions(spark, folder), "id", "query")
+
+
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct questions of the log and of the saved conversations, each with its place."""
     log = table(spark, folder, "query_log").select(F.lit("query_log").alias("source_name"), F.col("id").cast("string").alias("row_key"), F.lit(0).alias("turn_no"), F.col("query").alias("text"))
@@ -84,7 +104,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p6_entropy": p6_entropy, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p6_entropy": p6_entropy, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 _TERMS = """WITH one AS (SELECT vector_id, any_value(concat_ws(' ', coalesce(title, ''), coalesce(heading_path, ''), coalesce(body, ''))) AS x FROM chunks WHERE vector_id IS NOT NULL GROUP BY 1),

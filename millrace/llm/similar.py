@@ -99,7 +99,8 @@ def _signatures(doc: np.ndarray, x: np.ndarray, rank: np.ndarray, t: float):
     Let two sets of sizes n and m have an overlap of at least a = ceil(t * n). With members in one order, if they share
     no rare member, the n - r others of the first, r of its being rare, still hold the whole overlap; so its first
     n - r - a + FRAGMENTS + 1 others hold at least FRAGMENTS + 1 shared ones, and two of them lie in one fragment. Of
-    the rare ones, the first n - a + 1 do.
+    the rare ones, the first n - a + 1 do. Where the overlap may be as small as FRAGMENTS, the first n - a + 1 members
+    are compared alone; sets that may have partners of either kind give signatures of both kinds.
     """
     order = np.lexsort((x, rank, doc))
     doc, x, rank = doc[order], x[order], rank[order]
@@ -107,10 +108,13 @@ def _signatures(doc: np.ndarray, x: np.ndarray, rank: np.ndarray, t: float):
     size = np.diff([*first, len(doc)])
     n, place = np.repeat(size, size), np.arange(len(doc)) - np.repeat(first, size)
     need = np.ceil(t * n - 1e-9).astype(np.int64)
+    least_partner, most_partner = need, np.floor(n / t + 1e-9)
+    small = np.ceil(t * least_partner - 1e-9) <= FRAGMENTS
+    large = np.ceil(t * most_partner - 1e-9) > FRAGMENTS
     rare = rank <= int(12 * math.log2(RARE + 1))
     rares = np.repeat(np.add.reduceat(rare, first, dtype=np.int64), size) if len(first) else n
-    alone = rare & (place <= n - need)
-    others = ~rare & (n - rares >= need) & (place < n - need + FRAGMENTS + 1)
+    alone = (rare | small) & (place <= n - need)
+    others = large & ~rare & (n - rares >= need) & (place - rares < n - rares - need + FRAGMENTS + 1)
     d, y = doc[others], x[others]
     fragment = mix(y) % U(FRAGMENTS)
     order = np.lexsort((y, fragment, d))
