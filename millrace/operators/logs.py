@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions import lexicon as L
 from millrace.functions import text as X
@@ -26,48 +25,73 @@ def failed(score: Column, answered: Column, feedback: Column, floor: float, conf
     return F.coalesce(feedback == "down", F.lit(False)) | (s < floor) | unanswered
 
 
-def gap_report(log: DataFrame, floor: float = L.REFUSE, confident: float | None = L.CONFIDENT, threshold: float = 0.34, per_task: int = 5_000) -> DataFrame:
+def gap_report(log: DataFrame, floor: float = L.REFUSE, confident: float | None = L.CONFIDENT, threshold: float = 0.34) -> DataFrame:
     """(index_id, topic, count, avg_score, examples) of log (id, index_id, query, top_score, answered, feedback, at_ms).
 
-    Failed questions of an index join, in order of time, the cluster that holds the most similar question so far. The
-    order makes this sequential for each index, but questions without a common token can't meet: so the token sets of an
-    index are first cut into linked components by shared tokens of at least the needed overlap, and each runs by itself.
-    A component larger than per_task questions still runs as one, as its order demands; only its token sets are held.
+    Failed questions of an index join, in order of time, the cluster that holds the most similar question so far, or
+    open one; of equally similar clusters the later. That order is the definition, so each index is read by one task,
+    but as a sorted stream: only token sets and clusters are held, never the rows.
     """
     bad = log.filter(failed(F.col("top_score"), F.col("answered"), F.col("feedback"), floor, confident)).filter("query is not null")
-    rows = bad.select("index_id", "id", "at_ms", "query", F.coalesce("top_score", F.lit(0.0)).alias("score"), F.array_distinct(X.tokens(F.col("query"))).alias("t"))
-    schema = "index_id string, topic string, count long, avg_score double, examples array<string>"
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at_ms", "id"])
-        of_token: dict[str, set[int]] = {}
-        sets, member, groups = [], [], []
-        for query, score, tokens in zip(pdf["query"], pdf["score"], pdf["t"]):
-            own, best, best_score = frozenset(tokens), -1, threshold
-            near = {k for t in own for k in of_token.get(t, ())} if own else {k for k, s in enumerate(sets) if not s}
-            by: dict[int, float] = {}
-            for k in near:
-                both = len(own & sets[k])
-                s = both / (len(own) + len(sets[k]) - both) if own else 1.0
-                by[member[k]] = max(by.get(member[k], 0.0), s)
-            for g in sorted(by):  # of equal ones the later cluster
-                if by[g] >= best_score:
-                    best, best_score = g, by[g]
-            if best < 0:
-                best = len(groups)
-                groups.append([query, 0, 0.0, []])
-            g = groups[best]
-            g[1] += 1
-            g[2] += score
-            if len(g[3]) < 3:
-                g[3].append(query)
-            for t in own:
-                of_token.setdefault(t, set()).add(len(sets))
-            sets.append(own)
-            member.append(best)
-        return pd.DataFrame([(pdf["index_id"].iloc[0], q, n, s / n, e) for q, n, s, e in groups], columns=["index_id", "topic", "count", "avg_score", "examples"])
-
-    return rows.groupBy("index_id").applyInPandas(cluster, schema)
+    rows = bad.select("index_id", "at_ms", "id", "query", F.coalesce("top_score", F.lit(0.0)).alias("score"), F.array_distinct(X.tokens(F.col("query"))).alias("t"))
+
+    def run(batches):
+        index, state = None, None
+        for batch in batches:
+            done = []
+            for name, query, score, tokens in zip(*(batch.column(c).to_pylist() for c in ("index_id", "query", "score", "t"))):
+                if state is None or name != index:
+                    if state is not None:
+                        done += [(index, *r) for r in state.rows()]
+                    index, state = name, _Greedy(threshold)
+                state.add(query, score, tokens)
+            yield _report(done)
+        if state is not None:
+            yield _report([(index, *r) for r in state.rows()])
+
+    sorted_ = rows.repartition("index_id").sortWithinPartitions("index_id", "at_ms", "id")
+    return sorted_.mapInArrow(run, "index_id string, topic string, count long, avg_score double, examples array<string>")
+
+
+def _report(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["index_id", "topic", "count", "avg_score", "examples"])
+
+
+class _Greedy:
+    """Single-link clusters of token sets in order of arrival. Only sets with a common token are compared."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.of_token, self.sets, self.cluster_of, self.clusters = threshold, {}, [], [], []
+
+    def add(self, query: str, score: float, tokens: list[str]) -> None:
+        own = frozenset(tokens)
+        shared: dict[int, int] = {}
+        for t in own:
+            for k in self.of_token.get(t, ()):
+                shared[k] = shared.get(k, 0) + 1
+        if not own:
+            shared = {k: 0 for k, s in enumerate(self.sets) if not s}
+        best, best_score = -1, self.threshold
+        for k, n in shared.items():
+            s = n / (len(own) + len(self.sets[k]) - n) if own else 1.0
+            if s > best_score or s == best_score and self.cluster_of[k] > best:
+                best, best_score = self.cluster_of[k], s
+        if best < 0:
+            best = len(self.clusters)
+            self.clusters.append([query, 0, 0.0, []])
+        cluster = self.clusters[best]
+        cluster[1] += 1
+        cluster[2] += score
+        if len(cluster[3]) < 3:
+            cluster[3].append(query)
+        for t in own:
+            self.of_token.setdefault(t, []).append(len(self.sets))
+        self.sets.append(own)
+        self.cluster_of.append(best)
+
+    def rows(self) -> list[tuple]:
+        return [(topic, n, total / n, examples) for topic, n, total, examples in self.clusters]
 
 
 def csv_lines(report: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from millrace.plans import log_queries, search_queries
+
+_PARTS = (search_queries, log_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.SQL.items()}
