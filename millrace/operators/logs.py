@@ -125,7 +125,7 @@ def spend(usage: DataFrame, rates: DataFrame) -> DataFrame:
     """
     cost = (F.col("prompt_tokens") * F.col("per_prompt") + F.col("completion_tokens") * F.col("per_completion")) / 1e6
     priced = usage.join(rates, "model", "left").select(F.to_date("at").alias("day"), "model", "prompt_tokens", "completion_tokens", "estimated", cost.alias("cost"))
-    return priced.rollup("day", "model").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.count("*").alias("calls"), F.round(F.sum("cost"), 6).alias("cost"), F.coalesce(F.bool_or("estimated"), F.lit(False)).alias("estimated"), F.coalesce(F.bool_or(F.col("cost").isNull()), F.lit(False)).alias("partial"))
+    return priced.rollup("day", "model").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.count("*").alias("calls"), F.sum("cost").alias("cost"), F.coalesce(F.bool_or("estimated"), F.lit(False)).alias("estimated"), F.coalesce(F.bool_or(F.col("cost").isNull()), F.lit(False)).alias("partial"))
 
 
 def usage_of(replies: DataFrame, body: str) -> DataFrame:

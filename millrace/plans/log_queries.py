@@ -114,7 +114,7 @@ def _usage(spark, d):
 
 def spend_rollup(spark, d):
     rates = spark.createDataFrame([("view", 1.0, 4.0), ("click", 2.0, 8.0), ("purchase", 0.5, 1.5)], "model string, per_prompt double, per_completion double")
-    return G.spend(_usage(spark, d), rates).withColumns({"day": F.col("day").cast("string"), "cost": F.round("cost", 4)})
+    return G.spend(_usage(spark, d), rates).withColumns({"day": F.col("day").cast("string"), "cost": F.round(F.col("cost") + 1e-9, 4)})
 
 
 def cache_eviction(spark, d):
@@ -237,7 +237,7 @@ SQL = {
     "failed_queries": f"WITH {_LOG} SELECT index_id, count(*) AS n, round(avg(coalesce(top_score, 0)), 6) AS avg_score FROM l WHERE {_FAILED} GROUP BY 1",
     "pick_priors": f"WITH {_LOG}, {_PRIORS} SELECT index_id, url, term, seen, picks, last_at FROM kn",
     "prior_boost": f"WITH {_LOG}, {_PRIORS}, a AS (SELECT id AS qid, index_id, {_telling('query')} AS tl FROM l WHERE id % 100 = 0 AND query IS NOT NULL), ax AS (SELECT qid, index_id, len(tl) AS n, unnest(tl) AS term FROM a), h AS (SELECT qid, url, n, last_at, sum(least(1.0, seen / 3)) AS e FROM ax JOIN kn USING (index_id, term) GROUP BY ALL) SELECT qid, url, round(1 + e / n * pow(2, -greatest(0, ({NOW} - last_at) / 86400000.0) / 30) * 0.12, 6) AS boost FROM h",
-    "spend_rollup": "WITH r(model, a, b) AS (VALUES ('view', 1.0, 4.0), ('click', 2.0, 8.0), ('purchase', 0.5, 1.5)), u AS (SELECT ts::DATE AS day, event_type AS model, floor(coalesce(value, 0))::BIGINT AS p, event_id % 100 AS c, user_id % 7 = 0 AS est FROM events), x AS (SELECT u.*, (p * a + c * b)::DOUBLE / 1e6 AS cost FROM u LEFT JOIN r USING (model)) SELECT x.day::VARCHAR AS day, model, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens, count(*) AS calls, round(sum(cost), 4) AS cost, coalesce(bool_or(est), false) AS estimated, bool_or(cost IS NULL) AS partial FROM x GROUP BY ROLLUP (x.day, model)",
+    "spend_rollup": "WITH r(model, a, b) AS (VALUES ('view', 1.0, 4.0), ('click', 2.0, 8.0), ('purchase', 0.5, 1.5)), u AS (SELECT ts::DATE AS day, event_type AS model, floor(coalesce(value, 0))::BIGINT AS p, event_id % 100 AS c, user_id % 7 = 0 AS est FROM events), x AS (SELECT u.*, (p * a + c * b)::DOUBLE / 1e6 AS cost FROM u LEFT JOIN r USING (model)) SELECT x.day::VARCHAR AS day, model, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens, count(*) AS calls, round(sum(cost) + 1e-9, 4) AS cost, coalesce(bool_or(est), false) AS estimated, bool_or(cost IS NULL) AS partial FROM x GROUP BY ROLLUP (x.day, model)",
     "cache_eviction": f"WITH {_LOG}, e AS (SELECT id, index_id, at_ms FROM l WHERE answered) SELECT * FROM e WHERE (SELECT max(at_ms) FROM e) - at_ms <= {30 * G.DAY} QUALIFY row_number() OVER (PARTITION BY index_id ORDER BY at_ms DESC, id) <= 50",
     "chat_sessions_latest": f"WITH {_TURNS} SELECT id, index_id, updated_at, len(turns) AS n_turns FROM s",
     "chat_sessions_kept": f"WITH {_TURNS} SELECT id, updated_at FROM s ORDER BY updated_at DESC, id LIMIT 50",
