@@ -15,14 +15,14 @@ from millrace.operators import extract as H
 from millrace.operators import render as V
 from millrace.plans import log_queries as Q
 from millrace.plans import search_queries as S
-from millrace.sources.tables import one_of_each, table
+from millrace.sources.tables import one_of_each, spread, table
 from millrace.streaming import state as ST
 
 INCLUDE, EXCLUDE = ["*/docs/*", "*/articles/*", "*/kb/*", "*/hc/*"], ["*/integrations/*", "*?utm_*"]
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return one_of_each(table(spark, d, "pages_raw"), "fetch_id")
+    return spread(one_of_each(table(spark, d, "pages_raw"), "fetch_id"))
 
 
 def canonical_urls(spark, d):

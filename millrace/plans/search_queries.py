@@ -14,11 +14,19 @@ from millrace.operators import articles as A
 from millrace.operators import decide as D
 from millrace.operators import evaluate as E
 from millrace.operators import search as S
-from millrace.sources.tables import one_of_each, table
+from millrace.session import cut
+from millrace.sources.tables import one_of_each, spread, table
+
+
+
+def _fields() -> dict:
+    """Fields of a chunk by the names that weights use."""
+    return {"title": F.col("title"), "section": F.col("heading_path"), "content": F.col("body")}
+
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return one_of_each(table(spark, d, "chunks"), "vector_id")
+    return spread(one_of_each(table(spark, d, "chunks"), "vector_id"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -40,12 +48,13 @@ def term_stats(spark, d):
 
 
 def _bm25(spark, d, k=10):
-    return S.bm25(S.index(chunks(spark, d), "vector_id", {"content": F.col("text")}), _terms(spark, d), k)
+    terms = _terms(spark, d)
+    return S.bm25(S.index(chunks(spark, d), "vector_id", {"content": F.col("text")}, terms), terms, k)
 
 
 def _fielded(spark, d, k):
-    idx = S.index(chunks(spark, d), "vector_id", {"title": F.col("title"), "section": F.col("heading_path"), "content": F.col("body")})
-    return S.bm25(idx, _terms(spark, d), k, L.FIELDS, L.FIELD_DEPTH)
+    terms = _terms(spark, d)
+    return S.bm25(S.index(chunks(spark, d), "vector_id", _fields(), terms), terms, k, L.FIELDS, L.FIELD_DEPTH)
 
 
 def _out(df, *more):
@@ -69,9 +78,9 @@ def cosine_topk(spark, d):
     return _out(_cosine(spark, d, L.TOP_K))
 
 
-def _lists(spark, d):
+def _lists(spark, d, sparse=None):
     dense = _cosine(spark, d, L.TOP_K).select("qid", F.lit("dense").alias("list"), "id", "score", "rank")
-    sparse = _fielded(spark, d, L.TOP_K).select("qid", F.lit("sparse").alias("list"), "id", "score", "rank")
+    sparse = (_fielded(spark, d, L.TOP_K) if sparse is None else sparse).select("qid", F.lit("sparse").alias("list"), "id", "score", "rank")
     return dense.unionByName(sparse)
 
 
@@ -83,22 +92,21 @@ def hybrid_search(spark, d):
     return _out(S.weighted_fusion(_lists(spark, d), {"dense": L.DENSE, "sparse": L.SPARSE}))
 
 
-def _feedback(spark, d):
+def _feedback(spark, d, sparse):
     texts = chunks(spark, d).select(F.col("vector_id").alias("id"), "text")
-    return S.feedback_terms(_fielded(spark, d, L.TOP_K), texts, _terms(spark, d))
+    return S.feedback_terms(sparse, texts, _terms(spark, d))
 
 
 def rm3_terms(spark, d):
-    return _feedback(spark, d)
+    return _feedback(spark, d, cut(_fielded(spark, d, L.TOP_K)))
 
 
 def hybrid_search_rm3(spark, d):
-    idx = S.index(chunks(spark, d), "vector_id", {"title": F.col("title"), "section": F.col("heading_path"), "content": F.col("body")})
-    terms = _terms(spark, d)
-    more = _feedback(spark, d).select("qid", "term").persist()
-    wide = terms.join(more.select("qid").distinct(), "qid", "left_semi").unionByName(more)
-    expanded = S.bm25(idx, wide, L.TOP_K, L.FIELDS, L.FIELD_DEPTH).select("qid", F.lit("expanded").alias("list"), "id", "score", "rank")
-    return _out(S.weighted_fusion(_lists(spark, d).unionByName(expanded), {"dense": L.DENSE, "sparse": L.SPARSE, "expanded": L.EXPANDED}))
+    sparse = cut(_fielded(spark, d, L.TOP_K))
+    more = cut(_feedback(spark, d, sparse).select("qid", "term"))
+    wide = _terms(spark, d).join(more.select("qid").distinct(), "qid", "left_semi").unionByName(more)
+    expanded = S.bm25(S.index(chunks(spark, d), "vector_id", _fields(), wide), wide, L.TOP_K, L.FIELDS, L.FIELD_DEPTH).select("qid", F.lit("expanded").alias("list"), "id", "score", "rank")
+    return _out(S.weighted_fusion(_lists(spark, d, sparse).unionByName(expanded), {"dense": L.DENSE, "sparse": L.SPARSE, "expanded": L.EXPANDED}))
 
 
 def retrieve(spark, d):
@@ -108,11 +116,11 @@ def retrieve(spark, d):
 
 def _ranked_chunks(spark, d):
     """Fielded results with page and place."""
-    return _fielded(spark, d, L.TOP_K).join(chunks(spark, d).select(F.col("vector_id").alias("id"), "url", "chunk_pos"), "id").withColumnRenamed("id", "vector_id")
+    return cut(_fielded(spark, d, L.TOP_K)).join(chunks(spark, d).select(F.col("vector_id").alias("id"), "url", "chunk_pos"), "id").withColumnRenamed("id", "vector_id")
 
 
 def section_boost(spark, d):
-    found = _fielded(spark, d, L.TOP_K).join(chunks(spark, d).select(F.col("vector_id").alias("id"), "url"), "id")
+    found = cut(_fielded(spark, d, L.TOP_K)).join(chunks(spark, d).select(F.col("vector_id").alias("id"), "url"), "id")
     current = found.filter("rank = 0").select("qid", F.col("url").alias("current"))
     scaled = S.min_max(found.withColumn("list", F.lit("sparse"))).join(current, "qid")
     return _out(S.ranked(S.boosted(scaled, [F.when(R.same_section(F.col("url"), F.col("current")), F.lit(L.SECTION_BOOST))]), L.TOP_K, ["qid"]))
@@ -158,7 +166,8 @@ def recall_hit_mrr(spark, d):
     """Known-item questions: each chunk's own title of every hundredth id, all chunks with that title being relevant."""
     c = chunks(spark, d)
     asked = c.filter("vector_id % 100 = 0 and title is not null").select(F.col("vector_id").alias("qid"), F.col("title").alias("query"))
-    found = S.bm25(S.index(c, "vector_id", {"content": F.col("text")}), S.query_terms(asked, "qid", F.col("query")), L.TOP_K)
+    terms = S.query_terms(asked, "qid", F.col("query"))
+    found = S.bm25(S.index(c, "vector_id", {"content": F.col("text")}, terms), terms, L.TOP_K)
     relevant = asked.join(c.select("vector_id", "title"), F.col("query") == F.col("title")).select("qid", F.col("vector_id").alias("id"))
     return E.summary(E.ranks(found.select("qid", "id", "rank"), relevant))
 

@@ -20,3 +20,9 @@ def one_of_each(df: DataFrame, key: str) -> DataFrame:
     again = df.groupBy(key).count().filter("count > 1").select(key)
     once = df.join(again, key, "left_anti").filter(F.col(key).isNotNull())
     return once.unionByName(df.join(again, key, "left_semi").dropDuplicates([key]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores, over all cores, before much work on each row; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
