@@ -87,7 +87,7 @@ def query_plans(spark, d):
 
 def failed_queries(spark, d):
     bad = G.failed(F.col("top_score"), F.col("answered"), F.col("feedback"), 0.45, 0.7)
-    return log(spark, d).filter(bad).groupBy("index_id").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("top_score", F.lit(0.0))), 6).alias("avg_score"))
+    return log(spark, d).filter(bad).groupBy("index_id").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("top_score", F.lit(0.0))), 6).alias("total_score"))
 
 
 def gap_report(spark, d):
@@ -234,7 +234,7 @@ SQL = {
     "pii_mask": f"WITH {_LOG} SELECT id, {_masked()} AS masked, {_masked(L.EGRESS)} AS egress FROM l WHERE query IS NOT NULL",
     "intents": f"WITH {_LOG}, x AS (SELECT id, query, {_PLAIN} AS p FROM l WHERE query IS NOT NULL), y AS (SELECT *, len(string_split(p, ' ')) <= 4 AND NOT contains(query, '?') AS small FROM x) SELECT id, CASE WHEN small AND p IN ({_list(L.GREETINGS)}) THEN 'greeting' WHEN small AND p IN ({_list(L.THANKS)}) THEN 'thanks' WHEN small AND p IN ({_list(L.FAREWELLS)}) THEN 'farewell' WHEN small AND p IN ({_list(L.ACKNOWLEDGEMENTS)}) THEN 'acknowledgement' ELSE 'question' END AS intent FROM y",
     "follow_up": f"WITH {_TURNS}, a AS (SELECT id, turn_no, question, lag(question) OVER (PARTITION BY id ORDER BY turn_no) AS before FROM t WHERE question IS NOT NULL), b AS (SELECT *, {TOK.format('question')} AS tk, regexp_replace(lower(question), '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g') AS low, {_telling('before')} AS tel FROM a), c AS (SELECT *, before IS NOT NULL AND len(tk) > 0 AND (len(list_filter([{_list(L.FOLLOW_UP_OPENERS)}], lambda o: starts_with(low, o || ' '))) > 0 OR (len(tk) < 6 AND list_has_any(tk, [{_list(L.REFERENTIAL)}]))) AS leans, list_slice(list_filter(tel, lambda x: NOT list_contains(tk, x)), 1, 4) AS extra FROM b) SELECT id, turn_no, CASE WHEN leans AND len(extra) > 0 THEN question || ' ' || array_to_string(extra, ' ') ELSE question END AS search FROM c",
-    "failed_queries": f"WITH {_LOG} SELECT index_id, count(*) AS n, round(avg(coalesce(top_score, 0)), 6) AS avg_score FROM l WHERE {_FAILED} GROUP BY 1",
+    "failed_queries": f"WITH {_LOG} SELECT index_id, count(*) AS n, round(sum(coalesce(top_score, 0)), 6) AS total_score FROM l WHERE {_FAILED} GROUP BY 1",
     "pick_priors": f"WITH {_LOG}, {_PRIORS} SELECT index_id, url, term, seen, picks, last_at FROM kn",
     "prior_boost": f"WITH {_LOG}, {_PRIORS}, a AS (SELECT id AS qid, index_id, {_telling('query')} AS tl FROM l WHERE id % 100 = 0 AND query IS NOT NULL), ax AS (SELECT qid, index_id, len(tl) AS n, unnest(tl) AS term FROM a), h AS (SELECT qid, url, n, last_at, sum(least(1.0, seen / 3)) AS e FROM ax JOIN kn USING (index_id, term) GROUP BY ALL) SELECT qid, url, round(1 + e / n * pow(2, -greatest(0, ({NOW} - last_at) / 86400000.0) / 30) * 0.12, 6) AS boost FROM h",
     "spend_rollup": "WITH r(model, a, b) AS (VALUES ('view', 1.0, 4.0), ('click', 2.0, 8.0), ('purchase', 0.5, 1.5)), u AS (SELECT ts::DATE AS day, event_type AS model, floor(coalesce(value, 0))::BIGINT AS p, event_id % 100 AS c, user_id % 7 = 0 AS est FROM events), x AS (SELECT u.*, (p * a + c * b)::DOUBLE / 1e6 AS cost FROM u LEFT JOIN r USING (model)) SELECT x.day::VARCHAR AS day, model, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens, count(*) AS calls, round(sum(cost) + 1e-9, 4) AS cost, coalesce(bool_or(est), false) AS estimated, bool_or(cost IS NULL) AS partial FROM x GROUP BY ROLLUP (x.day, model)",
