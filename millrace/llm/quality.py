@@ -113,7 +113,8 @@ def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
     bullets = np.zeros(lines, bool)
     bullets[fl] = bullet
     # cells
-    b1, b2 = np.append(b[1:], 10), np.append(b[2:], [10, 10])
+    b1 = np.append(b[1:], 10)
+    b2 = np.append(b1[1:], 10)
     tight = (b == 44) & (b1 != 32)
     semi = (b == 59) & (b1 != 32)
     loose = per((b == 44) & (b1 == 32)) + per((b == 59) & (b1 == 32))
