@@ -18,7 +18,7 @@ TRAINED_ON = 6000
 _MODEL: list[Tagger] = []
 
 PIECE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())]))
-_AREA = re.compile(r"\(\d+\)")
+_AREA = re.compile(r"\(\d{1,4}\)(?=[ .-]?\d)")
 _TITLE = re.compile(r"(?:dr|mr|mrs|ms|prof)\.?\s+", re.I)
 
 
@@ -44,6 +44,8 @@ def _exact(text: str, start: int, end: int, kind: str) -> tuple[str, int, int] |
         return (kind, start, end) if digits >= 5 else None
     if kind == "person":
         title = _TITLE.match(text, start, end)
+        if re.match(r"\w(?!\w)[^.]", text[start : end + 1]):  # an initial has its full stop
+            return None
         return (kind, title.end() if title else start, end) if any(c.isalpha() for c in text[start:end]) else None
     return (kind, start, end) if digits else None
 
@@ -64,8 +66,10 @@ def pieces_of(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[str, i
             if label[0] == "I" and found and found[-1] and found[-1][0] == label[2:]:
                 found[-1][2] = start + len(word)
             else:
-                found.append([label[2:], start, start + len(word)])
-        out.append([y for x in found if x and (y := _exact(text, x[1], x[2], x[0]))])
+                found.append([label[2:], start, start + len(word), label[0] == "I"])
+        # what runs on after a sentence's end is another piece only if it has two words
+        found = [x for x in found if x and not (x[0] == "person" and x[3] and " " not in text[x[1] : x[2]])]
+        out.append([y for x in found if (y := _exact(text, x[1], x[2], x[0]))])
     return out
 
 
@@ -93,6 +97,6 @@ def mask(df: DataFrame, text: str, name: str = "masked") -> DataFrame:
     """
     found = find(df, text, "__pieces")
     parts = F.expr(
-        f"aggregate(__pieces, struct(cast('' as string) as done, 0 as at), (s, p) -> struct(concat(s.done, substring({text}, s.at + 1, p.start_pos - s.at), '[', p.kind, ']') as done, p.end_pos as at), s -> concat(s.done, substring({text}, s.at + 1)))"
+        f"aggregate(__pieces, struct(cast('' as string) as done, 0 as at), (s, p) -> struct(concat(s.done, substring(`{text}`, s.at + 1, p.start_pos - s.at), '[', p.kind, ']') as done, p.end_pos as at), s -> concat(s.done, substring(`{text}`, s.at + 1)))"
     )
     return found.withColumn(name, F.when(F.col(text).isNotNull(), parts)).drop("__pieces")
