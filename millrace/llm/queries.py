@@ -41,7 +41,7 @@ def _low_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    members, links = similar.similar(_low_questions(spark, folder), "id", "query", words=1, t=0.5, least=4)
+    members, links = similar.similar(_low_questions(spark, folder), "id", "query", words=1, t=0.5, least=4, chain=True)
     low = members.groupBy("set").agg(F.min("key").alias("k"), F.count("*").alias("c"))
     name = low.select("set", "k")
     ends = links.select("a", "b").join(name.withColumnsRenamed({"set": "a", "k": "ka"}), "a").join(name.withColumnsRenamed({"set": "b", "k": "kb"}), "b")

@@ -28,6 +28,8 @@ BLOCK = 1 << 16
 RARE, FRAGMENTS = 8, 8
 #: Parity bits that come with a set, and bits of the table of sets whose overlaps are counted.
 PARITY, MARKS = 256, 1 << 23
+#: Sets of at most so many members travel with their members where only chains of links are wanted.
+CARRIED = 64
 #: Fragments in which overlaps are counted, and texts for each task that joins agreements.
 COUNTED, TEXTS_PER_TASK = 4, 40_000
 
@@ -137,9 +139,54 @@ def _parity(doc: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def _join_fragment(tbl: pa.Table, t: float) -> pa.Table:
-    """All pairs of sets in one fragment's signatures that size and parity don't rule out."""
-    sets, sizes, bits, sigs, docs, at = [], [], [], [], [], 0
+class _Chains:
+    """Components that grow by links; small sets' links are counted exactly at once."""
+
+    def __init__(self, sizes: np.ndarray, members: list[np.ndarray], t: float):
+        self.parent, self.label = list(range(len(sizes))), np.arange(len(sizes))
+        self.sizes, self.small, self.t = sizes, sizes <= CARRIED, t
+        self.width = int(sizes[self.small].max(initial=1))
+        own = np.flatnonzero(self.small)
+        at = np.arange(int(sizes[own].sum())) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+        self.a, self.b = np.zeros((len(sizes), self.width), U), np.ones((len(sizes), self.width), U)
+        for m in (self.a, self.b):
+            m[np.repeat(own, sizes[own]), at] = np.concatenate(members) if members else []
+
+    def root(self, k: int) -> int:
+        while self.parent[k] != k:
+            self.parent[k] = self.parent[self.parent[k]]
+            k = self.parent[k]
+        return k
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.label[a] != self.label[b]
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+        """Links of a forest among pairs of small sets."""
+        out: tuple[list[int], list[int]] = ([], [])
+        step = max(1, 64_000_000 // self.width**2)
+        for lo in range(0, len(a), step):
+            x, y = a[lo : lo + step], b[lo : lo + step]
+            both = (self.a[x][:, :, None] == self.b[y][:, None, :]).sum(axis=(1, 2))
+            ok = both >= self.t * (self.sizes[x] + self.sizes[y] - both) - 1e-9
+            for i, j in zip(x[ok].tolist(), y[ok].tolist()):
+                p, q = self.root(i), self.root(j)
+                if p != q:
+                    self.parent[max(p, q)] = min(p, q)
+                    out[0].append(i)
+                    out[1].append(j)
+        if out[0]:
+            label = np.array(self.parent)
+            while (label != (new := label[label])).any():
+                label = new
+            self.label = label
+        return out
+
+
+def _join_fragment(tbl: pa.Table, t: float, chain: bool) -> pa.Table:
+    """All pairs of sets in one fragment's signatures that size and parity don't rule out; with `chain`, of small sets
+    only as many sure links as their components need."""
+    sets, sizes, bits, sigs, docs, members, at = [], [], [], [], [], [], 0
     for row in tbl.to_pylist():
         sets.append(np.frombuffer(row["sets"], "<u8"))
         sizes.append(np.frombuffer(row["sizes"], "<u4"))
@@ -147,10 +194,18 @@ def _join_fragment(tbl: pa.Table, t: float) -> pa.Table:
         high, low = np.frombuffer(row["high"], "<u4"), np.frombuffer(row["low"], "<u2")
         sigs.append((high.astype(U) << U(16)) | low)
         docs.append(np.frombuffer(row["docs"], "<u2").astype(np.int64) + at)
+        members.append(np.frombuffer(row["members"], "<u8"))
         at += len(sets[-1])
     del tbl
     sets, some, same = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
-    sizes, bits = np.concatenate(sizes)[some].astype(np.int64), np.concatenate(bits)[some]
+    sizes, bits = np.concatenate(sizes).astype(np.int64), np.concatenate(bits)[some]
+    chains = None
+    if chain:
+        n = np.where(sizes <= CARRIED, sizes, 0)
+        start = np.cumsum(n) - n
+        flat = np.concatenate(members)
+        chains = _Chains(sizes[some], [flat[start[k] : start[k] + n[k]] for k in some.tolist() if n[k]], t)
+    sizes = sizes[some]
     sig, doc = np.concatenate(sigs), same[np.concatenate(docs)]
     order = np.lexsort((doc, sig))
     sig, doc = sig[order], doc[order]
@@ -159,7 +214,7 @@ def _join_fragment(tbl: pa.Table, t: float) -> pa.Table:
     first = run_starts(sig)
     size = np.diff([*first, len(sig)])
     place, left = np.arange(len(sig)), np.repeat(first + size, size)
-    found, held = [np.empty(0, np.int64)], 0
+    found, held, sure = [np.empty(0, np.int64)], 0, ([], [])
     k = 1
     share = (1 - t) / (1 + t)
     while True:
@@ -168,23 +223,33 @@ def _join_fragment(tbl: pa.Table, t: float) -> pa.Table:
             break
         for lo in range(0, len(place), 2_000_000):
             a, b = doc[place[lo : lo + 2_000_000]], doc[place[lo : lo + 2_000_000] + k]
+            if chains:
+                ok = chains.apart(a, b)
+                a, b = a[ok], b[ok]
             na, nb = sizes[a], sizes[b]
             ok = np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9
             a, b, most = a[ok], b[ok], np.floor(share * (na + nb)[ok] + 1e-9)
             x = bits[a] ^ bits[b]
             ok = np.bitwise_count(x).sum(axis=1) <= most
-            found.append(a[ok] * len(sets) + b[ok])
+            a, b = a[ok], b[ok]
+            if chains:
+                both = chains.small[a] & chains.small[b]
+                for have, new in zip(sure, chains.add(a[both], b[both])):
+                    have += new
+                a, b = a[~both], b[~both]
+            found.append(a * len(sets) + b)
             held += len(found[-1])
         if held > 2_000_000:
             found, held = [np.unique(np.concatenate(found))], 0
         k += 1
     pair = np.unique(np.concatenate(found))
-    a, b = sets[pair // len(sets)].view(np.int64), sets[pair % len(sets)].view(np.int64)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    a, b = (sets[np.concatenate([x, np.array(y, np.int64)])].view(np.int64) for x, y in zip((pair // len(sets), pair % len(sets)), sure))
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": np.arange(len(a)) >= len(pair)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())]))
 
 
-def _candidates(df: DataFrame, text: str, words: int, t: float, least: int) -> DataFrame:
-    """(a, b): pairs of set hashes, among them every pair with similarity >= t."""
+def _candidates(df: DataFrame, text: str, words: int, t: float, least: int, chain: bool = False) -> DataFrame:
+    """(a, b, sure): pairs of set hashes, among them every pair with similarity >= t; with `chain`, enough of them that
+    the same sets are linked by chains. Sure pairs have that similarity."""
     ranks = broadcast_value(df.sparkSession, _frequencies(df, text, words, least))
     bits_of_task = max(1, math.ceil(math.log2(max(1, df.count() / TEXTS_PER_TASK))))
     tasks = 1 << bits_of_task
@@ -203,6 +268,7 @@ def _candidates(df: DataFrame, text: str, words: int, t: float, least: int) -> D
                 kept = np.flatnonzero(take & (sizes > 0))
                 doc = number[doc]
                 bits = _parity(doc, x, len(kept))
+                carried = chain & (sizes[kept] <= CARRIED)
                 d, sig = _signatures(doc, x, ranks.value[_slot(x)], t)
                 task = (sig >> U(64 - bits_of_task)).astype(np.int64)
                 order = np.argsort(task, kind="stable")
@@ -212,12 +278,14 @@ def _candidates(df: DataFrame, text: str, words: int, t: float, least: int) -> D
                 for lo, hi in zip(at, [*at[1:], len(task)]):
                     own, local = np.unique(d[lo:hi], return_inverse=True)
                     s = sig[lo:hi] >> U(16)
-                    rows.append((int(task[lo]), sets[kept[own]].tobytes(), sizes[kept[own]].astype("<u4").tobytes(), bits[own].tobytes(), (s >> U(16)).astype("<u4").tobytes(), s.astype("<u2").tobytes(), local.astype("<u2").tobytes()))
+                    with_members = np.zeros(len(kept), bool)
+                    with_members[own] = carried[own]
+                    rows.append((int(task[lo]), sets[kept[own]].tobytes(), sizes[kept[own]].astype("<u4").tobytes(), bits[own].tobytes(), (s >> U(16)).astype("<u4").tobytes(), s.astype("<u2").tobytes(), local.astype("<u2").tobytes(), x[with_members[doc]].tobytes() if chain else b""))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))], names)
 
-    names = ["task", "sets", "sizes", "bits", "high", "low", "docs"]
-    blobs = df.select(text).mapInArrow(split, "task int, sets binary, sizes binary, bits binary, high binary, low binary, docs binary")
-    return blobs.repartition(tasks, "task").groupBy("task").applyInArrow(lambda tbl: _join_fragment(tbl, t), "a long, b long").distinct()
+    names = ["task", "sets", "sizes", "bits", "high", "low", "docs", "members"]
+    blobs = df.select(text).mapInArrow(split, "task int, sets binary, sizes binary, bits binary, high binary, low binary, docs binary, members binary")
+    return blobs.repartition(tasks, "task").groupBy("task").applyInArrow(lambda tbl: _join_fragment(tbl, t, chain), "a long, b long, sure boolean").distinct()
 
 
 def _mark(sets: np.ndarray) -> np.ndarray:
@@ -249,15 +317,17 @@ def _marks(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def similar(df: DataFrame, key: str, text: str, words: int = 5, t: float = 0.8, least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Members (key, set, n) and links (a, b, overlap, n_a, n_b).
+def similar(df: DataFrame, key: str, text: str, words: int = 5, t: float = 0.8, least: int = 1, chain: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Members (key, set, n) and links (a, b, overlap, n_a, n_b), or with `chain` links (a, b) that join the same chains.
 
     Every distinct key whose text has at least `least` sequences of `words` consecutive tokens belongs to the set of its
     sequences; equal texts and copies belong to one set, which stands for them all. The links are all pairs of different
-    sets with intersection / union >= t, by exact counts. Texts that are null, empty or too short have no row.
+    sets with intersection / union >= t, by exact counts. With `chain`, a group of sets that are all alike isn't
+    turned into all its pairs: only links between sets that no chain joins yet are kept. Texts that are null, empty or too short have no row.
     """
     own = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("key is not null and text is not null")
-    pairs = cut(_candidates(own, "text", words, t, least))
+    found = cut(_candidates(own, "text", words, t, least, chain))
+    pairs = found.filter("not sure").select("a", "b")
 
     def member(batches):
         for batch in batches:
@@ -289,6 +359,8 @@ def similar(df: DataFrame, key: str, text: str, words: int = 5, t: float = 0.8,
     b = parts.select(F.col("set").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("x").alias("y"))
     shares = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("share"))
     links = shares.groupBy("a", "b", "n_a", "n_b").agg(F.sum("share").alias("overlap")).filter(F.col("overlap") >= t * (F.col("n_a") + F.col("n_b") - F.col("overlap")) - 1e-9)
+    if chain:
+        links = links.select("a", "b").unionByName(found.filter("sure").select("a", "b"))
     return members, links
 
 

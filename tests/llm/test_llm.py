@@ -150,6 +150,11 @@ def test_pairs_of_edited_texts(spark, words, t, least, span):
         parent[y] = x
     classes = {x["id"]: x["class"] for x in similar.classes(df, "id", "text", words, t, least).collect()}
     assert all(root(k) == v for k, v in classes.items())
+    members, links = similar.similar(df, "id", "text", words, t, least, chain=True)
+    low = members.groupBy("set").agg(F.min("key").alias("k"))
+    ends = links.join(low.withColumnsRenamed({"set": "a", "k": "ka"}), "a").join(low.withColumnsRenamed({"set": "b", "k": "kb"}), "b")
+    chained = {r.id: r.component for r in components(ends, "ka", "kb").collect()}
+    assert chained == {k: root(k) for k in (r.k for r in low.collect()) if k in chained} and {r.k for r in low.collect() if root(r.k) != r.k} <= set(chained)
 
 
 def test_pairs_of_odd_rows(spark, odd):
