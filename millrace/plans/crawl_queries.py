@@ -22,7 +22,7 @@ INCLUDE, EXCLUDE = ["*/docs/*", "*/articles/*", "*/kb/*", "*/hc/*"], ["*/integra
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return spread(one_of_each(table(spark, d, "pages_raw"), "fetch_id"))
+    return spread(one_of_each(table(spark, d, "pages_raw"), "fetch_id"), "fetch_id")
 
 
 def canonical_urls(spark, d):
@@ -150,4 +150,9 @@ SQL = {
     "chunk_sizes": "WITH c AS (SELECT DISTINCT ON (vector_id) * FROM chunks), s AS (SELECT vector_id, body, trim(regexp_replace(coalesce(body, ''), '[\\s\\x{00A0}\\x{FEFF}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}\\x{000B}\\x{0085}\\x{2028}\\x{2029}]+', ' ', 'g')) AS t FROM c) SELECT vector_id, CASE WHEN t = '' THEN 0 ELSE greatest(ceil(len(string_split(t, ' ')) / 0.75), ceil(length(t) / 6)) END::BIGINT AS tokens, ceil(length(body) / 4)::BIGINT AS billed FROM s",
 }
 
+_SEGMENTS = "list_transform(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''), lambda x: regexp_replace(lower(x), '[\\s_-]+', '', 'g'))"
+_in = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]"
+SQL["unsafe_urls"] = f"WITH {_P}, u AS (SELECT DISTINCT 'https://site.example' || unnest(regexp_extract_all(coalesce(html, ''), 'href=\"([^\"]+)\"', 1)) AS url FROM p), s AS (SELECT url, {_SEGMENTS} AS seg, regexp_extract(url, '\\?([^#]*)', 1) AS par, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM u) SELECT url, list_has_any(seg, {_in(L.ACTING_SEGMENTS)}) OR list_has_any(list_transform(range(1, len(seg)), lambda i: seg[i] || seg[i + 1]), {_in(L.ACTING_PAIRS)}) OR len(list_filter(string_split(par, '&'), lambda x: lower(string_split(x, '=')[1]) IN ('action', 'do', 'cmd', 'op', 'method') AND list_contains({_in(L.ACTIONS)}, regexp_replace(lower(string_split(x, '=')[-1]), '[\\s_-]+', '', 'g')))) > 0 AS acts, regexp_matches(url, '{L.BINARY}') OR regexp_matches(path, '{L.ATTACHMENT}') AS \"binary\" FROM s"
+SQL["robots_allowed"] = f"WITH {_P}, u AS (SELECT DISTINCT url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS host, CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) END AS path FROM p), r(host, allow, rule) AS (VALUES ('help.sateko.test', false, '/hc/data/'), ('help.sateko.test', true, '/hc/data/1'), ('docs.yarnix.test', false, '/hc/')) SELECT url, coalesce(arg_max(allow, length(rule)), true) AS allowed FROM u LEFT JOIN r ON r.host = u.host AND starts_with(path, rule) GROUP BY url"
+
 QUERIES = {f.__name__: f for f in (canonical_urls, scope_filter, unsafe_urls, noindex, crawl_outcomes, latest_pages, incremental_diff, duplicate_pages, link_frontier, crawl_preview, robots_allowed, paced_fetches, html_blocks, chunk_pages, render_needed, markdown_render, starters, title_questions, source_cards, chunk_sizes, limiter_state, breaker_state)}

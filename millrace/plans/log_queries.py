@@ -254,4 +254,9 @@ SQL = {
     "refusals": f"WITH {_TURNS} SELECT index_id, tier, count(*) FILTER (refused) AS refused, count(*) AS turns, round(avg(refused::INT), 6) AS rate FROM t GROUP BY ALL",
 }
 
+_MATCH = "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(lower({}), '‘', chr(39)), '’', chr(39)), '“', '\"'), '”', '\"'), '[*_`#>]', '', 'g'), '[\\s\\x{{00A0}}\\x{{FEFF}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g'))"
+SQL["answer_coverage"] = f"WITH {_TURNS}, a AS (SELECT id, turn_no, {_MATCH.format('markdown')} AS hay, list_filter(list_transform(sources, lambda s: s.title), lambda x: x IS NOT NULL) AS titles FROM t WHERE markdown IS NOT NULL) SELECT id, turn_no, round(CASE WHEN len(titles) = 0 THEN 1 ELSE 1 - len(list_filter(titles, lambda p: {_MATCH.format('p')} = '' OR NOT contains(hay, {_MATCH.format('p')}))) / len(titles) END, 6) AS ratio FROM a"
+_POLICIES = ", ".join(str((k, *map(str, r))) for k, *r in L.ERROR_POLICIES)
+SQL["error_kinds"] = f"WITH p AS (SELECT DISTINCT ON (fetch_id) * FROM pages_raw), k AS (SELECT CASE WHEN status = 0 THEN 'network' WHEN status IN (401, 403) THEN 'auth_invalid' WHEN status = 402 THEN 'quota_exhausted' WHEN status = 429 THEN 'rate_limited' WHEN status = 404 THEN 'model_not_found' WHEN status = 408 THEN 'timeout' WHEN status >= 500 THEN 'provider_down' WHEN status >= 400 THEN 'bad_request' WHEN status = 200 THEN 'empty_stream' ELSE 'unknown' END AS kind, count(*) AS n FROM p GROUP BY 1), e(kind, a, b, c, shown_as, d) AS (VALUES {_POLICIES}) SELECT kind, n, a::BOOLEAN AS retryable, b::BOOLEAN AS terminal, c::BOOLEAN AS auto_retry, shown_as, d::BOOLEAN AS trips FROM k LEFT JOIN e USING (kind)"
+
 QUERIES = {f.__name__: f for f in (verdict_bands, calibrate_floors, floor_sweep, recommended_floor, scatter_sweep, pii_mask, intents, follow_up, rewrite_guard, query_plans, failed_queries, gap_report, gap_csv, pick_priors, prior_boost, spend_rollup, cache_eviction, chat_sessions_latest, chat_sessions_kept, index_stats, index_freshness, probe_titles, content_hashes, content_hash_dupes, failure_streaks, outcome_counts, log_dedupe, event_sessions, event_windows, answer_coverage, refusals, error_kinds)}

@@ -26,7 +26,7 @@ def _fields() -> dict:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return spread(one_of_each(table(spark, d, "chunks"), "vector_id"))
+    return spread(one_of_each(table(spark, d, "chunks"), "vector_id"), "vector_id")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -215,5 +215,6 @@ SQL = {
     "recall_hit_mrr": f"WITH {_C}, q AS (SELECT vector_id AS qid, title AS query FROM c WHERE vector_id % 100 = 0 AND title IS NOT NULL), qt AS (SELECT DISTINCT qid, unnest({TOK.format('query')}) AS term FROM q), {_index({'content': 'text'})}, {_scored({'content': 'text'}, {'content': 1.0}, 30, None)}, rel AS (SELECT qid, vector_id AS id FROM q JOIN c ON title = query), x AS (SELECT qid, count(DISTINCT rel.id) AS n, min(rank) AS first, count(*) FILTER (rank < 5) AS near FROM rel LEFT JOIN b USING (qid, id) GROUP BY ALL) SELECT count(*) AS questions, round(avg(coalesce((first = 0)::INT, 0)), 6) AS hit_1, round(avg(coalesce((first < 5)::INT, 0)), 6) AS hit_k, round(avg(near / n), 6) AS recall_k, round(avg(coalesce(1 / (first + 1), 0)), 6) AS mrr FROM x",
 }
 SQL["articles_neighbours"] = f"{_FIELDED}, {_PAGED}, near AS (SELECT DISTINCT qid, article, url, unnest(range(chunk_pos - 2, chunk_pos + 3)) AS chunk_pos FROM ao), h AS (SELECT qid, article, max(best) AS best FROM ao GROUP BY ALL) SELECT n.qid, n.article, c.vector_id, round(coalesce(a.score, h.best), 6) AS score, a.score IS NULL AS via_neighbour FROM near n JOIN c ON c.url = n.url AND c.chunk_pos = n.chunk_pos JOIN h ON h.qid = n.qid AND h.article = n.article LEFT JOIN ao a ON a.qid = n.qid AND a.id = c.vector_id"
+SQL["rerank_head"] = f"{_FIELDED}, o AS (SELECT b.*, list_distinct({TOK.format('q.query')}) AS qk, {TOK.format('c.body')} AS bk FROM b JOIN c ON c.vector_id = b.id JOIN q USING (qid)), s AS (SELECT *, CASE WHEN rank < 20 AND len(qk) > 0 THEN len(list_intersect(qk, bk)) / len(qk) END AS s2 FROM o) SELECT qid, id AS vector_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank >= 20, s2 IS NULL, s2 DESC, rank) - 1 AS rank FROM s"
 
 QUERIES = {f.__name__: f for f in (tokenize_tf, term_stats, bm25_topk, fielded_bm25_topk, cosine_topk, rrf_fusion, hybrid_search, rm3_terms, hybrid_search_rm3, retrieve, section_boost, articles_neighbours, article_bodies, pack_context, extractive_answer, rerank_head, refinements, recall_hit_mrr)}

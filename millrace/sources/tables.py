@@ -22,7 +22,10 @@ def one_of_each(df: DataFrame, key: str) -> DataFrame:
     return once.unionByName(df.join(again, key, "left_semi").dropDuplicates([key]))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than there are cores, over all cores, before much work on each row; any other as it is."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer files than there are cores, over all cores by key, before much work on each row; any other as it is.
+
+    Rows of one key lie together afterwards, so what is grouped by that key and more needs no further shuffle.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
