@@ -284,12 +284,12 @@ def case_sql(rules: list[Rule], default: str = "prose") -> str:
 def learn(df: DataFrame, key: str, text: str, labels: DataFrame, kind: str, common: DataFrame, most: int = 20_000, **how) -> list[Rule]:
     """Rules from the judgements (key, kind) on rows of df. Judgements may be wrong and may differ; each counts once.
 
-    If there are more than `most`, those with the smallest hash of the key are taken: a bounded sample for fitting only.
+    If there are more than `most`, those with the smallest hash of the key are taken: a bounded sample for fitting only, so it is broadcast.
     """
     judged = labels.filter(F.col(key).isNotNull() & F.col(kind).isNotNull()).select(key, F.col(kind).alias("kind")).orderBy(F.xxhash64(key), "kind").limit(most)
     judged = judged.persist()
-    known = statistics(df.join(judged.select(key).distinct(), key, "left_semi"), key, text, common)
-    rows = known.join(judged, key).orderBy(F.xxhash64(key), "kind").toPandas()
+    known = statistics(df.join(F.broadcast(judged.select(key).distinct()), key, "left_semi"), key, text, common)
+    rows = known.join(F.broadcast(judged), key).orderBy(F.xxhash64(key), "kind").toPandas()
     judged.unpersist()
     return induce({k: rows[k].to_numpy() for k in STATISTICS}, rows["kind"].to_numpy(), **how) if len(rows) else []
 
