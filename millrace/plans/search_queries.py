@@ -150,6 +150,13 @@ def extractive_answer(spark, d):
     return A.answers(A.best_sentences(packed, questions(spark, d).select("qid", "query")), titles)
 
 
+def focused_search(spark, d):
+    """Every question scoped to the page of the first chunk: all of that page's chunks, the found ones first."""
+    url = chunks(spark, d).orderBy("vector_id").first()["url"]
+    found = A.page_scope(cut(_fielded(spark, d, L.TOP_K)).withColumnRenamed("id", "vector_id"), chunks(spark, d), url)
+    return found.select("qid", "vector_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
 def rerank_head(spark, d):
     found = _fielded(spark, d, L.TOP_K).join(chunks(spark, d).select(F.col("vector_id").alias("id"), "body"), "id").join(questions(spark, d).select("qid", "query"), "qid")
     return _out(S.rerank(found, S.lexical_overlap(F.col("query"), F.col("body"))))
@@ -216,5 +223,6 @@ SQL = {
 }
 SQL["articles_neighbours"] = f"{_FIELDED}, {_PAGED}, near AS (SELECT DISTINCT qid, article, url, unnest(range(chunk_pos - 2, chunk_pos + 3)) AS chunk_pos FROM ao), h AS (SELECT qid, article, max(best) AS best FROM ao GROUP BY ALL) SELECT n.qid, n.article, c.vector_id, round(coalesce(a.score, h.best), 6) AS score, a.score IS NULL AS via_neighbour FROM near n JOIN c ON c.url = n.url AND c.chunk_pos = n.chunk_pos JOIN h ON h.qid = n.qid AND h.article = n.article LEFT JOIN ao a ON a.qid = n.qid AND a.id = c.vector_id"
 SQL["rerank_head"] = f"{_FIELDED}, o AS (SELECT b.*, list_distinct({TOK.format('q.query')}) AS qk, {TOK.format('c.body')} AS bk FROM b JOIN c ON c.vector_id = b.id JOIN q USING (qid)), s AS (SELECT *, CASE WHEN rank < 20 AND len(qk) > 0 THEN len(list_intersect(qk, bk)) / len(qk) END AS s2 FROM o) SELECT qid, id AS vector_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank >= 20, s2 IS NULL, s2 DESC, rank) - 1 AS rank FROM s"
+SQL["focused_search"] = f"{_FIELDED}, pg AS (SELECT vector_id, chunk_pos FROM c WHERE url = (SELECT url FROM c ORDER BY vector_id LIMIT 1)) SELECT x.qid, pg.vector_id, round(coalesce(b.score, 0), 6) AS score, row_number() OVER (PARTITION BY x.qid ORDER BY b.rank IS NULL, b.rank, chunk_pos) - 1 AS place FROM (SELECT DISTINCT qid FROM b) x, pg LEFT JOIN b ON b.qid = x.qid AND b.id = pg.vector_id"
 
-QUERIES = {f.__name__: f for f in (tokenize_tf, term_stats, bm25_topk, fielded_bm25_topk, cosine_topk, rrf_fusion, hybrid_search, rm3_terms, hybrid_search_rm3, retrieve, section_boost, articles_neighbours, article_bodies, pack_context, extractive_answer, rerank_head, refinements, recall_hit_mrr)}
+QUERIES = {f.__name__: f for f in (tokenize_tf, term_stats, bm25_topk, fielded_bm25_topk, cosine_topk, rrf_fusion, hybrid_search, rm3_terms, hybrid_search_rm3, retrieve, section_boost, articles_neighbours, article_bodies, pack_context, extractive_answer, focused_search, rerank_head, refinements, recall_hit_mrr)}
