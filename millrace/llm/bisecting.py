@@ -1,12 +1,15 @@
 """Bisecting k-means over texts: nodes are split in two until they are compact; the leaves are the groups.
 
-The tree of centres is small and lives on the driver; a record's node is found by walking down the broadcast tree, so no
-assignment is stored and a lost executor loses nothing. Each pass sends only sums by node.
+Nodes of more than LOCAL records are split by passes over all records: their tree of centres lives on the driver, a
+record's node is found by walking down the broadcast tree, and each pass sends only sums by node. A node of at most LOCAL
+records that is still wide then goes to one task, which splits it to the end. So the driver's tree grows with the number
+of records divided by LOCAL, whatever the number of groups.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from millrace.session import broadcast_value, cut
 
 #: Dimensions of a record's vector, and passes that settle the two halves of a split.
 SIZE, PASSES = 192, 3
+#: Records of a node that one task splits to the end: about 6 MB of vectors.
+LOCAL = 8192
 
 
 def vectors(texts: pa.Array) -> np.ndarray:
@@ -76,10 +81,15 @@ def _sums(points: DataFrame, tree: Tree) -> dict[int, tuple[int, np.ndarray, flo
     return {r["node"]: (r["n"], np.array(r["total"]), r["spread"]) for r in rows}
 
 
-def cluster(df: DataFrame, key: str, text: str, compact: float = 0.5, smallest: int = 8, most: int = 256) -> tuple[DataFrame, Tree]:
-    """Points (key, text, x) and the tree. Nodes whose mean squared distance to the centre exceeds `compact` are split,
-    those of the largest dispersion first, until all are compact, have fewer than 2 * smallest members, can't be split,
-    or there are `most` leaves. The limit is on what the driver holds; every record is in a leaf at any time."""
+def _wide(n: int, spread: float, compact: float, smallest: int) -> bool:
+    return n >= 2 * smallest and spread / n > compact
+
+
+def cluster(df: DataFrame, key: str, text: str, compact: float = 0.5, smallest: int = 8) -> tuple[DataFrame, Tree, set[int]]:
+    """Points (key, text, x), the driver's tree, and those of its leaves that are left to be split by one task each.
+
+    Nodes whose mean squared distance to the centre exceeds `compact` are split until they are compact, have fewer than
+    2 * smallest members, can't be split, or have at most LOCAL members; every record is in a leaf at any time."""
     kind = df.schema[key].dataType
     own = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("key is not null and text is not null")
 
@@ -94,17 +104,17 @@ def cluster(df: DataFrame, key: str, text: str, compact: float = 0.5, smallest:
     tree = Tree(np.zeros(SIZE, np.float32))
     sums = _sums(points, tree)
     if not sums:
-        return points, tree
+        return points, tree, set()
     tree.centres[0] = (sums[0][1] / sums[0][0]).astype(np.float32)
     sums = _sums(points, tree)
     done: set[int] = set()
     rng = np.random.default_rng(17)
     while True:
         leaves = {k: v for k, v in sums.items() if k not in tree.children}
-        wide = sorted((k for k, (n, _, s) in leaves.items() if k not in done and n >= 2 * smallest and s / n > compact), key=lambda k: -leaves[k][2])
-        wide = wide[: max(0, most - len(leaves))]
+        open_ = {k for k, (n, _, s) in leaves.items() if k not in done and _wide(n, s, compact, smallest)}
+        wide = sorted(k for k in open_ if leaves[k][0] > LOCAL)
         if not wide:
-            return points, tree
+            return points, tree, open_
         for k in wide:
             step = (rng.standard_normal(SIZE) * 0.05).astype(np.float32)
             tree.children[k] = (len(tree.centres), len(tree.centres) + 1)
@@ -123,30 +133,82 @@ def cluster(df: DataFrame, key: str, text: str, compact: float = 0.5, smallest:
             sums = _sums(points, tree)
 
 
-def groups(df: DataFrame, key: str, text: str, typical: int = 3, **limits) -> DataFrame:
+def _split(x: np.ndarray, centre: np.ndarray, compact: float, smallest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leaf of each row of a node, counted from 0, and the leaves' centres: the node split to the end."""
+    rng = np.random.default_rng(17)
+    leaf, centres, todo = np.zeros(len(x), np.int64), [], [(np.arange(len(x)), centre)]
+    while todo:
+        rows, centre = todo.pop()
+        own = x[rows]
+        if _wide(len(rows), float(((own - centre) ** 2).sum()), compact, smallest):
+            step = (rng.standard_normal(SIZE) * 0.05).astype(np.float32)
+            a, b = centre + step, centre - step
+            for k in range(PASSES + 1):
+                near_a = ((own - a) ** 2).sum(axis=1) <= ((own - b) ** 2).sum(axis=1)
+                if near_a.all() or not near_a.any():
+                    break
+                if k < PASSES:
+                    a, b = (own[half].mean(axis=0, dtype=np.float64).astype(np.float32) for half in (near_a, ~near_a))
+            else:
+                todo += [(rows[near_a], a), (rows[~near_a], b)]
+                continue
+        leaf[rows] = len(centres)
+        centres.append(centre)
+    return leaf, np.stack(centres)
+
+
+def _nearest(frame: pd.DataFrame, x: np.ndarray, node: np.ndarray, centres: np.ndarray, typical: int) -> pd.DataFrame:
+    """Of frame (key, text), whose rows lie in nodes: each node's rows nearest to its centre; the first holds its sums."""
+    far = ((x - centres) ** 2).sum(axis=1).astype(np.float64).round(6)
+    frame = frame.assign(node=node, far=far).sort_values(["node", "far", "key"])
+    place = frame.groupby("node").cumcount()
+    sums = frame.groupby("node").far.agg(["size", "sum"])
+    first = place == 0
+    frame["n"], frame["spread"] = 0, 0.0
+    frame.loc[first, "n"], frame.loc[first, "spread"] = sums["size"].to_numpy(), sums["sum"].to_numpy()
+    return frame[place < typical]
+
+
+def groups(df: DataFrame, key: str, text: str, typical: int = 3, compact: float = 0.5, smallest: int = 8) -> DataFrame:
     """(group_id, size, dispersion, typical): one row for each leaf, with the texts of its members nearest to the centre.
 
     Texts that are null or have no tokens are in no group; repeated rows are separate members; ties go to the smaller key.
     """
-    points, tree = cluster(df, key, text, **limits)
-    shared = broadcast_value(points.sparkSession, tree)
+    points, tree, open_ = cluster(df, key, text, compact, smallest)
+    shared = broadcast_value(points.sparkSession, (tree, open_))
     kind = points.schema["key"].dataType
+    found = T.StructType([T.StructField("key", kind), T.StructField("text", T.StringType()), T.StructField("node", T.LongType()), T.StructField("far", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("spread", T.DoubleType())])
+    vectors_of = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, SIZE)
 
-    def nearest(batches):
+    def closed(batches):
+        tree, open_ = shared.value
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, SIZE)
-            node = shared.value.walk(x)
-            far = ((x - np.stack(shared.value.centres)[node]) ** 2).sum(axis=1).astype(np.float64).round(6)
-            frame = batch.to_pandas()[["key", "text"]].assign(node=node, far=far)
-            frame = frame.sort_values(["node", "far", "key"])
-            place = frame.groupby("node").cumcount()
-            sums = frame.groupby("node").far.agg(["size", "sum"])
-            first = place == 0
-            frame["n"], frame["spread"] = 0, 0.0
-            frame.loc[first, "n"], frame.loc[first, "spread"] = sums["size"].to_numpy(), sums["sum"].to_numpy()
-            yield pa.RecordBatch.from_pandas(frame[place < typical], preserve_index=False)
-
-    rows = points.mapInArrow(nearest, T.StructType([T.StructField("key", kind), T.StructField("text", T.StringType()), T.StructField("node", T.LongType()), T.StructField("far", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("spread", T.DoubleType())]))
+            x = vectors_of(batch.column(2))
+            node = tree.walk(x)
+            k = np.flatnonzero(~np.isin(node, list(open_)))
+            if len(k):
+                frame = batch.select(["key", "text"]).take(pa.array(k)).to_pandas()
+                frame = _nearest(frame, x[k], node[k] * LOCAL, np.stack(tree.centres)[node[k]], typical)
+                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    def to_split(batches):
+        tree, open_ = shared.value
+        for batch in batches:
+            node = tree.walk(vectors_of(batch.column(2)))
+            k = pa.array(np.flatnonzero(np.isin(node, list(open_))))
+            yield pa.RecordBatch.from_arrays([*(c.take(k) for c in batch.columns), pa.array(node).take(k)], ["key", "text", "x", "node"])
+
+    def split(tbl: pa.Table) -> pa.Table:
+        tbl = tbl.sort_by([("key", "ascending"), ("text", "ascending")])
+        x, node = vectors_of(tbl.column("x")), tbl.column("node")[0].as_py()
+        leaf, centres = _split(x, shared.value[0].centres[node], compact, smallest)
+        frame = _nearest(tbl.select(["key", "text"]).to_pandas(), x, node * LOCAL + leaf, centres[leaf], typical)
+        return pa.Table.from_pandas(frame, preserve_index=False)
+
+    rows = points.mapInArrow(closed, found)
+    if open_:
+        parts = points.mapInArrow(to_split, T.StructType([*points.schema.fields, T.StructField("node", T.LongType())]))
+        rows = rows.unionByName(parts.groupBy("node").applyInArrow(split, found))
     rows = cut(rows)
     best = rows.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("far", "key"))).filter(F.col("place") <= typical)
     names = best.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("typical"))

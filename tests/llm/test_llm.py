@@ -246,6 +246,15 @@ def test_bisecting(spark, small, odd):
     assert bisecting.groups(odd, "id", "text").agg(F.sum("size")).first()[0] == 4
 
 
+@pytest.mark.parametrize("local", [1000, 8192])
+def test_bisecting_ends_by_compactness_only(spark, monkeypatch, local):
+    monkeypatch.setattr(bisecting, "LOCAL", local, raising=False)
+    df = spark.createDataFrame([(k, " ".join(f"topic{k % 300}word{j}" for j in range(4))) for k in range(300 * 16)], "id long, text string").repartition(2)
+    got = bisecting.groups(df, "id", "text", compact=0.1).toPandas()
+    assert got["size"].sum() == 300 * 16 and got.group_id.is_unique
+    assert len(got) > 256 and (got.dispersion[got["size"] >= 16] <= 0.1).all()
+
+
 # 5
 def test_personal_data_held_out():
     tagger = personal.model()
