@@ -22,8 +22,8 @@ from millrace.session import broadcast_value
 
 #: Pages of the training sample, and blocks of a page that training reads. Labelling reads all blocks of all pages.
 SAMPLE, TRAINED_BLOCKS = 700, 300
-#: Slots of words and of path entries; words of a block that count; sizes of the network.
-WORDS, PATHS, COUNTED, EMBED, HIDDEN, NUMBERS = 4096, 1024, 24, 24, 28, 6
+#: Slots of words and of path entries; sizes of the network; words whose vectors are summed at once.
+WORDS, PATHS, EMBED, HIDDEN, NUMBERS, AT_ONCE = 4096, 1024, 24, 28, 6, 500_000
 
 # Phrases of page furniture, as a labelling rule for the training sample.
 ASIDE_HEADS = frozenset("readers also liked|popular articles|in this section|trending|you may also like|next steps|more like this|related articles|related|see also|recommended|most read|latest articles|further reading".split("|"))
@@ -68,15 +68,14 @@ def _slot(word: str, size: int) -> int:
     return _slots[key]
 
 
-def features(title: str, found: list[tuple[str, tuple[str, ...], bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of words (0 for none), slots of path entries, and numbers of each block."""
+def features(title: str, found: list[tuple[str, tuple[str, ...], bool]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Slots of all words, slots of path entries (0 for none), and numbers of each block."""
     n, name = len(found), _name(title)
-    words, paths, numbers = np.zeros((n, COUNTED), np.int32), np.zeros((n, 6), np.int32), np.zeros((n, NUMBERS), np.float32)
+    words, paths, numbers = [], np.zeros((n, 6), np.int32), np.zeros((n, NUMBERS), np.float32)
     for k, (text, path, linked) in enumerate(found):
         low = text.lower()
-        own = low[:400].split()
-        for j, w in enumerate([*own[: COUNTED - 6], *own[-6:]] if len(own) > COUNTED else own):
-            words[k, j] = _slot(w.strip(".,:;!?()") or w, WORDS)
+        own = low.split()
+        words.append(np.array([_slot(w.strip(".,:;!?()") or w, WORDS) for w in own], np.int32))
         tags = path[-3:]
         for j, p in enumerate([*tags, "/".join(x.partition(".")[0] for x in path[-2:]), *(["in " + x for x in path if "." in x or "#" in x or "@" in x][-2:])][:6]):
             paths[k, j] = _slot(p, PATHS)
@@ -84,6 +83,39 @@ def features(title: str, found: list[tuple[str, tuple[str, ...], bool]]) -> tupl
     return words, paths, numbers
 
 
+class Words:
+    """The words' slots of pages side by side: slots of all blocks one after another, and where each block's begin."""
+
+    def __init__(self, pages: list[list[np.ndarray]], long: int):
+        size = np.zeros((len(pages), long), np.int64)
+        for k, page in enumerate(pages):
+            size[k, : len(page)] = [len(w) for w in page]
+        self.size, self.start = size, (np.cumsum(size) - size.ravel()).reshape(size.shape)
+        self.slots = np.concatenate([np.zeros(0, np.int32), *(w for page in pages for w in page)])
+
+    def __getitem__(self, at: tuple[int, int, int]) -> int:
+        page, block, k = at
+        return self.slots[self.start[page, block] + k]
+
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """Of each block, the sum of its words' rows of the table."""
+        out = np.zeros((self.size.size, table.shape[1]), table.dtype)
+        some = np.flatnonzero(self.size.ravel())
+        begin = self.start.ravel()[some]
+        end = begin + self.size.ravel()[some]
+        k = 0
+        while k < len(some):
+            j = max(k + 1, int(np.searchsorted(end, begin[k] + AT_ONCE, "right")))
+            for lo in range(begin[k], end[j - 1], AT_ONCE):  # more than one step only for a single block
+                out[some[k:j]] += np.add.reduceat(table[self.slots[lo : min(lo + AT_ONCE, end[j - 1])]], begin[k:j] - begin[k])
+            k = j
+        return out.reshape(*self.size.shape, -1)
+
+    def add_to(self, table: np.ndarray, part: np.ndarray) -> None:
+        """Adds each block's row of part to the table's rows of its words."""
+        np.add.at(table, self.slots, np.repeat(part.reshape(-1, part.shape[-1]), self.size.ravel(), axis=0))
+
+
 class Labeller:
     """Embeddings, two LSTMs in opposite directions and a logistic output."""
 
@@ -97,8 +129,8 @@ class Labeller:
         self.p["words"][0] = self.p["paths"][0] = 0
 
     def _input(self, words, paths, numbers):
-        count = np.maximum((words > 0).sum(axis=2, keepdims=True), 1) ** 0.5
-        return np.concatenate([self.p["words"][words].sum(axis=2) / count, self.p["paths"][paths].sum(axis=2), numbers], axis=2), count
+        count = (np.maximum(words.size, 1)[:, :, None] ** 0.5).astype(np.float32)
+        return np.concatenate([words.sums(self.p["words"]) / count, self.p["paths"][paths].sum(axis=2), numbers], axis=2), count
 
     def _run(self, x, here, side, keep):
         """Hidden states of one direction; padding passes states on unchanged."""
@@ -150,11 +182,10 @@ class Labeller:
             g["h" + side] = np.einsum("bth,btg->hg", hs, dgates, optimize=True)
             g["c" + side] = dgates.sum(axis=(0, 1))
             dx += dgates @ self.p["x" + side].T
-        for name, slots, part in (("words", words, dx[:, :, :EMBED] / count), ("paths", paths, dx[:, :, EMBED : 2 * EMBED])):
-            d = np.zeros_like(self.p[name])
-            on = slots > 0
-            np.add.at(d, slots[on], np.broadcast_to(part[:, :, None, :], (*slots.shape, EMBED))[on])
-            g[name] = d
+        g["words"], g["paths"] = np.zeros_like(self.p["words"]), np.zeros_like(self.p["paths"])
+        words.add_to(g["words"], dx[:, :, :EMBED] / count)
+        on = paths > 0
+        np.add.at(g["paths"], paths[on], np.broadcast_to(dx[:, :, None, EMBED : 2 * EMBED], (*paths.shape, EMBED))[on])
         return float(loss), g
 
     def fit(self, pages: list[tuple], epochs: int = 7, rate: float = 0.01, batch: int = 24, seed: int = 3) -> Labeller:
@@ -181,12 +212,12 @@ class Labeller:
         return self
 
 
-def padded(pages: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def padded(pages: list[tuple]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     long = max(len(p[0]) for p in pages)
-    words, paths = np.zeros((len(pages), long, COUNTED), np.int32), np.zeros((len(pages), long, 6), np.int32)
+    words, paths = Words([p[0] for p in pages], long), np.zeros((len(pages), long, 6), np.int32)
     numbers, here = np.zeros((len(pages), long, NUMBERS), np.float32), np.zeros((len(pages), long), bool)
-    for k, (w, p, x) in enumerate(pages):
-        words[k, : len(w)], paths[k, : len(w)], numbers[k, : len(w)], here[k, : len(w)] = w, p, x, True
+    for k, (_, p, x) in enumerate(pages):
+        paths[k, : len(p)], numbers[k, : len(p)], here[k, : len(p)] = p, x, True
     return words, paths, numbers, here
 
 

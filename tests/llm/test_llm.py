@@ -211,6 +211,15 @@ def test_slopes_are_those_of_the_loss():
         assert abs((losses[0] - losses[1]) / 2e-4 - g[name][at]) < 1e-4 + 2e-2 * abs(g[name][at])
 
 
+def test_blocks_are_read_to_their_end():
+    net, long = boilerplate.Labeller(1), "some word " * 300
+    ends = [net._input(*boilerplate.padded([boilerplate.features("t", [("a", ("p",), False), (x, ("p",), False)])])[:3])[0][0] for x in (long + "and so on.", long + "read more.", long + long + "read more.")]
+    assert (ends[0][0] == ends[1][0]).all() and abs(ends[0][1] - ends[1][1]).max() > 1e-3
+    assert len({float(x[1, 2 * boilerplate.EMBED + 3]) for x in ends[1:]}) == 2
+    w = boilerplate.padded([boilerplate.features("t", [(x, ("p",), False) for x in ("a b", "word " * 1_200_000, "c")])])[0]
+    assert abs(w.sums(net.p["words"].astype("float64"))[0, 1] / 1_200_000 - net.p["words"][w[0, 1, 0]]).max() < 1e-6
+
+
 def test_blocks_of_odd_pages(spark, odd):
     assert boilerplate.main_blocks(odd, "id", "text").filter("id in (0, 1, 2)").count() == 0
     assert boilerplate.main_blocks(odd.limit(0), "id", "text").count() == 0
