@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
-    return similar.classes(table(spark, folder, "chunks"), "vector_id", "body", words=5, t=0.8)
+    return similar.all_classes(table(spark, folder, "chunks"), "vector_id", "body", words=5, t=0.8)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,10 +9,13 @@ overlap, and the shares of a pair are summed. That sum is exact.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -391,3 +394,26 @@ def classes(df: DataFrame, key: str, text: str, words: int = 5, t: float = 0.8,
         members.join(least_key, "set").join(degree, "set", "left").join(found, F.col("k") == F.col("id"), "left")
         .select(F.col("key").alias(key), F.coalesce("component", "k").alias("class"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     )
+
+
+def all_classes(df: DataFrame, key: str, text: str, words: int = 5, t: float = 0.8) -> DataFrame:
+    """(key, class, copies, links) as in classes, with a row for each distinct key that isn't null.
+
+    Texts of fewer than `words` tokens have no sequences to compare: they are copies if their lists of tokens are equal,
+    or, without any token, their texts in lower case with single spaces. Null and blank texts are alone.
+    """
+    own = df.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).filter("key is not null")
+
+    def short(batches):
+        for batch in batches:
+            for part in pieces(batch, 1):
+                _, doc, _, _ = tokens(part.column(1))
+                k = pa.array(np.flatnonzero(np.bincount(doc, minlength=part.num_rows) < words))
+                low = [" ".join(re.findall("[a-z0-9]{2,}", x)) or " ".join(x.split()) for x in pc.utf8_lower(part.column(1).take(k)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(k), pa.array([hashlib.md5(x.encode()).hexdigest() if x else None for x in low], pa.string())], ["key", "same"])
+
+    rest = cut(own.mapInArrow(short, T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("same", T.StringType())])).distinct())
+    low = rest.filter("same is not null").groupBy("same").agg(F.min("key").alias("k"), F.count("*").alias("copies"))
+    return classes(df, key, text, words, t).unionByName(
+        rest.join(low, "same", "left").select(F.col("key").alias(key), F.coalesce("k", "key").alias("class"), F.coalesce("copies", F.lit(1)).alias("copies"), F.lit(0).cast("long").alias("links"))
+    )

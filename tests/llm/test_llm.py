@@ -164,6 +164,16 @@ def test_pairs_of_odd_rows(spark, odd):
     assert got[7] == (7, 2) and got[8] == (7, 2) and got[6] == (6, 1)
 
 
+def test_every_key_has_a_class(spark, small, odd):
+    c = frame(spark, small, "chunks").drop_duplicates("vector_id")
+    got = queries.p2_classes(spark, small).toPandas().set_index("vector_id")
+    assert got.index.is_unique and set(got.index) == set(c.vector_id)
+    rows = [(1, "Coming soon."), (2, "coming  SOON"), (3, "soon coming"), (4, "日本 語"), (5, "日本\u00a0語"), (6, None), (7, " "), (8, "..."), (9, "a b c")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert {tuple(r) for r in similar.all_classes(df, "id", "text").collect()} == {(1, 1, 2, 0), (2, 1, 2, 0), (3, 3, 1, 0), (4, 4, 2, 0), (5, 4, 2, 0), (6, 6, 1, 0), (7, 7, 1, 0), (8, 8, 1, 0), (9, 9, 1, 0)}
+    assert sorted(r["id"] for r in similar.all_classes(odd, "id", "text").collect()) == list(range(len(ODD)))
+
+
 def test_a_third_of_all_rows_are_copies(spark):
     df = spark.range(1500).select("id", F.when(F.col("id") % 3 == 0, F.lit("one two three four five six seven eight")).otherwise(F.concat_ws(" ", *(F.md5(F.concat(F.col("id").cast("string"), F.lit(k))) for k in range(8)))).alias("text"))
     got = similar.classes(df, "id", "text").groupBy("copies").count().collect()
