@@ -224,3 +224,8 @@ def test_questions_from_titles(spark):
     want = {"Creating a report": "How do I create a report?", "Setting up alerts [admin]": "How do I set up alerts?", "Export data": "How do I export data?", "Team roles": "What is Team roles?", "Release notes 4": None, "May 2024 update": None, "A long heading that is no question or task at all": None}
     df = spark.createDataFrame([(t,) for t in want], "t string")
     assert {r.t: r.q for r in df.select("t", V.question(F.col("t")).alias("q")).collect()} == want
+
+
+def test_nested_lists_have_no_depth_limit():
+    found = H.page_of("<body>" + "".join(f"<ul><li>item{k} " for k in range(1500)))["blocks"]
+    assert [line.strip() for line in found[0]["text"].split("\n")] == [f"- item{k}" for k in range(1500)]
