@@ -57,6 +57,34 @@ EGRESS = ("email", "card", "ssn", "key")
 NOISE_TITLES = r"(?i){b}(release notes?|changelog|what'?s new|coming soon|deprecat|web release|home|index|overview page|sitemap){b}"
 MONTH_TITLES = r"(?i){b}(january|february|march|april|may|june|july|august|september|october|november|december){b}.*[0-9]{4}"
 
+# What providers say about a failure, by what it means.
+QUOTA_SAID = ["insufficient_quota", "insufficient quota", "exceeded your current quota", "billing", "credit balance is too low", "quota exceeded", "resource_exhausted", "plan and billing"]
+MODEL_SAID = ["does not exist", "model_not_found", "unknown model", "is not found", "not_found_error", "invalid model"]
+FILTER_SAID = ["content_filter", "content policy", "safety", "blocked", "prohibited_content"]
+RATE_SAID = ["rate limit", "rate_limit", "too many requests", "overloaded", "slow down", "try again later"]
+DOWN_SAID = ["internal server error", "internal error", "service unavailable", "bad gateway", "upstream"]
+CONTEXT_SAID = ["context_length_exceeded", "maximum context length", "too many tokens", "prompt is too long", "request too large"]
+
+# Verbs that titles of tasks begin with.
+TASK_VERBS = (
+    "add archive assign build configure connect create customise customize delete disable download edit enable export filter generate import install integrate invite"
+    " manage migrate publish remove request reset rotate schedule send set share sync track troubleshoot update upload use view"
+).split()
+
+# The reply that a model is told to give when its context has no answer, and the rules it is given.
+REFUSAL = "I don't have that in this index."
+PROMPT_RULES = [
+    "You answer questions using ONLY the CONTEXT below, which comes from a documentation site.",
+    "Rules:",
+    "- Use only facts present in the context. Do not use outside knowledge.",
+    "- Cite the source of each claim inline as [n], matching the context numbers.",
+    "- Preserve procedural structure: if the source lists numbered steps, answer in numbered steps.",
+    "- Give the COMPLETE procedure. Include every step through to the end, not just the first few.",
+    "- Do not summarise a procedure into prose. Steps stay steps.",
+    "- If the context covers only part of what was asked, answer that part and say plainly which part is missing.",
+    f'- If the answer is not in the context, reply exactly: "{REFUSAL}"',
+]
+
 # Fixed values: (kind, retryable, terminal, retried unasked, shown as, counts for the breaker).
 ERROR_POLICIES = [
     ("auth_invalid", False, True, False, "banner", False), ("rate_limited", True, False, True, "banner", False), ("quota_exhausted", False, True, False, "banner", False), ("model_not_found", False, True, False, "banner", False),

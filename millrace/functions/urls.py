@@ -2,52 +2,77 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsplit
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from millrace.functions import lexicon as L
 
+_PARTS = r"(?s)^([a-zA-Z][a-zA-Z0-9+.\-]*)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\s\[\]]+)(?::([0-9]*))?((?:/[^?#]*)?)(?:\?([^#]*))?(?:#.*)?$"
+#: What a path may hold as it is; anything else is percent-encoded.
+_NO_PATH = "[^!-~]|[\"<>`{}]"
+
+
+def _bound(x: Column, f) -> Column:
+    """f(x) with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _stripped(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
+
+
+def _plain_path(raw: Column) -> Column:
+    """A path without "." and ".." segments and with what it can't hold encoded; "/" for an empty one."""
+    parts = F.split(raw, "/")
+    last = F.element_at(parts, -1)
+    up = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.array_append(done, x))
+    kept = F.concat(F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    short = F.when(raw.rlike(r"/\.\.?(/|$)"), kept).otherwise(raw)
+    coded = F.array_join(F.transform(F.split(short, ""), lambda c: F.when(c.rlike(_NO_PATH), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)), "")
+    return F.when(raw == "", "/").otherwise(F.when(short.rlike(_NO_PATH), coded).otherwise(short))
+
 
-def canonical_of(raw: str | None, base: str | None = None) -> str | None:
-    """The canonical form of an http(s) URL, resolved against base, or None.
+def _kept_query(raw: Column) -> Column:
+    """The parameters that don't only track, sorted by name, encoded as forms are; empty or with "?" in front."""
+    read = lambda x: F.coalesce(F.try_url_decode(x), x)
+    each = F.transform(F.filter(F.split(raw, "&"), lambda x: x != ""), lambda x, i: F.named_struct(F.lit("k"), read(F.substring_index(x, "=", 1)), F.lit("i"), i, F.lit("v"), read(F.when(F.contains(x, F.lit("=")), F.substring(x, F.locate("=", x) + 1, F.length(x))).otherwise(""))))
+    kept = F.array_sort(F.filter(each, lambda x: ~(F.lower(x["k"]).isin(*L.TRACKING) | F.startswith(F.lower(x["k"]), F.lit("utm_")))))
+    joined = F.array_join(F.transform(kept, lambda x: F.concat(F.url_encode(x["k"]), F.lit("="), F.url_encode(x["v"]))), "&")
+    return F.when(raw == "", "").otherwise(F.when(joined == "", "").otherwise(F.concat(F.lit("?"), joined)))
+
+
+def canonical_url(raw: Column, base: Column | None = None) -> Column:
+    """The canonical form of an http(s) URL, resolved against base if given, or null.
 
     Lower-case host, no fragment, no default port, no tracking parameters, the others sorted by name, "/" for an empty
-    path; http becomes https where the base is https on the same host and no port is given.
+    path; http becomes https where the base is https on the same host and the port is the usual one. Native throughout.
     """
-    try:
-        full = urljoin(base, raw.strip()) if base else (raw or "").strip()
-        u = urlsplit(full)
-        port = u.port
-        if u.scheme.lower() not in ("http", "https") or not u.hostname:
-            return None
-    except (ValueError, AttributeError):
-        return None
-    scheme, host = u.scheme.lower(), u.hostname.lower()
-    given = port
-    if (scheme, port) in (("http", 80), ("https", 443)):
-        port = None
-    if scheme == "http" and given is None and base:
-        b = urlsplit(base)
-        if b.scheme.lower() == "https" and (b.hostname or "").lower() == host:
-            scheme = "https"
-    kept = [(k, v) for k, v in parse_qsl(u.query, keep_blank_values=True) if k.lower() not in L.TRACKING and not k.lower().startswith("utm_")]
-    query = urlencode(sorted(kept, key=lambda p: p[0]))
-    return urlunsplit((scheme, host + (f":{port}" if port else ""), quote(u.path, safe="/%:@!$&'()*+,;=~-._") or "/", query, ""))
-
-
-@F.pandas_udf(StringType())
-def canonical_url(raw: pd.Series) -> pd.Series:
-    known: dict = {}
-    return raw.map(lambda x: known[x] if x in known else known.setdefault(x, canonical_of(x)) if isinstance(x, str) else None)
-
-
-@F.pandas_udf(StringType())
-def resolved_url(raw: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([canonical_of(r, b) if isinstance(r, str) else None for r, b in zip(raw, base)], dtype=object)
+    full = _stripped(raw) if base is None else _resolved(_stripped(raw), base)
+    parts = F.named_struct(*(x for k, n in enumerate(("scheme", "host", "port", "path", "query"), 1) for x in (F.lit(n), F.regexp_extract(full, _PARTS, k))))  # named, as aliases are lost beside a generator
+
+    def build(p: Column) -> Column:
+        scheme, name = F.lower(p["scheme"]), F.lower(p["host"])
+        usual = (p["port"] == "") | ((scheme == "http") & (p["port"].cast("int") == 80)) | ((scheme == "https") & (p["port"].cast("int") == 443))
+        if base is not None:
+            scheme = F.when((scheme == "http") & usual & (F.lower(F.regexp_extract(base, _PARTS, 1)) == "https") & (F.lower(F.regexp_extract(base, _PARTS, 2)) == name), "https").otherwise(scheme)
+        url = F.concat(scheme, F.lit("://"), name, F.when(usual, "").otherwise(F.concat(F.lit(":"), p["port"].cast("int").cast("string"))), _plain_path(p["path"]), _kept_query(p["query"]))
+        return F.when(F.lower(p["scheme"]).isin("http", "https") & (name != "") & ((p["port"] == "") | (p["port"].cast("int") < 65536)), url)
+
+    return _bound(parts, build)
+
+
+def _resolved(raw: Column, base: Column) -> Column:
+    """A reference as a full URL, dot segments still in it."""
+    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    folder = F.concat(F.regexp_replace(path(base), "[^/]*$", ""), F.when(path(base) == "", "/").otherwise(""))
+    return (
+        F.when(raw.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:") | base.isNull(), raw).when(F.startswith(raw, F.lit("//")), F.concat(F.substring_index(base, ":", 1), F.lit(":"), raw)).when(F.startswith(raw, F.lit("/")), F.concat(origin, raw))
+        .when(F.startswith(raw, F.lit("?")), F.concat(origin, path(base), raw)).when((raw == "") | F.startswith(raw, F.lit("#")), F.regexp_replace(base, "#.*$", "")).otherwise(F.concat(origin, folder, raw))
+    )
+
+
+def resolved_url(raw: Column, base: Column) -> Column:
+    return canonical_url(raw, base)
 
 
 def host(url: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +40,19 @@ def wall(status: Column, url: Column, final: Column, html: Column) -> Column:
 
 
 def failure(status: Column, html: Column) -> Column:
-    """network, throttled, server, missing, denied, empty or null."""
-    return F.when(status == 0, "network").when(status.isin(408, 429), "throttled").when(status >= 500, "server").when(status.isin(404, 410), "missing").when(status.isin(401, 403), "denied").when(status.between(200, 299) & html.isNull(), "empty")
+    """Why a fetch failed: network, server, throttled, missing, forbidden or other; null if it didn't.
+
+    An answer of 2xx without a text failed too (other). "indexing" stands for a page that was fetched but couldn't be
+    read; extraction reports it, no status does.
+    """
+    fine = (status.between(200, 299) & html.isNotNull()) | (status == 304)
+    why = F.when(status == 0, "network").when(status.isin(404, 410), "missing").when(status.isin(401, 403), "forbidden").when(status.isin(408, 429), "throttled").when(status >= 500, "server").otherwise("other")
+    return F.when(~fine, why)
+
+
+def retryable(reason: Column) -> Column:
+    """Whether a failure is worth another attempt once the queue is empty."""
+    return F.coalesce(reason.isin("network", "server", "throttled", "indexing"), F.lit(False))
 
 
 def transient(status: Column) -> Column:
@@ -62,11 +76,18 @@ def latest_fetch(pages: DataFrame) -> DataFrame:
     return named.filter("page is not null").withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def changed(old: DataFrame, new: DataFrame, on: str) -> DataFrame:
-    """(on, reindex): new rows against stored ones by etag where both have it, else by lastmod, else by hash."""
-    o = old.select(F.col(on), F.col("etag").alias("e0"), F.col("lastmod").alias("l0"), F.col("html_hash").alias("h0"), F.lit(True).alias("known"))
+def changed(old: DataFrame, new: DataFrame, on: str | list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(on, keep, reindex): new rows against stored ones by etag where both have it, else by lastmod, else by hash."""
+    keys = [on] if isinstance(on, str) else on
+    o = old.select(*keys, F.col("etag").alias("e0"), F.col("lastmod").alias("l0"), F.col("html_hash").alias("h0"), F.lit(True).alias("known"))
     test = F.when(F.col("known").isNull(), True).when(F.col("e0").isNotNull() & F.col("etag").isNotNull(), F.col("e0") != F.col("etag")).when(F.col("l0").isNotNull() & F.col("lastmod").isNotNull(), F.col("l0") != F.col("lastmod")).otherwise(~F.col("h0").eqNullSafe(F.col("html_hash")))
-    return new.join(o, on, "left").select(on, test.alias("reindex"))
+    return new.join(o, keys, "left").select(*keys, *keep, test.alias("reindex"))
+
+
+def versions(pages: DataFrame) -> DataFrame:
+    """(url, fetch_id, reindex): each later fetch of a URL against the one before it, in order of time; html_hash tells texts apart."""
+    numbered = pages.withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("fetched_at", "fetch_id")))
+    return changed(numbered.withColumn("n", F.col("n") + 1), numbered.filter("n > 1"), ["url", "n"], ("fetch_id",)).drop("n")
 
 
 def duplicates(pages: DataFrame, by: str, key: str) -> DataFrame:
@@ -78,8 +99,10 @@ def duplicates(pages: DataFrame, by: str, key: str) -> DataFrame:
 def links(pages: DataFrame) -> DataFrame:
     """(page, link): canonical links of each page, resolved against it."""
     hrefs = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
-    raw = pages.select(F.col("final_url").alias("base"), R.canonical_url(F.col("url")).alias("page"), F.explode(F.array_distinct(hrefs)).alias("href"))
-    return raw.select("page", R.resolved_url(F.col("href"), F.coalesce("base", "page")).alias("link")).filter("link is not null").distinct()
+    named = pages.withColumn("page", R.canonical_url(F.col("url")))
+    # resolved before they are exploded, so that filters on a link don't repeat its computation
+    full = F.filter(F.array_distinct(F.transform(hrefs, lambda h: R.resolved_url(h, F.coalesce("final_url", "url")))), lambda x: x.isNotNull())
+    return named.select("page", F.explode(full).alias("link")).distinct()
 
 
 def frontier(seeds: DataFrame, edges: DataFrame, include: list[str], exclude: list[str], depth: int = 3) -> DataFrame:
@@ -100,48 +123,81 @@ def frontier(seeds: DataFrame, edges: DataFrame, include: list[str], exclude: li
 
 
 def robots_rules(files: DataFrame) -> DataFrame:
-    """(host, agent, allow, path, delay) of robots.txt files (host, text). Agents named one after another share a group."""
-    import pyarrow as pa
+    """(host, grp, agents, rules, delay, sitemaps) of robots.txt files (host, text): one row for each group, in order.
+
+    Agents named one after another share a group. Row 0 of a host stands for the file itself, with its sitemaps and
+    without agents. A file is read line by line in its task; hosts never meet.
+    """
+    rule = pa.list_(pa.struct([("allow", pa.bool_()), ("path", pa.string())]))
+    kinds = (pa.string(), pa.int32(), pa.list_(pa.string()), rule, pa.float64(), pa.list_(pa.string()))
+    names = ["host", "grp", "agents", "rules", "delay", "sitemaps"]
+
+    def groups_of(host: str, text: str | None) -> list[list]:
+        own = [[host, 0, [], [], None, []]]
+        naming = False
+        pairs = (line.split("#")[0].partition(":") for line in (text or "").splitlines())
+        for name, value in ((n.strip().lower(), v.strip()) for n, colon, v in pairs if colon):
+            if name == "sitemap":
+                own[0][5].append(value)
+            elif name == "user-agent":
+                if not naming:
+                    own.append([host, len(own), [], [], None, None])
+                own[-1][2].append(value.lower())
+                naming = True
+            elif name not in ("allow", "disallow", "crawl-delay"):
+                naming = False
+            elif len(own) > 1:
+                naming = False
+                if name == "crawl-delay":
+                    number = re.fullmatch(r"[+]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?|", value, re.I)
+                    own[-1][4] = float(value or 0) if number else own[-1][4]
+                elif value or name == "allow":
+                    own[-1][3].append({"allow": name == "allow", "path": value})
+        return own
 
     def run(batches):
         for batch in batches:
-            out = []
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                group, open_ = [], False
-                for line in (text or "").splitlines():
-                    name, _, value = line.split("#")[0].partition(":")
-                    name, value = name.strip().lower(), value.strip()
-                    if name == "user-agent":
-                        group = [*group, value.lower()] if open_ else [value.lower()]
-                        open_ = True
-                        out += [(host, value.lower(), None, None, None)]
-                    elif group and name in ("allow", "disallow") and value:
-                        open_ = False
-                        out += [(host, a, name == "allow", value, None) for a in group]
-                    elif group and name == "crawl-delay":
-                        open_ = False
-                        try:
-                            out += [(host, a, None, None, float(value)) for a in group]
-                        except ValueError:
-                            pass
-                    elif name:
-                        open_ = False
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.string(), pa.bool_(), pa.string(), pa.float64()))], ["host", "agent", "allow", "path", "delay"])
-
-    return files.select("host", "text").mapInArrow(run, "host string, agent string, allow boolean, path string, delay double")
+            rows = [r for host, text in zip(*(c.to_pylist() for c in batch.columns)) for r in groups_of(host, text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    return files.select("host", "text").mapInArrow(run, "host string, grp int, agents array<string>, rules array<struct<allow:boolean,path:string>>, delay double, sitemaps array<string>")
+
+
+def robots_group(rules: DataFrame, agent: str) -> DataFrame:
+    """(host, rules, delay): the group that holds for an agent: the first that names a part of it, else the last for "*"."""
+    name = F.lit(agent.lower())
+    named = F.exists("agents", lambda a: (a != "*") & F.contains(name, a))
+    order = F.when(named, F.col("grp")).when(F.array_contains("agents", "*"), F.lit(1 << 30) - F.col("grp"))
+    return rules.withColumn("o", order).filter("o is not null").groupBy("host").agg(F.min_by(F.struct("rules", "delay"), "o").alias("g")).select("host", "g.rules", "g.delay")
+
+
+def robots_sitemaps(rules: DataFrame) -> DataFrame:
+    """(host, loc): the sitemaps that files name."""
+    return rules.filter("grp = 0").select("host", F.explode("sitemaps").alias("loc"))
 
 
 def allowed(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """pages (url, host) with allowed: by the longest rule of the agent's group that the path begins with; a tie allows.
+    """pages (url, host) with allowed and delay: by the longest rule of the agent's group that path and query begin with; a tie allows.
 
-    The group is that of a named part of the agent, else that of "*". Rules meet pages by host, so this is an equi-join.
+    Groups meet pages by host in one equi-join, and a page's rules are weighed within its row.
     """
-    named = rules.withColumn("own", F.lit(agent.lower()).contains(F.col("agent")) & (F.col("agent") != "*"))
-    has = named.groupBy("host").agg(F.bool_or("own").alias("any"))
-    used = named.join(has, "host").filter((F.col("any") & F.col("own")) | (~F.col("any") & (F.col("agent") == "*"))).filter("path is not null").select("host", "allow", F.col("path").alias("rule"))
     whole = F.concat(F.when(R.path(F.col("url")) == "", "/").otherwise(R.path(F.col("url"))), F.when(R.query(F.col("url")) != "", F.concat(F.lit("?"), R.query(F.col("url")))).otherwise(F.lit("")))
-    hits = pages.select("url", "host", whole.alias("p")).join(used, "host").filter(F.startswith("p", "rule")).groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), F.col("allow").alias("a"))).alias("best"))
-    return pages.join(hits, "url", "left").withColumn("allowed", F.coalesce(F.col("best.a"), F.lit(True))).drop("best")
+    met = pages.withColumn("__p", whole).join(robots_group(rules, agent), "host", "left")
+    best = F.array_max(F.transform(F.filter("rules", lambda r: F.startswith(F.col("__p"), r["path"])), lambda r: F.named_struct(F.lit("n"), F.length(r["path"]), F.lit("a"), r["allow"])))
+    return met.withColumn("allowed", F.coalesce(best["a"], F.lit(True))).drop("__p", "rules")
+
+
+def seeds(rules: DataFrame, maps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, url): where crawls of roots (root, host, sitemap) begin: the entries of the given sitemap, else of those that
+    the host's robots file names, else of /sitemap.xml; indexes are followed one level. maps has (source, xml)."""
+    named = robots_sitemaps(rules).groupBy("host").agg(F.collect_set("loc").alias("named"))
+    usual = F.array(F.concat(F.regexp_extract("root", "^([a-zA-Z]+://[^/?#]+)", 1), F.lit("/sitemap.xml")))
+    own = F.when(F.col("sitemap").isNotNull(), F.array("sitemap")).otherwise(F.coalesce(F.when(F.size("named") > 0, F.col("named")), usual))
+    first = roots.join(named, "host", "left").select("root", F.explode(own).alias("source"))
+    read = sitemap(maps)
+    top = first.join(read, "source")
+    below = top.filter("is_index").select("root", F.col("loc").alias("source")).distinct().join(read.filter("not is_index"), "source")
+    return top.filter("not is_index").select("root", F.col("loc").alias("url")).unionByName(below.select("root", F.col("loc").alias("url"))).distinct()
 
 
 def sitemap(files: DataFrame) -> DataFrame:

@@ -185,12 +185,28 @@ def error_policies(spark) -> DataFrame:
     return spark.createDataFrame(L.ERROR_POLICIES, "kind string, retryable boolean, terminal boolean, auto_retry boolean, shown_as string, trips boolean")
 
 
+def _says(text: Column, marks: list[str]) -> Column:
+    return F.greatest(*(F.contains(text, F.lit(m)) for m in marks))
+
+
 def error_kind(status: Column, body: Column) -> Column:
-    """The kind of a provider's failure from its HTTP status (0: no response) and text."""
+    """The kind of a provider's failure from its HTTP status and text.
+
+    Clear statuses decide alone. 400 and 422 are told apart by what the text says; so is any status that says nothing,
+    such as a 200 whose stream turned into an error (0 stands for an error without a status). Quota is looked for before
+    the rate, as a text about an exceeded quota may name both.
+    """
     low = F.lower(F.coalesce(body, F.lit("")))
-    quota = low.rlike("insufficient_quota|quota|billing|credit|exceeded your current")
+    quota, model, filtered = _says(low, L.QUOTA_SAID), _says(low, L.MODEL_SAID), _says(low, L.FILTER_SAID)
+    said = F.when(quota, "quota_exhausted").when(model, "model_not_found").when(filtered, "content_filtered").when(_says(low, L.CONTEXT_SAID), "bad_request").when(_says(low, L.RATE_SAID), "rate_limited").when(_says(low, L.DOWN_SAID), "provider_down")
     return (
-        F.when(status == 0, F.when(low.rlike("abort|cancel"), "cancelled").when(low.rlike("timeout|timed out"), "timeout").otherwise("network")).when(status.isin(401, 403), "auth_invalid").when((status == 429) & quota | (status == 402), "quota_exhausted").when(status == 429, "rate_limited")
-        .when(low.rlike("content_filter|safety|blocked by"), "content_filtered").when((status == 404) | low.rlike("model_not_found|no such model|model .* does not exist"), "model_not_found").when(status == 408, "timeout").when(status >= 500, "provider_down").when(status >= 400, "bad_request")
-        .when((status == 200) & (low == ""), "empty_stream").otherwise("unknown")
+        F.when(status.isin(401, 403), "auth_invalid").when(status == 429, F.when(quota, "quota_exhausted").otherwise("rate_limited")).when(status == 404, "model_not_found")
+        .when(status.isin(400, 422), F.when(model, "model_not_found").when(filtered, "content_filtered").otherwise("bad_request"))
+        .when(status == 402, "quota_exhausted").when(status.isin(408, 504), "timeout").when(status >= 500, "provider_down").otherwise(F.coalesce(said, F.lit("unknown")))
     )
+
+
+def thrown_kind(name: Column, message: Column, cancelled: Column) -> Column:
+    """The kind of a failure that was thrown, from the error's name and message, and whether the user stopped it."""
+    network = (name == "TypeError") | F.coalesce(message, F.lit("")).rlike("(?i)failed to fetch|networkerror|load failed")
+    return F.when(name == "AbortError", F.when(F.coalesce(cancelled, F.lit(False)), "cancelled").otherwise("timeout")).when(name == "TimeoutError", "timeout").when(network, "network").otherwise("unknown")

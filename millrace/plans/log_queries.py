@@ -185,9 +185,17 @@ def refusals(spark, d):
     return turns(spark, d).groupBy("index_id", "tier").agg(F.count_if("refused").alias("refused"), F.count("*").alias("turns"), F.round(F.avg(F.col("refused").cast("double")), 6).alias("rate"))
 
 
+#: Statuses and texts that reach every branch of telling failures apart.
+SAID = ["", *L.QUOTA_SAID, *L.MODEL_SAID, *L.FILTER_SAID, *L.RATE_SAID, *L.DOWN_SAID, *L.CONTEXT_SAID, "your credit card form", "Quota exceeded: rate limit reached", "SAFETY stop of an unknown model", "timed out"]
+STATUSES = [0, 200, 400, 401, 402, 403, 404, 408, 418, 422, 429, 500, 502, 504]
+
+
 def error_kinds(spark, d):
-    pages = one_of_each(table(spark, d, "pages_raw"), "fetch_id")
-    kinds = pages.select(G.error_kind(F.col("status"), F.lit("")).alias("kind")).groupBy("kind").count().withColumnRenamed("count", "n")
+    """The kind and policy of each status with each text, and of the fetched pages' statuses."""
+    literal = lambda xs: F.explode(F.array(*map(F.lit, xs)))
+    cases = spark.range(1).select(literal(STATUSES).alias("status")).select("status", literal(SAID).alias("said"))
+    both = cases.unionByName(one_of_each(table(spark, d, "pages_raw").select("fetch_id", "status"), "fetch_id").select("status", F.lit("").alias("said")))
+    kinds = both.groupBy("status", "said").agg(F.count("*").alias("n")).withColumn("kind", G.error_kind(F.col("status"), F.col("said")))
     return kinds.join(F.broadcast(G.error_policies(spark)), "kind", "left")
 
 
@@ -257,6 +265,11 @@ SQL = {
 _MATCH = "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(lower({}), '‘', chr(39)), '’', chr(39)), '“', '\"'), '”', '\"'), '[*_`#>]', '', 'g'), '[\\s\\x{{00A0}}\\x{{FEFF}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g'))"
 SQL["answer_coverage"] = f"WITH {_TURNS}, a AS (SELECT id, turn_no, {_MATCH.format('markdown')} AS hay, list_filter(list_transform(sources, lambda s: s.title), lambda x: x IS NOT NULL) AS titles FROM t WHERE markdown IS NOT NULL) SELECT id, turn_no, round(CASE WHEN len(titles) = 0 THEN 1 ELSE 1 - len(list_filter(titles, lambda p: {_MATCH.format('p')} = '' OR NOT contains(hay, {_MATCH.format('p')}))) / len(titles) END, 6) AS ratio FROM a"
 _POLICIES = ", ".join(str((k, *map(str, r))) for k, *r in L.ERROR_POLICIES)
-SQL["error_kinds"] = f"WITH p AS (SELECT DISTINCT ON (fetch_id) * FROM pages_raw), k AS (SELECT CASE WHEN status = 0 THEN 'network' WHEN status IN (401, 403) THEN 'auth_invalid' WHEN status = 402 THEN 'quota_exhausted' WHEN status = 429 THEN 'rate_limited' WHEN status = 404 THEN 'model_not_found' WHEN status = 408 THEN 'timeout' WHEN status >= 500 THEN 'provider_down' WHEN status >= 400 THEN 'bad_request' WHEN status = 200 THEN 'empty_stream' ELSE 'unknown' END AS kind, count(*) AS n FROM p GROUP BY 1), e(kind, a, b, c, shown_as, d) AS (VALUES {_POLICIES}) SELECT kind, n, a::BOOLEAN AS retryable, b::BOOLEAN AS terminal, c::BOOLEAN AS auto_retry, shown_as, d::BOOLEAN AS trips FROM k LEFT JOIN e USING (kind)"
+_has = lambda marks: "(" + " OR ".join(f"contains(lower(said), '{m}')" for m in marks) + ")"
+SQL["error_kinds"] = (
+    f"WITH c AS (SELECT unnest({STATUSES}) AS status), m AS (SELECT unnest([{_list(SAID)}]) AS said), b AS (SELECT status, said FROM c, m UNION ALL SELECT status, '' FROM (SELECT DISTINCT ON (fetch_id) * FROM pages_raw)), k AS (SELECT status, said, count(*) AS n, CASE status WHEN 401 THEN 'auth_invalid' WHEN 403 THEN 'auth_invalid' WHEN 402 THEN 'quota_exhausted' WHEN 404 THEN 'model_not_found' WHEN 408 THEN 'timeout' WHEN 504 THEN 'timeout'"
+    f" WHEN 429 THEN if({_has(L.QUOTA_SAID)}, 'quota_exhausted', 'rate_limited') WHEN 400 THEN NULL WHEN 422 THEN NULL ELSE if(status >= 500, 'provider_down', if({_has(L.QUOTA_SAID)}, 'quota_exhausted', if({_has(L.MODEL_SAID)}, 'model_not_found', if({_has(L.FILTER_SAID)}, 'content_filtered', if({_has(L.CONTEXT_SAID)}, 'bad_request', if({_has(L.RATE_SAID)}, 'rate_limited', if({_has(L.DOWN_SAID)}, 'provider_down', 'unknown'))))))) END AS k1,"
+    f" if({_has(L.MODEL_SAID)}, 'model_not_found', if({_has(L.FILTER_SAID)}, 'content_filtered', 'bad_request')) AS k2 FROM b GROUP BY ALL), e(kind, a, b, c, shown_as, d) AS (VALUES {_POLICIES}) SELECT coalesce(k1, k2) AS kind, status, said, n, a::BOOLEAN AS retryable, b::BOOLEAN AS terminal, c::BOOLEAN AS auto_retry, shown_as, d::BOOLEAN AS trips FROM k LEFT JOIN e ON e.kind = coalesce(k1, k2)"
+)
 
 QUERIES = {f.__name__: f for f in (verdict_bands, calibrate_floors, floor_sweep, recommended_floor, scatter_sweep, pii_mask, intents, follow_up, rewrite_guard, query_plans, failed_queries, gap_report, gap_csv, pick_priors, prior_boost, spend_rollup, cache_eviction, chat_sessions_latest, chat_sessions_kept, index_stats, index_freshness, probe_titles, content_hashes, content_hash_dupes, failure_streaks, outcome_counts, log_dedupe, event_sessions, event_windows, answer_coverage, refusals, error_kinds)}

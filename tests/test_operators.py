@@ -43,8 +43,10 @@ def test_masks_in_order(spark):
     assert "[ip]" not in one(spark, X.mask(F.col("t"), ("email",)), t=text)
 
 
-def test_canonical_urls():
-    c = R.canonical_of
+def test_canonical_urls(spark):
+    def c(url, base=None):
+        return spark.createDataFrame([(url, base)], "u string, b string").select((R.canonical_url(F.col("u"), F.col("b")) if base else R.canonical_url(F.col("u"))).alias("x")).first().x
+
     assert c("https://Docs.Example.com/a#s") == "https://docs.example.com/a"
     assert c("https://x.com/p?utm_source=t&id=7&gclid=abc&q=hi") == "https://x.com/p?id=7&q=hi"
     assert c("https://x.com/p?b=2&a=1") == "https://x.com/p?a=1&b=2"
@@ -52,6 +54,8 @@ def test_canonical_urls():
     assert c("../guide", "https://x.com/docs/intro") == "https://x.com/guide"
     assert c("http://x.com/a", "https://x.com/b") == "https://x.com/a"
     assert c("mailto:a@b.c") is None and c("javascript:1") is None and c(None) is None and c("http://[") is None
+    assert c(" x/./y/../z/..\n", "https://x.com/d/e?q") == "https://x.com/d/x/" and c("?p=2", "https://x.com/d/e?z") == "https://x.com/d/e?p=2" and c("#top", "https://x.com/d#e") == "https://x.com/d"
+    assert c("/a b/ü?q=a b&x=%41", "https://x.com/") == "https://x.com/a%20b/%C3%BC?q=a+b&x=A" and c("http://x.com:99999/") is None and c("//y.com", "https://x.com/a") == "https://y.com/"
 
 
 def test_acting_and_binary_urls(spark):
@@ -151,6 +155,37 @@ def test_robots(spark):
     assert not {r.url: r.allowed for r in C.allowed(urls, rules, "zzz").collect()}["https://h/z"]
 
 
+def test_first_fitting_robots_group_counts_alone(spark):
+    files = spark.createDataFrame([("h", "User-agent: example\nDisallow: /a\nCrawl-delay: 2\nUser-agent: examplebot\nDisallow: /b\nSitemap: https://h/s.xml\n"), ("s", "User-agent: *\nDisallow: /a\n\nUser-agent: *\nDisallow: /b\n")], "host string, text string")
+    urls = spark.createDataFrame([(f"https://{h}/{x}", h) for h in "hs" for x in "ab"], "url string, host string")
+    rules = C.robots_rules(files)
+    got = {r.url: (r.allowed, r.delay) for r in C.allowed(urls, rules, "examplebot").collect()}
+    assert got == {"https://h/a": (False, 2.0), "https://h/b": (True, 2.0), "https://s/a": (True, None), "https://s/b": (False, None)}
+    assert [tuple(r) for r in C.robots_sitemaps(rules).collect()] == [("h", "https://h/s.xml")]
+
+
+def test_failed_pages_are_never_indexed(spark):
+    rows = [(200, "x"), (200, None), (304, None), (0, None), (400, "x"), (402, "x"), (404, "x"), (405, "x"), (408, "x"), (451, "x"), (500, "x"), (301, "x")]
+    df = spark.createDataFrame([("u", "u", s, h, None) for s, h in rows], "url string, final_url string, status int, html string, robots_tag string")
+    got = [(r.failure, r.outcome) for r in C.outcome(df).collect()]
+    assert [f for f, _ in got] == [None, "other", None, "network", "other", "other", "missing", "other", "throttled", "other", "server", "other"]
+    assert [o for _, o in got] == ["indexed", "failed", "unchanged"] + ["failed"] * 9
+
+
+def test_error_kinds(spark):
+    cases = {(504, ""): "timeout", (400, "Invalid model"): "model_not_found", (500, "safety"): "provider_down", (429, "your credit card form"): "rate_limited", (200, "Overloaded"): "rate_limited", (429, "billing"): "quota_exhausted", (422, "x"): "bad_request", (0, "quota exceeded: rate limit"): "quota_exhausted", (418, ""): "unknown", (403, "quota"): "auth_invalid"}
+    df = spark.createDataFrame(list(cases), "s int, b string")
+    assert {(r.s, r.b): r.k for r in df.select("s", "b", G.error_kind(F.col("s"), F.col("b")).alias("k")).collect()} == cases
+    thrown = spark.createDataFrame([("AbortError", "", True), ("AbortError", "", False), ("TimeoutError", "", None), ("TypeError", "", None), ("Error", "Failed to fetch", None), ("Error", None, None)], "n string, m string, c boolean")
+    assert [r[0] for r in thrown.select(G.thrown_kind(F.col("n"), F.col("m"), F.col("c"))).collect()] == ["cancelled", "timeout", "timeout", "network", "network", "unknown"]
+
+
+def test_rejected_pages_give_no_question(spark):
+    rows = [("i", "u1", "Release Notes", "Product > Releases", "x" * 900, 0), ("i", "u2", "Filter results", "Search > Filter", "x" * 100, 0), ("i", "u3", "Roleplay ends in any of these many cases", "Trials > Troubleshoot sync", "x" * 50, 0), ("i", "u4", "Customise it", "What's new > 4", "x", 0)]
+    df = spark.createDataFrame(rows, "index_id string, url string, title string, heading_path string, body string, chunk_pos int")
+    assert [r.question for r in V.starters(df).orderBy("place").collect()] == ["How do I filter results?", "How do I troubleshoot sync?"]
+
+
 def test_sitemap_and_frontier(spark):
     files = spark.createDataFrame([("s", "<urlset><url><loc> https://a/x?a=1&amp;b=2 </loc></url></urlset>")], "source string, xml string")
     assert C.sitemap(files).first().loc == "https://a/x?a=1&b=2"
@@ -216,6 +251,90 @@ def test_chunks_keep_to_size_and_headings():
     assert K.passages([], None, None) == []
 
 
+def test_emphasis_begins_after_a_blank():
+    assert V.html_of("a*b*c and *d* (*e*)") == "<p>a*b*c and <em>d</em> (<em>e</em>)</p>"
+
+
+def test_junk_by_class_and_id():
+    page = H.page_of('<main><div id="related-settings">kept</div><div class="x-related">gone</div><div id="cookie-bar">gone</div><div class="Related">kept too</div><p>a <span class="Tooltip-x">gone</span>b</p><h2 id="t">T <i class="copy-link">Copied!</i></h2><ol><li>one<div><ul><li>in</ul></div><li>two</ol></main>')
+    assert [b["text"] for b in page["blocks"]] == ["kept", "kept too", "a b", "T", "1. one in\n  - in\n2. two"] and page["outline"] == ["T"]
+    assert H.page_of('<div id="main-content"><div class="wiki-content">x</div></div>')["platform"] == "confluence" and H.page_of('<p data-testid="page.desktop">x</p>')["platform"] == "gitbook"
+    assert H.page_of('<link rel="canonical" href="/a"><time datetime="2024">', "https://h/b")["canonical"] == "https://h/a"
+
+
+def plain_passages(blocks, title, crumbs):
+    """The rules of passages, one unit after another."""
+    out, heads, held, total = [], [], [], 0
+
+    def close(carry):
+        nonlocal held, total
+        if "\n\n".join(held).strip():
+            path = K.path_of([*crumbs, *(h[1] for h in heads)])
+            out.append(("\n\n".join(held).strip(), path, heads[-1][2] if heads else None))
+        held, total = ([carry], K.size(carry)) if carry else ([], 0)
+
+    def cut(text):
+        words, line = [], []
+        for s in K.sentences(text):
+            if K.size(s) <= 350:
+                words.append(s)
+                continue
+            line, n = [], 0
+            for w in s.split():
+                if K.size(w) > 350:
+                    words += ([" ".join(line)] if line else []) + [w[k : k + 1312] for k in range(0, len(w), 1312)]
+                    line, n = [], 0
+                else:
+                    if n and n + K.size(w) > 350:
+                        words.append(" ".join(line))
+                        line, n = [], 0
+                    line.append(w)
+                    n += K.size(w)
+            words += [" ".join(line)] if line else []
+        pieces, now, n = [], [], 0
+        for w in words:
+            if n and n + K.size(w) > 350:
+                pieces.append(" ".join(now))
+                now, n = [], 0
+            now.append(w)
+            n += K.size(w)
+        return pieces + [" ".join(now)]
+
+    for b in blocks:
+        if b["type"] == "heading":
+            if total:
+                close("")
+            heads[:] = [h for h in heads if h[0] < (b["level"] or 2)] + [(b["level"] or 2, b["text"], b["anchor"])]
+            continue
+        for text in cut(b["text"]) if b["type"] == "paragraph" and K.size(b["text"]) > 350 else [b["text"]]:
+            whole = b["type"] != "paragraph"
+            if total and total + K.size(text) > 400:
+                close("" if whole else K._tail(" ".join(held)))
+            held.append(text)
+            total += K.size(text)
+            if not whole and total >= 350:
+                close(K._tail(text))
+    if total:
+        close("")
+    if len(out) > 1 and K.size(page := "\n\n".join(o[0] for o in out)) < 120:
+        return [(page, " > ".join(x for x in [*crumbs, title] if x) or out[0][1], out[0][2])]
+    return out
+
+
+def test_passages_follow_the_rules():
+    r = random.Random(9)
+    words = ["a", "word", "longer-word", "z" * 1400, "x" * 3000, "end.", "why?", "だ。"]
+    for _ in range(300):
+        blocks = []
+        for _ in range(r.randint(0, 25)):
+            kind = r.choice(["heading", "paragraph", "paragraph", "paragraph", "list", "code"])
+            n = r.choice([1, 3, 30, 120, 300, 900]) if kind != "heading" else 3
+            text = " ".join(r.choices(words, [30, 30, 10, 0.05, 0.05, 6, 2, 2], k=n))
+            blocks.append({"type": kind, "text": text, "level": r.choice([None, 1, 2, 3]), "anchor": r.choice([None, "x", "y"])})
+        got = [(p["body"], p["heading_path"], p["anchor"]) for p in K.passages(blocks, "T", ["Home", "home"])]
+        assert got == plain_passages(blocks, "T", ["Home", "home"])
+
+
 def test_rendering():
     assert V.html_of("1. a **b**\n2. c [1] [9]\n\n```\n<x>\n```\nend", 3) == '<ol><li>a <strong>b</strong></li><li>c <a class="cite" href="#source-1" data-cite="1">1</a> [9]</li></ol><pre><code>&lt;x&gt;</code></pre><p>end</p>'
 
