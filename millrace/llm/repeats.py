@@ -1,8 +1,9 @@
-"""Lines that one source repeats over many documents, found through content-defined chunks.
+"""Lines and passages that one source repeats over many documents, found through content-defined chunks.
 
-A text is cut into chunks where a rolling hash over its normal form says so, not at fixed places, so the same passage
-gives the same chunks wherever it stands. Chunks that too many documents of one source share lead to the repeated
-lines: a line can only be repeated if every chunk of it is. The lines that remain are counted exactly.
+A body is cut into chunks where a rolling hash over its normal form says so, so the same passage gives the same chunks
+wherever it stands; a line's end always ends a chunk. One table counts, for each chunk and source, the documents. A
+line's last chunk is counted once more together with what leads to it on its line. So repeated lines are read off the
+table, and what is cut from a body are lines and long runs of repeated chunks.
 """
 
 from __future__ import annotations
@@ -16,10 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.spans import Spans, U, mix, pieces, run_starts
+from millrace.llm.marks import marks_of
+from millrace.session import cut
 from millrace.sources.tables import one_of_each
 
 #: Bytes that the rolling hash sees, and how many of its bits must be 0 for a cut: a chunk has about 2**BITS bytes.
 WIDTH, BITS = 8, 5
+#: Bytes of the normal form from which a run of repeated chunks is cut that is no whole line.
+PASSAGE = 120
 
 _blanks, _digits = re.compile(r"[^\S\n]+"), re.compile("[0-9]+")
 
@@ -36,7 +41,7 @@ def normal_lines(text: str | None) -> list[str]:
 
 
 class _Lines:
-    """The lines of a batch that aren't blank: row, line number, and a key of source and normal form."""
+    """The lines of a batch that aren't blank: row, line number, a key of source and normal form, and their chunks."""
 
     def __init__(self, batch: pa.RecordBatch):
         per = [normal_lines(x) for x in batch.column(2).to_pylist()]
@@ -47,26 +52,25 @@ class _Lines:
         source = Spans(batch.column(1))
         source = source.hash(source.at[:-1], source.at[1:])
         self.row, self.number = rows[keep], number[keep]
-        self.spans = Spans(pa.array([x for x in flat if x], pa.large_string()))
-        self.source = source[self.row] if len(self.row) else np.empty(0, U)
-        self.start, self.end = self.spans.at[:-1], self.spans.at[1:]
-        self.key = mix(self.spans.hash(self.start, self.end) ^ self.source)
-
-    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each chunk: the line it belongs to, its place there, and a key of source and content."""
-        n = len(self.spans.bytes)
-        if not n:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U)
-        cut = (self.spans.window(WIDTH) >> U(64 - BITS)) == 0
-        line = np.repeat(np.arange(len(self.start)), self.end - self.start)
-        cut &= np.arange(n) - self.start[line] >= WIDTH - 1  # the window lies within the line
-        cut[self.end - 1] = True
-        ends = np.flatnonzero(cut) + 1
-        starts = np.concatenate([[0], ends[:-1]])
-        of = line[starts]
-        first = run_starts(of)
-        place = np.arange(len(of)) - np.repeat(first, np.diff([*first, len(of)]))
-        return of, place, mix(self.spans.hash(starts, ends) ^ mix(self.source[of]))
+        spans = Spans(pa.array([x for x in flat if x], pa.large_string()))
+        source = source[self.row] if len(self.row) else np.empty(0, U)
+        start, end = spans.at[:-1], spans.at[1:]
+        self.key = mix(spans.hash(start, end) ^ source)
+        n = len(spans.bytes)
+        ends = np.zeros(n, bool)
+        if n:
+            ends = (spans.window(WIDTH) >> U(64 - BITS)) == 0
+            ends &= np.arange(n) - np.repeat(start, end - start) >= WIDTH - 1  # the hash starts anew on each line
+            ends[end - 1] = True
+        last = np.flatnonzero(ends)
+        self.starts, self.ends = np.concatenate([[0], last[:-1] + 1])[: len(last)], last + 1
+        self.of = np.searchsorted(spans.at, self.starts, "right") - 1
+        self.first = run_starts(self.of)
+        self.single = np.diff([*self.first, len(self.of)]) == 1
+        # a chunk that is its whole line is known by the line's key
+        self.chunk = mix(spans.hash(self.starts, self.ends) ^ mix(source[self.of])) if n else np.empty(0, U)
+        self.chunk[self.first[self.single]] = self.key[self.single]
+        self.starts, self.ends = self.starts - spans.at[self.of], self.ends - spans.at[self.of]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -78,80 +82,135 @@ def _sources(df: DataFrame, key: str, source: Column, text: str) -> DataFrame:
     return one.filter("source is not null and text is not null").select("key", "source", "text")
 
 
-def repeated_lines(df: DataFrame, key: str, source: Column, text: str, least: int = 10) -> DataFrame:
-    """(line): keys of source and normal form of the lines that at least `least` distinct keys of one source have.
+def chunk_table(lines: DataFrame) -> DataFrame:
+    """(chunk, documents) of (key, source, text): in how many texts of its source a chunk stands.
 
-    Three steps. Every batch counts, for each chunk, its documents; only these sums are shuffled, so a source with a
-    third of all rows is no hot group. Lines all of whose chunks have `least` documents are candidates, again summed
-    for each batch before the shuffle. Their exact numbers of documents decide.
+    chunk is a key of source and content; for a line's end, of source and whole line. Every batch makes its own sums, so
+    only these are shuffled and a source with a third of all rows is no hot group.
     """
-    lines = _sources(df, key, source, text)
 
-    def count_chunks(batches):
+    def count(batches):
         for batch in batches:
             for part in pieces(batch, 2):
                 x = _Lines(part)
-                of, _, chunk = x.chunks()
-                row = x.row[of]
+                long = ~x.single
+                chunk, row = np.concatenate([x.chunk, x.key[long]]), np.concatenate([x.row[x.of], x.row[long]])
                 order = np.lexsort((row, chunk))
                 chunk, row = chunk[order], row[order]
-                chunk = chunk[run_starts(chunk, row)] if len(chunk) else chunk  # a document counts once
+                chunk = chunk[run_starts(chunk, row)]  # a document counts once
                 at = run_starts(chunk)
                 yield pa.RecordBatch.from_arrays([_signed(chunk[at]), pa.array(np.diff([*at, len(chunk)]), pa.int64())], ["chunk", "n"])
 
-    often = lines.mapInArrow(count_chunks, "chunk long, n long").groupBy("chunk").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("chunk")
-
-    def count_lines(batches):
-        for batch in batches:
-            for part in pieces(batch, 2):
-                x = _Lines(part)
-                order = np.lexsort((x.row, x.key))
-                key_, row = x.key[order], x.row[order]
-                once = run_starts(key_, row)
-                key_, some = key_[once], order[once]
-                at = run_starts(key_)
-                key_, some, n = key_[at], some[at], np.diff([*at, len(key_)])
-                of, place, chunk = x.chunks()
-                slot = np.full(len(x.row), -1)
-                slot[some] = np.arange(len(some))
-                take = slot[of] >= 0 if len(of) else np.empty(0, bool)
-                of, place, chunk = slot[of[take]], place[take], chunk[take]
-                sizes = np.bincount(of, minlength=len(some))
-                yield pa.RecordBatch.from_arrays([_signed(chunk), _signed(key_[of]), pa.array(place, pa.int32()), pa.array(sizes[of], pa.int32()), pa.array(n[of], pa.int64())], ["chunk", "line", "place", "of", "n"])
-
-    found = lines.mapInArrow(count_lines, "chunk long, line long, place int, of int, n long").join(often, "chunk")
-    # the sum over a line's chunk 0 is its exact number of documents
-    return (
-        found.groupBy("line")
-        .agg(F.size(F.collect_set("place")).alias("had"), F.max("of").alias("of"), F.sum(F.when(F.col("place") == 0, F.col("n"))).alias("n"))
-        .filter((F.col("had") == F.col("of")) & (F.col("n") >= least))
-        .select("line")
-    )
+    return lines.mapInArrow(count, "chunk long, n long").groupBy("chunk").agg(F.sum("n").alias("documents"))
 
 
 def find(df: DataFrame, key: str, source: Column, text: str, least: int = 10) -> DataFrame:
-    """(key, line_no): the places of repeated lines, counted from 0. Rows without key, source or text have none.
+    """(key, line_no): the places of lines that at least `least` distinct keys of one source have, counted from 0.
 
-    Of rows with one key, one counts. Blank lines never count. An empty table gives an empty result.
+    A line is repeated if the chunks that cover it are, the last one together with all before it. Chunks are looked up in
+    a table of marks first, so only lines that may be repeated are joined with the table of chunks. Rows without key,
+    source or text have none. Of rows with one key, one counts. Blank lines never count. An empty table gives an empty
+    result.
     """
     lines = _sources(df, key, source, text)
-    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.LongType())])
+    often = cut(chunk_table(lines).filter(F.col("documents") >= least).select("chunk"))
+    marks = marks_of(often)
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("line_no", T.IntegerType()), T.StructField("chunk", T.LongType())])
 
     def places(batches):
         for batch in batches:
             for part in pieces(batch, 2):
                 x = _Lines(part)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(x.row)), pa.array(x.number, pa.int32()), _signed(x.key)], ["key", "line_no", "line"])
-
-    return lines.mapInArrow(places, schema).join(repeated_lines(df, key, source, text, least), "line", "left_semi").select(F.col("key").alias(key), "line_no")
-
-
-def remove(df: DataFrame, key: str, source: Column, text: str, least: int = 10) -> DataFrame:
-    """(key, text, removed): each distinct key's text without its repeated lines, and how many those were.
-
-    Texts without such lines come out as they are; a null text stays null. Rows with a null key are left out.
+                covered = np.minimum.reduceat(marks.value.hit(x.chunk), x.first) if len(x.first) else np.empty(0, bool)
+                k = np.flatnonzero(covered & marks.value.hit(x.key))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(x.row[k])), pa.array(x.number[k], pa.int32()), _signed(x.key[k])], ["key", "line_no", "chunk"])
+
+    return lines.mapInArrow(places, schema).join(often, "chunk", "left_semi").select(F.col("key").alias(key), "line_no")
+
+
+def _places_of(line: str) -> list[int]:
+    """Of each byte of a line's normal form, the character of the line that it comes from."""
+    out: list[int] = []
+    before = " "
+    for k, c in enumerate(line):
+        low = " " if c.isspace() else "0" if c in "0123456789" else c.lower()
+        if not (low == before and low in " 0"):
+            out += [k] * len(low.encode("utf-8", "surrogatepass"))
+        before = low
+    return out
+
+
+def without(text: str, lines: set[int], parts: dict[int, list[tuple[int, int]]]) -> str:
+    """A text without whole lines, and without parts of others, given in bytes of their normal forms."""
+    out = []
+    for k, line in enumerate(text.split("\n")):
+        if k in lines:
+            continue
+        if k in parts:
+            at, kept, done = _places_of(line), [], 0
+            for a, b in parts[k]:
+                kept.append(line[done : at[a] if a < len(at) else len(line)])
+                done = at[b] if b < len(at) else len(line)
+            line = "".join([*kept, line[done:]])
+        out.append(line)
+    return "\n".join(out)
+
+
+def remove(df: DataFrame, key: str, source: Column, text: str, least: int = 10, passage: int = PASSAGE) -> DataFrame:
+    """(key, text, removed): each distinct key's text without its repeated lines and passages, and how many these were.
+
+    Repeated lines are those of find(). A passage is a run of neighbouring chunks, over the ends of lines too, that each
+    stand in `least` texts of the source, on no repeated line, and are `passage` bytes long together; what is left of a
+    line stays as it is.
+    Texts without any come out as they are; a null text stays null. Rows with a null key are left out.
     """
-    places = find(df, key, source, text, least).groupBy(key).agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
-    own = one_of_each(df.select(F.col(key), F.col(text).cast("string").alias("text")), key)
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(gone, i)), '\\n')")
-    return own.join(places, key, "left").select(key, F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
+    lines = _sources(df, key, source, text)
+    often = cut(chunk_table(lines).filter(F.col("documents") >= least).select("chunk"))
+    marks = marks_of(often)
+    kind = T.StructField("key", df.schema[key].dataType)
+    places = "line int, place int, start int, stop int, whole boolean, chunk long"
+
+    def candidates(batches):
+        for batch in batches:
+            for part in pieces(batch, 2):
+                x = _Lines(part)
+                hit = np.flatnonzero(marks.value.hit(x.chunk))
+                ends = np.flatnonzero(marks.value.hit(x.key) & ~x.single)  # the whole line, where it has several chunks
+                place = np.arange(len(x.of)) - np.repeat(run_starts(x.row[x.of]), np.diff([*run_starts(x.row[x.of]), len(x.of)])) if len(x.of) else x.of
+                row = np.concatenate([x.row[x.of[hit]], x.row[ends]])
+                columns = (np.concatenate([x.number[x.of[hit]], x.number[ends]]), np.concatenate([place[hit], ends * 0]), np.concatenate([x.starts[hit], ends * 0]), np.concatenate([x.ends[hit], ends * 0]))
+                whole = np.concatenate([x.single[x.of[hit]], np.ones(len(ends), bool)])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *(pa.array(c, pa.int32()) for c in columns), pa.array(whole), _signed(np.concatenate([x.chunk[hit], x.key[ends]]))], ["key", "line", "place", "start", "stop", "whole", "chunk"])
+
+    found = lines.mapInArrow(candidates, T.StructType([kind, *T.StructType.fromDDL(places).fields])).join(often, "chunk", "left_semi")
+    # the chunks of one text are no more than the text itself
+    per = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "place", "start", "stop", "whole"))).alias("found"))
+    own = one_of_each(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "key")
+
+    def clean(batches):
+        for batch in batches:
+            texts, counts = [], []
+            for body, marked in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                gone = {m["line"] for m in marked if m["whole"]}
+                runs: list[list] = []
+                for m in sorted((m for m in marked if m["line"] not in gone), key=lambda m: m["place"]):
+                    if runs and m["place"] == runs[-1][-1]["place"] + 1:
+                        runs[-1].append(m)
+                    else:
+                        runs.append([m])
+                runs = [run for run in runs if sum(m["stop"] - m["start"] for m in run) >= passage]
+                parts: dict[int, list[tuple[int, int]]] = {}
+                for m in (m for run in runs for m in run):
+                    own = parts.setdefault(m["line"], [])
+                    if own and own[-1][1] == m["start"]:
+                        own[-1] = (own[-1][0], m["stop"])
+                    else:
+                        own.append((m["start"], m["stop"]))
+                texts.append(without(body, gone, parts))
+                counts.append(len(gone) + len(runs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], [key, "text", "removed"])
+
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())])
+    touched = own.join(per, "key").select("key", "text", "found").mapInArrow(clean, schema)
+    rest = own.join(per.select("key"), "key", "left_anti").select(F.col("key").alias(key), "text", F.lit(0).alias("removed"))
+    return touched.unionByName(rest)

@@ -105,6 +105,30 @@ def test_repeated_lines_of_odd_rows(spark, odd):
     assert repeats.find(odd, "id", F.lit(None).cast("string"), "text", 1).count() == 0
 
 
+def test_passages_within_lines_are_cut(spark):
+    r = random.Random(4)
+    own = lambda n: " ".join("".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(n))
+    notice = "All names shown on this site belong to their owners;  they are used\u00a0only to describe goods, and no link with 2024 or 1999 editions, İstanbul offices or any other holder of the names is meant by showing them here at all."
+    rows = [(k, f"{own(12)}. {notice if k % 2 else own(30)} {own(9)}.\n{own(5)}\nShare this page\n") for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    got = {x["id"]: (x.text, x.removed) for x in repeats.remove(df, "id", F.lit("s"), "text", 10).collect()}
+    for k, t in rows:
+        assert "Share this page" not in got[k][0] and got[k][1] == 1 + k % 2
+        if k % 2:
+            first, _, last = t.partition(notice)
+            assert got[k][0].startswith(first) and last.split("\n")[0] in got[k][0] and len(got[k][0]) < len(t) - len(notice) * 0.6
+        else:
+            assert got[k][0] == t.replace("Share this page\n", "")
+
+
+def test_places_of_the_normal_form():
+    for line in ("", "  A  b\u00a0\u00a0C 12 3 ", "İ x 007x0", "日本 \t語9"):
+        at = repeats._places_of(line)
+        normal = repeats.normal_lines(line)
+        assert len(at) >= len((normal or [""])[0].encode()) and at == sorted(at)
+        assert "".join(dict.fromkeys(line[k] for k in at if not line[k].isspace() and not line[k].isdigit())) == "".join(dict.fromkeys(c for c in line if not c.isspace() and not c.isdigit()))
+
+
 # 2
 def brute_pairs(texts, words, t, least):
     sets = {}
