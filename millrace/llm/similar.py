@@ -1,10 +1,10 @@
 """Texts that share most of their word sequences, found by vertical partitioning.
 
-A text is its set of sequences of a few consecutive tokens. All sequences have one global order, rare ones first, and
-the order's universe is cut into fragments. Two sets above the threshold differ in few members, so the first members of
-both must agree somewhere: either in a rare sequence, or in two of one fragment. Such agreements are joined fragment by
-fragment; the pairs that lengths and parity bits can't rule out are then counted: each fragment counts its share of the
-overlap, and the shares of a pair are summed. That sum is exact.
+A text is its set of sequences of a few consecutive tokens. All sequences have one global order, rare ones first, which
+is cut into fragments of about equally many members. Two sets above the threshold differ in few members, so the first
+members of both must agree somewhere: either in a rare sequence, or in two of one class. Such agreements give the pairs
+that lengths and parity bits can't rule out. Of these, every fragment counts its own share of the overlap, and the
+shares of a pair are summed. That sum is exact.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +23,26 @@ from pyspark.sql import types as T
 
 from millrace.functions.spans import U, mix, pieces, run_starts, tokens
 from millrace.llm.components import components
+from millrace.llm.marks import marks_of
 from millrace.session import broadcast_value, cut
 
-#: Counters of the estimate of how frequent a sequence is: one byte each once summed, so at most 4 MB are broadcast.
-COUNTERS = 1 << 22
+#: Counters for each text of the estimate of how frequent a sequence is, one byte each once summed; fewest and most of them.
+#: At most 64 MB are broadcast. Beyond that, counters are shared by more sequences: the order gets less sharp, not wrong.
+PER_TEXT, FEWEST, MOST = 16, 1 << 20, 1 << 26
 BLOCK = 1 << 16
-#: Sequences estimated to be in at most RARE texts are compared alone, all others two by two in FRAGMENTS fragments.
-RARE, FRAGMENTS = 8, 8
-#: Parity bits that come with a set, and bits of the table of sets whose overlaps are counted.
-PARITY, MARKS = 256, 1 << 23
+#: Sequences estimated to be in at most RARE texts are compared alone, all others two by two in CLASSES classes.
+RARE, CLASSES = 8, 8
+#: Parity bits that come with a set.
+PARITY = 256
 #: Sets of at most so many members travel with their members where only chains of links are wanted.
 CARRIED = 64
-#: Fragments in which overlaps are counted, and texts for each task that joins agreements.
-COUNTED, TEXTS_PER_TASK = 4, 40_000
+#: Fragments of the order in which overlaps are counted.
+FRAGMENTS = 4
+#: Texts for each task that joins agreements, and what one task takes: agreements in all, and of one signature.
+#: Parts of a task beyond that meet two by two in tasks of their own.
+TEXTS_PER_TASK, TAKEN, SAME = 20_000, 4_000_000, 30_000
+#: Agreements of one signature in a batch from which they count as a sign of a frequent one.
+NOTED = 8
 
 
 def _sets(texts: pa.Array, words: int, least: int):
@@ -63,23 +71,47 @@ def _sets(texts: pa.Array, words: int, least: int):
     return doc, x, mix(sums + n.astype(U)), np.where(n >= least, n, 0)
 
 
-def _slot(x: np.ndarray) -> np.ndarray:
-    return (x >> U(20)).astype(np.int64) & (COUNTERS - 1)
+class Order:
+    """The global order: by a byte that grows with the number of texts whose sequences share a counter, then by hash."""
 
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.mask = codes, len(codes) - 1
+        # pivots part the members evenly; those of one code lie evenly over the hashes
+        texts = 2 ** (np.arange(256) / 12)
+        mass = np.cumsum(np.concatenate([[0], np.bincount(codes[codes > 0], minlength=256) * texts]))
+        at = mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS
+        code = np.minimum(np.searchsorted(mass, at, "right") - 1, 255)
+        part = (at - mass[code]) / np.maximum(mass[code + 1] - mass[code], 1e-9)
+        self.pivots = (code.astype(U) << U(56)) | np.minimum(part * 2.0**56, 2.0**56 - 1).astype(U)
 
-def _frequencies(df: DataFrame, text: str, words: int, least: int) -> np.ndarray:
-    """A byte for each counter that grows with the number of texts whose sequences fall there: exact up to about 15, then logarithmic.
+    def rank(self, x: np.ndarray) -> np.ndarray:
+        return self.codes[slot(x, self.mask)]
 
-    Counters of fixed number are summed block by block, streaming; the driver gets COUNTERS bytes whatever the data.
-    """
+    def fragment(self, x: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.pivots, (self.rank(x).astype(U) << U(56)) | (x >> U(8)), "right")
+
+
+def slot(x: np.ndarray, mask: int) -> np.ndarray:
+    return ((x * U(0x9E3779B97F4A7C15)) >> U(32)).astype(np.int64) & mask
+
+
+#: Codes of counters that one text and that RARE texts fell into.
+ALONE, FEW = int(12 * math.log2(2)), int(12 * math.log2(RARE + 1))
+
+
+def _order(df: DataFrame, text: str, words: int, least: int, rows: int) -> Order:
+    """Codes of counters: exact for few texts, then logarithmic. Counters are summed block by block, streaming; the
+    driver gets their bytes, whose number has a fixed most."""
+    size = min(MOST, max(FEWEST, 1 << math.ceil(math.log2(max(1, rows * PER_TEXT)))))
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(size, np.int32)
         for batch in batches:
             for part in pieces(batch, 0):
                 _, x, _, _ = _sets(part.column(0), words, least)
-                total += np.bincount(_slot(x), minlength=COUNTERS)
-        some = [(k // BLOCK, np.minimum(total[k : k + BLOCK], 65535).astype("<u2").tobytes()) for k in range(0, COUNTERS, BLOCK) if total[k : k + BLOCK].any()]
+                at, n = np.unique(slot(x, size - 1), return_counts=True)
+                total[at] += n.astype(np.int32)
+        some = [(k // BLOCK, np.minimum(total[k : k + BLOCK], 65535).astype("<u2").tobytes()) for k in range(0, size, BLOCK) if total[k : k + BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())], ["block", "counts"])
 
     def add(batches):
@@ -91,11 +123,11 @@ def _frequencies(df: DataFrame, text: str, words: int, least: int) -> np.ndarray
         code = {k: np.minimum(255, np.floor(12 * np.log2(v + 1.0))).astype(np.uint8).tobytes() for k, v in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array(list(code), pa.int32()), pa.array(list(code.values()), pa.binary())], ["block", "counts"])
 
-    rows = df.select(text).mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary").toArrow()
-    out = np.zeros(COUNTERS, np.uint8)
-    for k, b in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+    found = df.select(text).mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary").toArrow()
+    out = np.zeros(size, np.uint8)
+    for k, b in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
         out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(b, np.uint8)
-    return out
+    return Order(out)
 
 
 def _signatures(doc: np.ndarray, x: np.ndarray, rank: np.ndarray, t: float):
@@ -103,9 +135,10 @@ def _signatures(doc: np.ndarray, x: np.ndarray, rank: np.ndarray, t: float):
 
     Let two sets of sizes n and m have an overlap of at least a = ceil(t * n). With members in one order, if they share
     no rare member, the n - r others of the first, r of its being rare, still hold the whole overlap; so its first
-    n - r - a + FRAGMENTS + 1 others hold at least FRAGMENTS + 1 shared ones, and two of them lie in one fragment. Of
-    the rare ones, the first n - a + 1 do. Where the overlap may be as small as FRAGMENTS, the first n - a + 1 members
-    are compared alone; sets that may have partners of either kind give signatures of both kinds.
+    n - r - a + CLASSES + 1 others hold at least CLASSES + 1 shared ones, and two of them lie in one class. Of the rare
+    ones, the first n - a + 1 do. Where the overlap may be as small as CLASSES, the first n - a + 1 members are compared
+    alone; sets that may have partners of either kind give signatures of both kinds. A member that no other text has
+    (its counter stands at one) is shared by none, so it gives none.
     """
     order = np.lexsort((x, rank, doc))
     doc, x, rank = doc[order], x[order], rank[order]
@@ -114,16 +147,16 @@ def _signatures(doc: np.ndarray, x: np.ndarray, rank: np.ndarray, t: float):
     n, place = np.repeat(size, size), np.arange(len(doc)) - np.repeat(first, size)
     need = np.ceil(t * n - 1e-9).astype(np.int64)
     least_partner, most_partner = need, np.floor(n / t + 1e-9)
-    small = np.ceil(t * least_partner - 1e-9) <= FRAGMENTS
-    large = np.ceil(t * most_partner - 1e-9) > FRAGMENTS
-    rare = rank <= int(12 * math.log2(RARE + 1))
+    small = np.ceil(t * least_partner - 1e-9) <= CLASSES
+    large = np.ceil(t * most_partner - 1e-9) > CLASSES
+    rare = rank <= FEW
     rares = np.repeat(np.add.reduceat(rare, first, dtype=np.int64), size) if len(first) else n
-    alone = (rare | small) & (place <= n - need)
-    others = large & ~rare & (n - rares >= need) & (place - rares < n - rares - need + FRAGMENTS + 1)
+    alone = (rare | small) & (place <= n - need) & (rank > ALONE)
+    others = large & ~rare & (n - rares >= need) & (place - rares < n - rares - need + CLASSES + 1)
     d, y = doc[others], x[others]
-    fragment = mix(y) % U(FRAGMENTS)
-    order = np.lexsort((y, fragment, d))
-    d, y, group = d[order], y[order], d[order] * FRAGMENTS + fragment[order].astype(np.int64)
+    class_ = mix(y) % U(CLASSES)
+    order = np.lexsort((y, class_, d))
+    d, y, group = d[order], y[order], d[order] * CLASSES + class_[order].astype(np.int64)
     docs, out = [doc[alone]], [mix(x[alone])]
     for k in range(1, len(group)):
         near = group[k:] == group[:-k]
@@ -186,19 +219,19 @@ class _Chains:
         return out
 
 
-def _join_fragment(tbl: pa.Table, t: float, chain: bool) -> pa.Table:
-    """All pairs of sets in one fragment's signatures that size and parity don't rule out; with `chain`, of small sets
-    only as many sure links as their components need."""
+def _join_agreements(tbl: pa.Table, t: float, chain: bool) -> pa.Table:
+    """All pairs of sets in one task's signatures that size and parity don't rule out; with `chain`, of small sets only
+    as many sure links as their components need."""
     sets, sizes, bits, sigs, docs, members, at = [], [], [], [], [], [], 0
-    for row in tbl.to_pylist():
-        sets.append(np.frombuffer(row["sets"], "<u8"))
-        sizes.append(np.frombuffer(row["sizes"], "<u4"))
-        bits.append(np.frombuffer(row["bits"], "<u8").reshape(-1, PARITY // 64))
-        high, low = np.frombuffer(row["high"], "<u4"), np.frombuffer(row["low"], "<u2")
-        sigs.append((high.astype(U) << U(16)) | low)
-        docs.append(np.frombuffer(row["docs"], "<u2").astype(np.int64) + at)
-        members.append(np.frombuffer(row["members"], "<u8"))
-        at += len(sets[-1])
+    for batch in tbl.to_batches():
+        for own, size, bit, high, low, doc, member in zip(*(batch.column(c) for c in ("sets", "sizes", "bits", "high", "low", "docs", "members"))):
+            sets.append(np.frombuffer(own.as_buffer(), "<u8"))
+            sizes.append(np.frombuffer(size.as_buffer(), "<u4"))
+            bits.append(np.frombuffer(bit.as_buffer(), "<u8").reshape(-1, PARITY // 64))
+            sigs.append((np.frombuffer(high.as_buffer(), "<u4").astype(U) << U(16)) | np.frombuffer(low.as_buffer(), "<u2"))
+            docs.append(np.frombuffer(doc.as_buffer(), "<u4").astype(np.int64) + at)
+            members.append(np.frombuffer(member.as_buffer(), "<u8"))
+            at += len(sets[-1])
     del tbl
     sets, some, same = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
     sizes, bits = np.concatenate(sizes).astype(np.int64), np.concatenate(bits)[some]
@@ -250,12 +283,15 @@ def _join_fragment(tbl: pa.Table, t: float, chain: bool) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": np.arange(len(a)) >= len(pair)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())]))
 
 
-def _candidates(df: DataFrame, text: str, words: int, t: float, least: int, chain: bool = False) -> DataFrame:
+def _candidates(df: DataFrame, text: str, words: int, t: float, least: int, order, rows: int, chain: bool = False) -> DataFrame:
     """(a, b, sure): pairs of set hashes, among them every pair with similarity >= t; with `chain`, enough of them that
-    the same sets are linked by chains. Sure pairs have that similarity."""
-    ranks = broadcast_value(df.sparkSession, _frequencies(df, text, words, least))
-    bits_of_task = max(1, math.ceil(math.log2(max(1, df.count() / TEXTS_PER_TASK))))
-    tasks = 1 << bits_of_task
+    the same sets are linked by chains. Sure pairs have that similarity.
+
+    Agreements go to tasks by signature, their number following the rows. They are written first, so that each task's
+    load is known: one that is too large, as by a signature that very many texts share, is split into parts at random,
+    and every two of them meet in a task of their own.
+    """
+    tasks = max(1, math.ceil(rows / TEXTS_PER_TASK))
 
     def split(batches):
         for batch in batches:
@@ -272,52 +308,46 @@ def _candidates(df: DataFrame, text: str, words: int, t: float, least: int, chai
                 doc = number[doc]
                 bits = _parity(doc, x, len(kept))
                 carried = chain & (sizes[kept] <= CARRIED)
-                d, sig = _signatures(doc, x, ranks.value[_slot(x)], t)
-                task = (sig >> U(64 - bits_of_task)).astype(np.int64)
-                order = np.argsort(task, kind="stable")
-                d, sig, task = d[order], sig[order], task[order]
+                d, sig = _signatures(doc, x, order.value.rank(x), t)
+                task = (((sig >> U(32)) * U(tasks)) >> U(32)).astype(np.int64)
+                by = np.lexsort((sig, task))
+                d, sig, task = d[by], sig[by], task[by]
                 at = run_starts(task)
-                rows = []
+                found = []
                 for lo, hi in zip(at, [*at[1:], len(task)]):
                     own, local = np.unique(d[lo:hi], return_inverse=True)
-                    s = sig[lo:hi] >> U(16)
+                    s = sig[lo:hi]
+                    peak = int(np.diff([*run_starts(s), len(s)]).max())
+                    s = s & U((1 << 48) - 1)
                     with_members = np.zeros(len(kept), bool)
                     with_members[own] = carried[own]
-                    rows.append((int(task[lo]), sets[kept[own]].tobytes(), sizes[kept[own]].astype("<u4").tobytes(), bits[own].tobytes(), (s >> U(16)).astype("<u4").tobytes(), s.astype("<u2").tobytes(), local.astype("<u2").tobytes(), x[with_members[doc]].tobytes() if chain else b""))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))], names)
-
-    names = ["task", "sets", "sizes", "bits", "high", "low", "docs", "members"]
-    blobs = df.select(text).mapInArrow(split, "task int, sets binary, sizes binary, bits binary, high binary, low binary, docs binary, members binary")
-    return blobs.repartition(tasks, "task").groupBy("task").applyInArrow(lambda tbl: _join_fragment(tbl, t, chain), "a long, b long, sure boolean").distinct()
-
-
-def _mark(sets: np.ndarray) -> np.ndarray:
-    return (sets >> U(64 - int(math.log2(MARKS)))).astype(np.int64)
-
-
-def _marks(sets: DataFrame) -> np.ndarray:
-    """A table of MARKS bits in which each set's bit is set. Other sets may share a bit; what they cost is time only."""
-
-    def mark(batches):
-        bits = np.zeros(MARKS // 8, np.uint8)
-        for batch in batches:
-            m = _mark(batch.column(0).to_numpy().view(U))
-            np.bitwise_or.at(bits, m >> 3, (1 << (m & 7)).astype(np.uint8))
-        some = [(k // BLOCK, bits[k : k + BLOCK].tobytes()) for k in range(0, len(bits), BLOCK) if bits[k : k + BLOCK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())], ["block", "bits"])
+                    found.append((int(task[lo]), hi - lo, peak if peak >= NOTED else 0, sets[kept[own]].tobytes(), sizes[kept[own]].astype("<u4").tobytes(), bits[own].tobytes(), (s >> U(16)).astype("<u4").tobytes(), s.astype("<u2").tobytes(), local.astype("<u4").tobytes(), x[with_members[doc]].tobytes() if chain else b""))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k < 3 else pa.binary()) for k, c in enumerate(zip(*found))], names)
+
+    names = ["task", "n", "peak", "sets", "sizes", "bits", "high", "low", "docs", "members"]
+    blobs = cut(df.select(text).mapInArrow(split, "task int, n int, peak int, sets binary, sizes binary, bits binary, high binary, low binary, docs binary, members binary"))
+    load = blobs.groupBy("task").agg(F.sum("n").alias("n"), F.sum("peak").alias("peak"))
+    parts = load.select("task", F.greatest(F.ceil(F.col("n") / TAKEN), F.ceil(F.col("peak") / SAME)).cast("int").alias("parts")).filter("parts > 1").collect()  # the few large tasks
+    count, carried = tasks, names[3:]
+    whole = blobs.select(F.col("task").alias("to"), *carried)
+    if parts:
+        first = [tasks + n for n in accumulate((r.parts * (2 * r.parts + 1) for r in parts), initial=0)]
+        many = F.broadcast(df.sparkSession.createDataFrame([(r.task, 2 * r.parts, n) for r, n in zip(parts, first)], "task int, parts int, first int"))
+        # a row of part i goes to the tasks in which i meets each part; these are numbered after the whole ones
+        salted = blobs.join(many, "task").withColumn("i", F.pmod(F.xxhash64("sets", "docs"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        low, high = F.least("i", "j"), F.greatest("i", "j")
+        meets = (F.col("first") + F.expr("parts * least(i, j) - least(i, j) * (least(i, j) - 1) div 2") + high - low).cast("int")
+        whole = blobs.join(many.select("task"), "task", "left_anti").select(F.col("task").alias("to"), *carried).unionByName(salted.select(meets.alias("to"), *carried))
+        count = first[-1]
 
     def join(batches):
-        all_: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                all_[k] = np.frombuffer(b, np.uint8) | all_.get(k, np.uint8(0))
-        yield pa.RecordBatch.from_arrays([pa.array(list(all_), pa.int32()), pa.array([x.tobytes() for x in all_.values()], pa.binary())], ["block", "bits"])
+        own = list(batches)
+        if own:
+            yield from _join_agreements(pa.Table.from_batches(own), t, chain).to_batches()
 
-    rows = sets.mapInArrow(mark, "block int, bits binary").repartition("block").mapInArrow(join, "block int, bits binary").toArrow()
-    out = np.zeros(MARKS // 8, np.uint8)
-    for k, b in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(b, np.uint8)
-    return out
+    joined = whole.repartitionById(count, "to").mapInArrow(join, "a long, b long, sure boolean")
+    return joined.distinct()
 
 
 def similar(df: DataFrame, key: str, text: str, words: int = 5, t: float = 0.8, least: int = 1, chain: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -329,7 +359,9 @@ def similar(df: DataFrame, key: str, text: str, words: int = 5, t: float = 0.8,
     turned into all its pairs: only links between sets that no chain joins yet are kept. Texts that are null, empty or too short have no row.
     """
     own = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("key is not null and text is not null")
-    found = cut(_candidates(own, "text", words, t, least, chain))
+    rows = own.count()
+    order = broadcast_value(df.sparkSession, _order(own, "text", words, least, rows))
+    found = cut(_candidates(own, "text", words, t, least, order, rows, chain))
     pairs = found.filter("not sure").select("a", "b")
 
     def member(batches):
@@ -341,16 +373,17 @@ def similar(df: DataFrame, key: str, text: str, words: int = 5, t: float = 0.8,
 
     kind = T.StructField("key", df.schema[key].dataType)
     members = cut(own.mapInArrow(member, T.StructType([kind, T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType())])).distinct())
-    marks = broadcast_value(df.sparkSession, _marks(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))))
+    marks = marks_of(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct())
 
     def fragments(batches):
         for batch in batches:
             for part in pieces(batch, 0):
                 doc, x, sets, sizes = _sets(part.column(0), words, least)
-                m = _mark(sets)[doc]
-                k = (marks.value[m >> 3] >> (m & 7)) & 1 == 1
+                k = marks.value.hit(sets)[doc]
                 doc, x = doc[k], x[k]
-                fragment = (x >> U(64 - int(math.log2(COUNTED)))).astype(np.int64)
+                fragment = order.value.fragment(x)
+                by = np.lexsort((x, fragment, doc))
+                doc, x, fragment = doc[by], x[by], fragment[by]
                 at = run_starts(doc, fragment)
                 ends = pa.array([*at, len(doc)], pa.int32())
                 of = doc[at]

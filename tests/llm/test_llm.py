@@ -181,6 +181,25 @@ def test_pairs_of_edited_texts(spark, words, t, least, span):
     assert chained == {k: root(k) for k in (r.k for r in low.collect()) if k in chained} and {r.k for r in low.collect() if root(r.k) != r.k} <= set(chained)
 
 
+@pytest.mark.parametrize("chain", [False, True])
+def test_large_tasks_are_split(spark, monkeypatch, chain):
+    """One template with small edits: its signatures are shared by all texts, and their task is split into parts."""
+    monkeypatch.setattr(similar, "TAKEN", 200)
+    monkeypatch.setattr(similar, "TEXTS_PER_TASK", 70)
+    r = random.Random(5)
+    base = [f"word{k}" for k in range(30)]
+    rows = [(k, " ".join(base[:i] + [f"own{k}"] + base[i + 1 :])) for k, i in ((k, r.randrange(30)) for k in range(90))] + [(100 + k, f"other{k} thing{k} more{k} of{k} this{k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(9)
+    members, links = similar.similar(df, "id", "text", 1, 0.8, 1, chain=chain)
+    key = {x.set: x.key for x in members.collect()}
+    want = brute_pairs(rows, 1, 0.8, 1)
+    got = {tuple(sorted((key[x.a], key[x.b]))) for x in links.select("a", "b").collect()}
+    assert got <= want and (chain or got == want)
+    if chain:
+        ends = spark.createDataFrame(sorted(got), "a long, b long")
+        assert {x.component for x in components(ends, "a", "b").collect()} == {0} and len({k for p in got for k in p}) == 90
+
+
 def test_pairs_of_odd_rows(spark, odd):
     assert {tuple(r) for r in similar.pairs(odd, "id", "text", 3, 0.7, 1).collect()} == {(7, 8)}
     assert similar.pairs(odd.limit(0), "id", "text", 3, 0.7, 1).count() == 0
