@@ -12,12 +12,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,18 +30,19 @@ from millrace.session import broadcast_value, cut
 PER_TEXT, FEWEST, MOST = 16, 1 << 20, 1 << 26
 BLOCK = 1 << 16
 #: Sequences estimated to be in at most RARE texts are compared alone, all others two by two in CLASSES classes.
-RARE, CLASSES = 8, 8
+RARE, CLASSES = 48, 12
 #: Parity bits that come with a set.
-PARITY = 256
+PARITY = 128
 #: Sets of at most so many members travel with their members where only chains of links are wanted.
 CARRIED = 64
 #: Fragments of the order in which overlaps are counted.
 FRAGMENTS = 4
-#: Texts for each task that joins agreements, and what one task takes: agreements in all, and of one signature.
-#: Parts of a task beyond that meet two by two in tasks of their own.
-TEXTS_PER_TASK, TAKEN, SAME = 20_000, 4_000_000, 30_000
-#: Agreements of one signature in a batch from which they count as a sign of a frequent one.
-NOTED = 8
+#: Texts for each task that joins agreements; agreements that one task holds before it looks for frequent signatures; and
+#: those of one signature that are compared at once. Parts of a more frequent one meet two by two in tasks of their own.
+TEXTS_PER_TASK, HELD, SAME = 20_000, 8_000_000, 30_000
+#: An agreement: a set and its signature. A size of LARGE or more isn't told from others.
+AGREEMENT = np.dtype([("set", "<u8"), ("bits", "<u8", PARITY // 64), ("sig", "<u4"), ("size", "<u2")])
+LARGE = 65535
 
 
 def _sets(texts: pa.Array, words: int, least: int):
@@ -219,32 +219,19 @@ class _Chains:
         return out
 
 
-def _join_agreements(tbl: pa.Table, t: float, chain: bool) -> pa.Table:
-    """All pairs of sets in one task's signatures that size and parity don't rule out; with `chain`, of small sets only
-    as many sure links as their components need."""
-    sets, sizes, bits, sigs, docs, members, at = [], [], [], [], [], [], 0
-    for batch in tbl.to_batches():
-        for own, size, bit, high, low, doc, member in zip(*(batch.column(c) for c in ("sets", "sizes", "bits", "high", "low", "docs", "members"))):
-            sets.append(np.frombuffer(own.as_buffer(), "<u8"))
-            sizes.append(np.frombuffer(size.as_buffer(), "<u4"))
-            bits.append(np.frombuffer(bit.as_buffer(), "<u8").reshape(-1, PARITY // 64))
-            sigs.append((np.frombuffer(high.as_buffer(), "<u4").astype(U) << U(16)) | np.frombuffer(low.as_buffer(), "<u2"))
-            docs.append(np.frombuffer(doc.as_buffer(), "<u4").astype(np.int64) + at)
-            members.append(np.frombuffer(member.as_buffer(), "<u8"))
-            at += len(sets[-1])
-    del tbl
-    sets, some, same = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
-    sizes, bits = np.concatenate(sizes).astype(np.int64), np.concatenate(bits)[some]
+def _join_agreements(all_: np.ndarray, members: np.ndarray, t: float, chain: bool) -> pa.RecordBatch:
+    """All pairs of sets that agree in a signature and that size and parity don't rule out; with `chain`, of small sets
+    only as many sure links as their components need. members holds those of the small sets, one after another."""
+    sets, some, same = np.unique(all_["set"], return_index=True, return_inverse=True)
+    sizes, bits = all_["size"].astype(np.int64), all_["bits"][some]
     chains = None
     if chain:
         n = np.where(sizes <= CARRIED, sizes, 0)
         start = np.cumsum(n) - n
-        flat = np.concatenate(members)
-        chains = _Chains(sizes[some], [flat[start[k] : start[k] + n[k]] for k in some.tolist() if n[k]], t)
+        chains = _Chains(sizes[some], [members[start[k] : start[k] + n[k]] for k in some.tolist() if n[k]], t)
     sizes = sizes[some]
-    sig, doc = np.concatenate(sigs), same[np.concatenate(docs)]
-    order = np.lexsort((doc, sig))
-    sig, doc = sig[order], doc[order]
+    order = np.lexsort((same, all_["sig"]))
+    sig, doc = all_["sig"][order], same[order]
     at = run_starts(sig, doc)
     sig, doc = sig[at], doc[at]
     first = run_starts(sig)
@@ -264,9 +251,8 @@ def _join_agreements(tbl: pa.Table, t: float, chain: bool) -> pa.Table:
                 a, b = a[ok], b[ok]
             na, nb = sizes[a], sizes[b]
             ok = np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9
-            a, b, most = a[ok], b[ok], np.floor(share * (na + nb)[ok] + 1e-9)
-            x = bits[a] ^ bits[b]
-            ok = np.bitwise_count(x).sum(axis=1) <= most
+            a, b, most = a[ok], b[ok], np.where(np.maximum(na, nb)[ok] >= LARGE, PARITY, np.floor(share * (na + nb)[ok] + 1e-9))
+            ok = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= most
             a, b = a[ok], b[ok]
             if chains:
                 both = chains.small[a] & chains.small[b]
@@ -280,18 +266,45 @@ def _join_agreements(tbl: pa.Table, t: float, chain: bool) -> pa.Table:
         k += 1
     pair = np.unique(np.concatenate(found))
     a, b = (sets[np.concatenate([x, np.array(y, np.int64)])].view(np.int64) for x, y in zip((pair // len(sets), pair % len(sets)), sure))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": np.arange(len(a)) >= len(pair)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())]))
+    nothing = lambda kind: pa.nulls(len(a), kind)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.arange(len(a)) >= len(pair)), nothing(pa.int64()), nothing(pa.binary()), nothing(pa.binary())], FOUND)
+
+
+#: What a task gives: pairs, or agreements of a signature that is too frequent to be joined there.
+FOUND = ["a", "b", "sure", "sig", "own", "members"]
+FOUND_TYPES = "a long, b long, sure boolean, sig long, own binary, members binary"
+
+
+def _taken(all_: np.ndarray, members: np.ndarray, keep: np.ndarray, chain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The kept agreements, and the members of their small sets."""
+    if not chain:
+        return all_[keep], members
+    n = np.where(all_["size"] <= CARRIED, all_["size"], 0).astype(np.int64)
+    return all_[keep], members[np.repeat(keep, n)]
+
+
+def _put_off(all_: np.ndarray, members: np.ndarray, frequent: np.ndarray, task: int, same: int, chain: bool):
+    """Rows of the agreements of frequent signatures, in parts."""
+    for sig in frequent.tolist():
+        own, inner = _taken(all_, members, all_["sig"] == sig, chain)
+        n = np.where(own["size"] <= CARRIED, own["size"], 0).astype(np.int64) if chain else np.zeros(len(own), np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        parts = [(lo, min(lo + same // 2, len(own))) for lo in range(0, len(own), same // 2)]
+        nothing = lambda kind: pa.nulls(len(parts), kind)
+        columns = ([own[lo:hi].tobytes() for lo, hi in parts], [inner[ends[lo] : ends[hi]].tobytes() for lo, hi in parts])
+        yield pa.RecordBatch.from_arrays([nothing(pa.int64()), nothing(pa.int64()), nothing(pa.bool_()), pa.array([task << 32 | sig] * len(parts), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], FOUND)
 
 
 def _candidates(df: DataFrame, text: str, words: int, t: float, least: int, order, rows: int, chain: bool = False) -> DataFrame:
     """(a, b, sure): pairs of set hashes, among them every pair with similarity >= t; with `chain`, enough of them that
     the same sets are linked by chains. Sure pairs have that similarity.
 
-    Agreements go to tasks by signature, their number following the rows. They are written first, so that each task's
-    load is known: one that is too large, as by a signature that very many texts share, is split into parts at random,
-    and every two of them meet in a task of their own.
+    Agreements go to tasks by signature, their number following the rows. A task that meets a signature of more than
+    SAME sets doesn't join these but gives them on in parts, as soon as it holds too many; afterwards every two parts of
+    such a signature meet in a task of their own. So no task's memory or time grows with how many sets share a signature.
     """
-    tasks = max(1, math.ceil(rows / TEXTS_PER_TASK))
+    tasks, same = max(1, math.ceil(rows / TEXTS_PER_TASK)), SAME
+    held = HELD
 
     def split(batches):
         for batch in batches:
@@ -302,52 +315,67 @@ def _candidates(df: DataFrame, text: str, words: int, t: float, least: int, orde
                 _, one = np.unique(sets, return_index=True)  # of equal sets in a batch, one is enough
                 take = np.zeros(len(sets), bool)
                 take[one] = True
+                take &= sizes > 0
                 doc, x = doc[(k := take[doc])], x[k]
-                number = np.cumsum(take & (sizes > 0)) - 1
-                kept = np.flatnonzero(take & (sizes > 0))
-                doc = number[doc]
-                bits = _parity(doc, x, len(kept))
-                carried = chain & (sizes[kept] <= CARRIED)
                 d, sig = _signatures(doc, x, order.value.rank(x), t)
+                bits = _parity(doc, x, len(sets))
                 task = (((sig >> U(32)) * U(tasks)) >> U(32)).astype(np.int64)
-                by = np.lexsort((sig, task))
+                by = np.argsort(task, kind="stable")
                 d, sig, task = d[by], sig[by], task[by]
+                all_ = np.zeros(len(d), AGREEMENT)
+                all_["set"], all_["bits"], all_["sig"], all_["size"] = sets[d], bits[d], (sig & U(0xFFFFFFFF)).astype(np.uint32), np.minimum(sizes[d], LARGE)
+                first = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(sets)))])
+                small = np.flatnonzero(sizes[d] <= CARRIED) if chain else np.empty(0, np.int64)
                 at = run_starts(task)
                 found = []
-                for lo, hi in zip(at, [*at[1:], len(task)]):
-                    own, local = np.unique(d[lo:hi], return_inverse=True)
-                    s = sig[lo:hi]
-                    peak = int(np.diff([*run_starts(s), len(s)]).max())
-                    s = s & U((1 << 48) - 1)
-                    with_members = np.zeros(len(kept), bool)
-                    with_members[own] = carried[own]
-                    found.append((int(task[lo]), hi - lo, peak if peak >= NOTED else 0, sets[kept[own]].tobytes(), sizes[kept[own]].astype("<u4").tobytes(), bits[own].tobytes(), (s >> U(16)).astype("<u4").tobytes(), s.astype("<u2").tobytes(), local.astype("<u4").tobytes(), x[with_members[doc]].tobytes() if chain else b""))
+                for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(task)]):
+                    inner = [x[first[k] : first[k + 1]] for k in d[small[np.searchsorted(small, lo) : np.searchsorted(small, hi)]].tolist()]
+                    found.append((int(task[lo]), all_[lo:hi].tobytes(), np.concatenate(inner).tobytes() if inner else b""))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k < 3 else pa.binary()) for k, c in enumerate(zip(*found))], names)
-
-    names = ["task", "n", "peak", "sets", "sizes", "bits", "high", "low", "docs", "members"]
-    blobs = cut(df.select(text).mapInArrow(split, "task int, n int, peak int, sets binary, sizes binary, bits binary, high binary, low binary, docs binary, members binary"))
-    load = blobs.groupBy("task").agg(F.sum("n").alias("n"), F.sum("peak").alias("peak"))
-    parts = load.select("task", F.greatest(F.ceil(F.col("n") / TAKEN), F.ceil(F.col("peak") / SAME)).cast("int").alias("parts")).filter("parts > 1").collect()  # the few large tasks
-    count, carried = tasks, names[3:]
-    whole = blobs.select(F.col("task").alias("to"), *carried)
-    if parts:
-        first = [tasks + n for n in accumulate((r.parts * (2 * r.parts + 1) for r in parts), initial=0)]
-        many = F.broadcast(df.sparkSession.createDataFrame([(r.task, 2 * r.parts, n) for r, n in zip(parts, first)], "task int, parts int, first int"))
-        # a row of part i goes to the tasks in which i meets each part; these are numbered after the whole ones
-        salted = blobs.join(many, "task").withColumn("i", F.pmod(F.xxhash64("sets", "docs"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        low, high = F.least("i", "j"), F.greatest("i", "j")
-        meets = (F.col("first") + F.expr("parts * least(i, j) - least(i, j) * (least(i, j) - 1) div 2") + high - low).cast("int")
-        whole = blobs.join(many.select("task"), "task", "left_anti").select(F.col("task").alias("to"), *carried).unionByName(salted.select(meets.alias("to"), *carried))
-        count = first[-1]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary()))], ["task", "own", "members"])
+
+    def gathered(columns):
+        return (np.concatenate([np.empty(0, kind), *(np.frombuffer(b.as_buffer(), kind) for c in column for b in c)]) for column, kind in zip(columns, (AGREEMENT, np.dtype("<u8"))))
 
     def join(batches):
-        own = list(batches)
+        own, inner, n, task = [], [], 0, 0
+        frequent = np.empty(0, np.uint32)
+        for batch in batches:
+            task = batch.column(0)[0].as_py()
+            own.append(batch.column(1))
+            inner.append(batch.column(2))
+            n += sum(pc.binary_length(batch.column(1)).to_numpy()) // AGREEMENT.itemsize
+            if n >= held:
+                all_, members = gathered((own, inner))
+                sig, count = np.unique(all_["sig"], return_counts=True)
+                frequent = np.union1d(frequent, sig[count > same])
+                yield from _put_off(all_, members, np.intersect1d(sig, frequent), task, same, chain)
+                all_, members = _taken(all_, members, ~np.isin(all_["sig"], frequent), chain)
+                own, inner = [pa.array([all_.tobytes()], pa.binary())], [pa.array([members.tobytes()], pa.binary())]
+                n = len(all_) // 2  # looked through again once as many more have come
         if own:
-            yield from _join_agreements(pa.Table.from_batches(own), t, chain).to_batches()
-
-    joined = whole.repartitionById(count, "to").mapInArrow(join, "a long, b long, sure boolean")
-    return joined.distinct()
+            all_, members = gathered((own, inner))
+            sig, count = np.unique(all_["sig"], return_counts=True)
+            frequent = sig[(count > same) | np.isin(sig, frequent)]
+            yield from _put_off(all_, members, frequent, task, same, chain)
+            all_, members = _taken(all_, members, ~np.isin(all_["sig"], frequent), chain)
+            if len(all_):
+                yield _join_agreements(all_, members, t, chain)
+
+    agreements = df.select(text).mapInArrow(split, "task int, own binary, members binary")
+    found = cut(agreements.repartitionById(tasks, "task").mapInArrow(join, FOUND_TYPES))
+    pairs, late = found.filter("a is not null").select("a", "b", "sure"), found.filter("sig is not null").select("sig", "own", "members")
+    if late.head(1):
+        w = Window.partitionBy("sig")
+        placed = late.withColumn("i", F.row_number().over(w.orderBy(F.xxhash64("own")))).withColumn("parts", F.count("*").over(w))
+        met = placed.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("parts")))).select("sig", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "own", "members")
+
+        def join_parts(tbl: pa.Table) -> pa.Table:
+            all_, members = gathered((tbl.column("own").chunks, tbl.column("members").chunks))
+            return pa.Table.from_batches([_join_agreements(all_, members, t, chain)])
+
+        pairs = pairs.unionByName(met.groupBy("sig", "i", "j").applyInArrow(join_parts, FOUND_TYPES).select("a", "b", "sure"))
+    return pairs.distinct()
 
 
 def similar(df: DataFrame, key: str, text: str, words: int = 5, t: float = 0.8, least: int = 1, chain: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -182,9 +182,10 @@ def test_pairs_of_edited_texts(spark, words, t, least, span):
 
 
 @pytest.mark.parametrize("chain", [False, True])
-def test_large_tasks_are_split(spark, monkeypatch, chain):
-    """One template with small edits: its signatures are shared by all texts, and their task is split into parts."""
-    monkeypatch.setattr(similar, "TAKEN", 200)
+def test_frequent_signatures_are_split(spark, monkeypatch, chain):
+    """One template with small edits: its signatures are shared by all texts, and are joined in parts."""
+    monkeypatch.setattr(similar, "SAME", 20)
+    monkeypatch.setattr(similar, "HELD", 400)
     monkeypatch.setattr(similar, "TEXTS_PER_TASK", 70)
     r = random.Random(5)
     base = [f"word{k}" for k in range(30)]
