@@ -27,12 +27,12 @@ from millrace.session import broadcast_value, cut
 
 #: Counters for each text of the estimate of how frequent a sequence is, one byte each once summed; fewest and most of them.
 #: At most 64 MB are broadcast. Beyond that, counters are shared by more sequences: the order gets less sharp, not wrong.
-PER_TEXT, FEWEST, MOST = 16, 1 << 20, 1 << 26
+PER_TEXT, FEWEST, MOST = 8, 1 << 22, 1 << 26
 BLOCK = 1 << 16
 #: Sequences estimated to be in at most RARE texts are compared alone, all others two by two in CLASSES classes.
 RARE, CLASSES = 48, 12
 #: Parity bits that come with a set.
-PARITY = 128
+PARITY = 192
 #: Sets of at most so many members travel with their members where only chains of links are wanted.
 CARRIED = 64
 #: Fragments of the order in which overlaps are counted.
@@ -170,7 +170,7 @@ def _signatures(doc: np.ndarray, x: np.ndarray, rank: np.ndarray, t: float):
 def _parity(doc: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
     """PARITY bits for each text: each member flips one. Two sets' bits differ in no more places than the sets themselves."""
     out = np.zeros((rows, PARITY // 64), U)
-    bit = mix(x ^ U(0x5BF03635)) & U(PARITY - 1)
+    bit = mix(x ^ U(0x5BF03635)) % U(PARITY)
     np.bitwise_xor.at(out, (doc, (bit >> U(6)).astype(np.int64)), U(1) << (bit & U(63)))
     return out
 
