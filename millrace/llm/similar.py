@@ -30,7 +30,7 @@ from millrace.session import broadcast_value, cut
 PER_TEXT, FEWEST, MOST = 8, 1 << 22, 1 << 26
 BLOCK = 1 << 16
 #: Sequences estimated to be in at most RARE texts are compared alone, all others two by two in CLASSES classes.
-RARE, CLASSES = 48, 12
+RARE, CLASSES = 128, 8
 #: Parity bits that come with a set.
 PARITY = 192
 #: Sets of at most so many members travel with their members where only chains of links are wanted.
