@@ -14,6 +14,9 @@ import numpy as np
 
 #: Places around a word that count, and hashed attributes at each.
 REACH, SLOTS = 4, 1 << 14
+#: Given names that are common in several languages: a small gazetteer.
+GIVEN = "Adam Ahmed Aisha Alan Alexander Ali Alice Amara Amina Amy Ana Anders Andrea Andrew Angela Anita Anna Anton Antonio Arjun Astrid Barbara Beatrice Ben Björn Bruno Camille Carla Carlos Caroline Chloé Chris Christine Clara Claire Daniel David Deepa Denis Diana Diego Dmitri Elena Elif Elizabeth Emil Emily Emma Erik Esther Eva Fatima Felix Fernando Francesca Gabriel George Giulia Greta Hanna Hans Hassan Helen Henrik Henry Hiroshi Hugo Ibrahim Igor Ines Ingrid Irene Isabel Ivan Jacob James Jan Jana Javier Jean Jennifer Joan John Jonas José Julia Jürgen Karin Karl Kate Kenji Kevin Laura Lars Leila Lena Leo Linda Linh Lisa Louis Lucas Lucia Luis Luka Magnus Malik Marco Margaret Maria Marie Martin Mary Matteo Maya Mehmet Mei Michael Milan Miriam Mohamed Monika Nadia Naomi Natalia Nathan Nicolas Nikolai Nina Noah Nora Nuria Olga Oliver Omar Oskar Pablo Patricia Paul Paula Pavel Pedro Peter Petra Philip Pierre Priya Rachel Rafael Rania Ravi Rebecca Richard Robert Rosa Samuel Sandra Sara Sergei Signe Simon Sofia Stefan Susan Sven Tariq Teresa Thomas Tilda Tomas Ursula Valentina Vera Viktor Walter Wanda Wei William Yasmin Yuki Yusuf Zara Zoë".split()
+_GIVEN = frozenset(x.lower() for x in GIVEN)
 WORD = re.compile(r"\+?\w(?:[\w@.+'’\-]*\w)?|[^\w\s]")
 
 
@@ -31,7 +34,7 @@ def attributes(word: str) -> list[int]:
     low, form = word.lower(), shape(word)
     short = re.sub(r"(.)\1+", r"\1", form)
     digits = sum(c.isdigit() for c in word)
-    found = ("w" + low, "s" + form[:14], "c" + short[:14], "p" + low[:3], "e" + low[-3:], "f" + low[-5:], f"d{digits}/{min(len(word), 12)}", f"l{min(len(word), 12)}{short[:1]}{'@' in word}")
+    found = ("w" + low, "s" + form[:24], "c" + short[:24], f"g{low in _GIVEN}{short[:2]}", "p" + low[:3], "e" + low[-3:], "f" + low[-5:], f"d{digits}/{min(len(word), 24)}", f"l{min(len(word), 24)}{short[:1]}", f"@{'@' in word}{'.' in word}{'[' in word}")
     return [zlib.crc32(x.encode()) % SLOTS for x in found]
 
 

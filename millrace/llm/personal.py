@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,20 +14,28 @@ from millrace.llm.crf import Tagger, words_of
 from millrace.llm.labelled import LABELS, examples, tagged
 from millrace.session import broadcast_value
 
-#: Written questions that the model is trained on.
-TRAINED_ON = 6000
-_MODEL: list[Tagger] = []
+#: Rows that the model is trained on, written from the labelled table.
+TRAINED_ON = 9000
 
 PIECE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())]))
 _AREA = re.compile(r"\(\d{1,4}\)(?=[ .-]?\d)")
 _TITLE = re.compile(r"(?:dr|mr|mrs|ms|prof)\.?\s+", re.I)
 
 
-def model(n: int = TRAINED_ON) -> Tagger:
-    """Trained once in a driver process, from labelled questions that a rule writes; always the same weights."""
-    if not _MODEL:
-        _MODEL.append(Tagger(LABELS).fit([tagged(*x) for x in examples(n)]))
-    return _MODEL[0]
+def fit(n: int = TRAINED_ON) -> Tagger:
+    """A model of n rows written from the labelled table; always the same weights. It takes some 20 s in the driver."""
+    return Tagger(LABELS).fit([tagged(*x) for x in examples(n)])
+
+
+def save(tagger: Tagger, path: str) -> None:
+    """Weights in a compressed file, so that later runs needn't fit."""
+    with open(path, "wb") as f:
+        np.savez_compressed(f, weights=tagger.weights, moves=tagger.moves)
+
+
+def load(path: str) -> Tagger:
+    with np.load(path) as kept:
+        return Tagger(LABELS, kept["weights"], kept["moves"])
 
 
 def _exact(text: str, start: int, end: int, kind: str) -> tuple[str, int, int] | None:
@@ -73,13 +82,13 @@ def pieces_of(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[str, i
     return out
 
 
-def find(df: DataFrame, text: str, name: str = "pieces") -> DataFrame:
+def find(df: DataFrame, text: str, name: str = "pieces", model: Tagger | None = None) -> DataFrame:
     """df with a column of pieces (kind, start_pos, end_pos) of the text, positions counted in characters from 0.
 
-    A null or empty text has an empty list. Texts are read whole; rows and other columns stay as they are. The model is
-    broadcast, as its size is fixed. No shuffle.
+    A null or empty text has an empty list. Texts are read whole; rows and other columns stay as they are. The model,
+    a loaded one or else one that is fitted now, is broadcast, as its size is fixed. No shuffle.
     """
-    tagger = broadcast_value(df.sparkSession, model())
+    tagger = broadcast_value(df.sparkSession, model or fit())
     if name in df.columns:
         df = df.drop(name)
 
@@ -90,12 +99,12 @@ def find(df: DataFrame, text: str, name: str = "pieces") -> DataFrame:
     return df.withColumn(name, pieces(F.col(text).cast("string")))
 
 
-def mask(df: DataFrame, text: str, name: str = "masked") -> DataFrame:
+def mask(df: DataFrame, text: str, name: str = "masked", model: Tagger | None = None) -> DataFrame:
     """df with a column in which each piece is replaced by its kind in brackets, such as [email]; the rest stays readable.
 
     A null text stays null. The replacement is one native expression over the pieces.
     """
-    found = find(df, text, "__pieces")
+    found = find(df, text, "__pieces", model)
     parts = F.expr(
         f"aggregate(__pieces, struct(cast('' as string) as done, 0 as at), (s, p) -> struct(concat(s.done, substring(`{text}`, s.at + 1, p.start_pos - s.at), '[', p.kind, ']') as done, p.end_pos as at), s -> concat(s.done, substring(`{text}`, s.at + 1)))"
     )
