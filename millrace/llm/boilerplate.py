@@ -1,8 +1,8 @@
 """Telling the main body of a page from its furniture: a recurrent labeller over the sequence of its text blocks.
 
 Each block is read as the hashes of its words and of its path of tags, with a few numbers; a bidirectional LSTM in numpy
-then labels every block in the light of all others. It is trained on a bounded sample of the given pages, which a rule
-labels: the rule knows the usual phrases of furniture and that an article begins with the page's title.
+then labels every block in the light of all others. It is trained on a bounded sample of the given pages. Their labels
+come from structure alone: what recurs on pages of other titles, what is linked, where the title stands.
 """
 
 from __future__ import annotations
@@ -20,39 +20,64 @@ from pyspark.sql import types as T
 from millrace.functions.html import blocks, title_of
 from millrace.session import broadcast_value
 
-#: Pages of the training sample, and blocks of a page that training reads. Labelling reads all blocks of all pages.
+#: Pages of the training sample, and most blocks of a page that training reads, from anywhere in it. Labelling reads all
+#: blocks of all pages.
 SAMPLE, TRAINED_BLOCKS = 700, 300
 #: Slots of words and of path entries; sizes of the network; words whose vectors are summed at once.
 WORDS, PATHS, EMBED, HIDDEN, NUMBERS, AT_ONCE = 4096, 1024, 24, 28, 6, 500_000
+#: Titles on whose pages a block must stand to count as recurring; words of a link's name, of a line with a date below the
+#: title, and of a paragraph that speaks for the article.
+RECURRING, LINK_WORDS, DATED_WORDS, SAID_WORDS = 3, 9, 12, 8
+#: Elements that may recur within articles: cells, items, code and headings.
+KEPT = frozenset("td th dt dd li pre code h2 h3 h4 h5 h6".split())
 
-# Phrases of page furniture, as a labelling rule for the training sample.
-ASIDE_HEADS = frozenset("readers also liked|popular articles|in this section|trending|you may also like|next steps|more like this|related articles|related|see also|recommended|most read|latest articles|further reading".split("|"))
-MENU = frozenset("home|search|products|pricing|developers|partners|contact|academy|jobs|downloads|blog|guides|status|community|sign in|log in|what's new|imprint|privacy|terms|accept all|settings|yes|no|reject all|menu|skip to content|back to top|careers|about us|support".split("|"))
-PHRASES = re.compile(
-    r"^(?:©.*|.*all rights reserved.*|third-party names are used to describe.*|registered office and register number.*|use of this site is subject to.*|.* is a product name\. prices are shown.*|the information on this site is given.*"
-    r"|\d+ out of \d+ found this helpful|was this (?:article|page) helpful\?|did this answer your question\?|any comments on this page\?|.* stores small files on your device.*|we use cookies to.*|your privacy matters\..*|by staying on this site you agree.*"
-    r"|(?:updated|checked on|last change|last updated|posted|written) (?:on )?\d+ \w+ \d{4}.*|new: the .* community meets online.*|subscribe to the .* letter.*|get certified\. .*|try .* free for \d+ days\..*"
-    r"|copy link|follow this article|share on the web|print this page|share this article|(?:imprint ?|privacy ?|terms ?)+)$",
-    re.I | re.S,
-)
+_SUFFIX = re.compile(r"\s+[–—|]\s+([^–—|]*)$|\s+-\s+([^-]*)$")
+_DATE = re.compile(r"\d{1,4}[./ -](?:\w+|\d{1,2})[./ ,-]+\d{2,4}")
 
 
 def _name(title: str) -> str:
     """A page's title without the name of its site."""
-    return re.split(r"\s+[–—|]\s+[^–—|]*$|\s+-\s+[^-]*$", title)[0].strip().lower()
+    return _SUFFIX.split(title)[0].strip().lower()
 
 
-def judge(title: str, found: list[tuple[str, tuple[str, ...], bool]]) -> list[int]:
-    """The rule's labels: the blocks from the one that repeats the title on, without furniture, up to lists of other articles."""
-    name, inside, out = _name(title), False, []
-    for text, _, _ in found:
-        low = text.lower()
-        if low in ASIDE_HEADS:
-            inside = False
-        elif name and low == name:
-            inside = True
-        menu = low in MENU or "›" in text or " | " in text and all(w.strip() in MENU for w in low.split(" | "))
-        out.append(int(inside and not menu and not PHRASES.match(text)))
+def _form(text: str, site: str) -> str:
+    low = re.sub(r"\d+", "0", text.lower())
+    return low.replace(site, "§") if site else low
+
+
+def judge(pages: list[tuple[str, list[tuple[str, tuple[str, ...], bool]]]], recurring: int = RECURRING) -> list[list[int]]:
+    """Labels of the blocks of a sample of pages (title, blocks), 1 for the article.
+
+    Articles have words of their own, so a block that recurs under several titles, but for numbers and the site's name,
+    is furniture, unless it is a cell, an item, code or a sub-heading. An article begins with the block that repeats the
+    page's title. It ends where what follows is most clearly furniture: recurring blocks and short links speak for that,
+    paragraphs of their own against. A short line with a date just below the title is a byline. Pages whose title no block
+    repeats have no article.
+    """
+    titles: dict[str, set[str]] = {}
+    forms = []
+    for title, found in pages:
+        site = (m[1] or m[2] or "").strip().lower() if (m := _SUFFIX.search(title)) else ""
+        forms.append([_form(text, site) for text, _, _ in found])
+        for f in forms[-1]:
+            titles.setdefault(f, set()).add(_name(title))
+    out = []
+    for (title, found), own in zip(pages, forms):
+        name = _name(title)
+        at = next((k for k, (text, _, linked) in enumerate(found) if name and text.lower() == name and not linked), len(found))
+        tags = [re.split("[.#@]", path[-1])[0] if path else "" for _, path, _ in found]
+        words = [len(text.split()) for text, _, _ in found]
+        again = [len(titles[f]) >= recurring for f in own]
+        loose = [a and (linked or tag not in KEPT) for a, tag, (_, _, linked) in zip(again, tags, found)]
+        link = [linked and n <= LINK_WORDS for n, (_, _, linked) in zip(words, found)]
+        dated = [n <= DATED_WORDS and at < k <= at + 4 and bool(_DATE.search(text)) for k, (n, (text, _, _)) in enumerate(zip(words, found))]
+        aside = [x or y for x, y in zip(loose, dated)]
+        near = [any(loose[j] or link[j] for j in (k - 1, k + 1) if 0 <= j < len(found)) for k in range(len(found))]
+        # furniture stands together; a single recurring block may be a prompt within the article
+        weight = [(2.0 if n else 0.3) if x else 0.0 if d else 1.0 if y else 0.2 if a and tag[:1] == "h" else -1.0 if w >= SAID_WORDS else -0.6 for x, y, d, a, n, tag, w in zip(loose, link, dated, again, near, tags, words)]
+        after = np.cumsum(weight[::-1])[::-1][at + 1 :] if at < len(found) else np.zeros(0)
+        end = at + 1 + int(after.argmax()) if len(after) and after.max() > 0 else len(found)
+        out.append([int(at <= k < end and not aside[k]) for k in range(len(found))])
     return out
 
 
@@ -222,13 +247,15 @@ def padded(pages: list[tuple]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarra
 
 
 def train(html: list[str]) -> Labeller:
-    pages = []
-    for h in html:
-        found = blocks(h)[:TRAINED_BLOCKS]
-        if found:
-            title = title_of(h)
-            pages.append((*features(title, found), judge(title, found)))
-    return Labeller().fit(pages) if pages else Labeller()
+    """A labeller trained on pages; of a page with more than TRAINED_BLOCKS blocks, on as many from a place that its text decides."""
+    pages = [(title_of(h), found) for h in html if (found := blocks(h))]
+    rows = []
+    for (title, found), labels in zip(pages, judge(pages)):
+        more = len(found) - TRAINED_BLOCKS
+        at = zlib.crc32(found[0][0].encode()) % (more + 1) if more > 0 else 0
+        part = slice(at, at + TRAINED_BLOCKS)
+        rows.append((*(x[part] for x in features(title, found)), labels[part]))
+    return Labeller().fit(rows) if rows else Labeller()
 
 
 def label(labeller: Labeller, html: list[str | None], most: int = 40_000) -> list[list[str]]:

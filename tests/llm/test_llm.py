@@ -236,15 +236,23 @@ def test_blocks_on_unseen_pages(spark, small):
     pages = frame(spark, "/root/testdata/sf0.01", "pages_raw").drop_duplicates("fetch_id")
     html = [h for h in pages.html if h]
     labeller = boilerplate.train(html[:150])
+    told = [(boilerplate.title_of(h), boilerplate.blocks(h)) for h in html[150:]]
     right = wrong = 0
-    for h, got in zip(html[150:], boilerplate.label(labeller, html[150:])):
-        found = boilerplate.blocks(h)
-        want = Counter(x[0] for x, y in zip(found, boilerplate.judge(boilerplate.title_of(h), found)) if y)
+    for (_, found), labels, got in zip(told, boilerplate.judge(told), boilerplate.label(labeller, html[150:])):
+        want = Counter(x[0] for x, y in zip(found, labels) if y)
         right += sum((want & Counter(got)).values())
         wrong += sum((want - Counter(got)).values()) + sum((Counter(got) - want).values())
     assert right > 500 and wrong < 0.05 * right
 
 
+def test_labels_come_from_structure():
+    own = lambda k: [(f"Page {chr(97 + k)}", ("h1",), False), (f"Posted 3 May 202{k} by somebody {k}", ("div",), False), (f"A sentence number {chr(97 + k)} that no other page of this site has.", ("p",), False), ("Steps", ("h2",), False), ("Print me", ("div",), False), (f"Cell {chr(98 + k)}", ("td",), False)]
+    after = lambda k: [("See these", ("h3",), False), (f"Other title {k}", ("li",), True), (f"Other {k} name", ("li",), True), (f"A teaser {chr(97 + k)} of the other article with its own words.", ("p",), False), (f"© 202{k} Site", ("p",), False), ("Imprint", ("a",), True)]
+    pages = [(f"Page {chr(97 + k)} – Site", [("Home", ("li",), True), *own(k), *after(k)]) for k in range(4)]
+    assert boilerplate.judge(pages) == [[0, 1, 0, 1, 1, 0, 1, 0, 0, 0, 0, 0, 0]] * 4
+    assert boilerplate.judge([("Sign in", [("Name", ("p",), False)]), ("", [("x", ("p",), False)])]) == [[0], [0]]
+
+
 def test_slopes_are_those_of_the_loss():
     import numpy as np
 
