@@ -78,6 +78,7 @@ def _sums(points: DataFrame, tree: Tree) -> dict[int, tuple[int, np.ndarray, flo
 
     places = F.array(*(F.sum(F.col("total")[k]) for k in range(SIZE)))
     rows = points.select("x").mapInArrow(run, "node long, n long, total array<double>, spread double").groupBy("node").agg(F.sum("n").alias("n"), places.alias("total"), F.sum("spread").alias("spread")).collect()
+    shared.destroy()
     return {r["node"]: (r["n"], np.array(r["total"]), r["spread"]) for r in rows}
 
 
@@ -85,7 +86,7 @@ def _wide(n: int, spread: float, compact: float, smallest: int) -> bool:
     return n >= 2 * smallest and spread / n > compact
 
 
-def cluster(df: DataFrame, key: str, text: str, compact: float = 0.5, smallest: int = 8) -> tuple[DataFrame, Tree, set[int]]:
+def cluster(df: DataFrame, key: str, text: str, compact: float = 0.5, smallest: int = 1) -> tuple[DataFrame, Tree, set[int]]:
     """Points (key, text, x), the driver's tree, and those of its leaves that are left to be split by one task each.
 
     Nodes whose mean squared distance to the centre exceeds `compact` are split until they are compact, have fewer than
@@ -157,8 +158,8 @@ def _split(x: np.ndarray, centre: np.ndarray, compact: float, smallest: int) ->
     return leaf, np.stack(centres)
 
 
-def _nearest(frame: pd.DataFrame, x: np.ndarray, node: np.ndarray, centres: np.ndarray, typical: int) -> pd.DataFrame:
-    """Of frame (key, text), whose rows lie in nodes: each node's rows nearest to its centre; the first holds its sums."""
+def _nearest(frame: pd.DataFrame, x: np.ndarray, node: np.ndarray, centres: np.ndarray, typical: int | None) -> pd.DataFrame:
+    """Of frame (key, text), whose rows lie in nodes: each node's rows nearest to its centre, or all; the first holds its sums."""
     far = ((x - centres) ** 2).sum(axis=1).astype(np.float64).round(6)
     frame = frame.assign(node=node, far=far).sort_values(["node", "far", "key"])
     place = frame.groupby("node").cumcount()
@@ -166,14 +167,11 @@ def _nearest(frame: pd.DataFrame, x: np.ndarray, node: np.ndarray, centres: np.n
     first = place == 0
     frame["n"], frame["spread"] = 0, 0.0
     frame.loc[first, "n"], frame.loc[first, "spread"] = sums["size"].to_numpy(), sums["sum"].to_numpy()
-    return frame[place < typical]
+    return frame if typical is None else frame[place < typical]
 
 
-def groups(df: DataFrame, key: str, text: str, typical: int = 3, compact: float = 0.5, smallest: int = 8) -> DataFrame:
-    """(group_id, size, dispersion, typical): one row for each leaf, with the texts of its members nearest to the centre.
-
-    Texts that are null or have no tokens are in no group; repeated rows are separate members; ties go to the smaller key.
-    """
+def _leaves(df: DataFrame, key: str, text: str, typical: int | None, compact: float, smallest: int) -> DataFrame:
+    """(key, text, node, far, n, spread): of every batch and leaf, the members nearest to the centre, or all of them."""
     points, tree, open_ = cluster(df, key, text, compact, smallest)
     shared = broadcast_value(points.sparkSession, (tree, open_))
     kind = points.schema["key"].dataType
@@ -209,8 +207,22 @@ def groups(df: DataFrame, key: str, text: str, typical: int = 3, compact: float
     if open_:
         parts = points.mapInArrow(to_split, T.StructType([*points.schema.fields, T.StructField("node", T.LongType())]))
         rows = rows.unionByName(parts.groupBy("node").applyInArrow(split, found))
-    rows = cut(rows)
+    return rows
+
+
+def groups(df: DataFrame, key: str, text: str, typical: int = 3, compact: float = 0.5, smallest: int = 1) -> DataFrame:
+    """(group_id, size, dispersion, typical): one row for each leaf, with the texts of its members nearest to the centre.
+
+    Every leaf is compact, or its members can't be told apart; a larger `smallest` leaves nodes of fewer than twice as many members as they
+    are. Texts that are null or have no tokens are in no group; repeated rows are separate members; ties go to the smaller key.
+    """
+    rows = cut(_leaves(df, key, text, typical, compact, smallest))
     best = rows.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("far", "key"))).filter(F.col("place") <= typical)
     names = best.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("typical"))
     size = rows.groupBy("node").agg(F.sum("n").alias("size"), F.sum("spread").alias("spread"))
     return size.join(names, "node").select(F.col("node").alias("group_id"), "size", F.round(F.col("spread") / F.col("size"), 6).alias("dispersion"), "typical")
+
+
+def members(df: DataFrame, key: str, text: str, compact: float = 0.5, smallest: int = 1) -> DataFrame:
+    """(key, group_id): the leaf of every row that is in one."""
+    return _leaves(df, key, text, None, compact, smallest).select(F.col("key").alias(key), F.col("node").alias("group_id"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.spans import pieces, run_starts, tokens
-from millrace.session import broadcast_value
+from millrace.session import broadcast_value, cut
 from millrace.sources.tables import one_of_each
 
 #: A term found in at least this share of the records is common. There are at most (mean distinct terms of a record) / SHARE of them.
@@ -76,7 +76,7 @@ def best_terms(df: DataFrame, key: str, text: Column, by: str = "idf", least_df:
     rows = one_of_each(df.select(F.col(key).alias("key"), text.alias("text")), "key").select("key", "text")
     n = rows.select("key").count()
     weight = F.log(F.lit(float(n)) / F.col("df")) if by == "idf" else log_entropy(n)
-    terms = term_statistics(rows, "text").filter(F.col("df") >= least_df).select("term", "df", weight.alias("weight")).persist()
+    terms = cut(term_statistics(rows, "text").filter(F.col("df") >= least_df).select("term", "df", weight.alias("weight")))
     common = terms.filter(F.col("df") >= max(least_df, n * SHARE)).select("term", "weight").toArrow()
     spans, doc, start, end = tokens(common.column("term").combine_chunks())
     known = spans.hash(start, end)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,20 +35,37 @@ class BestFit:
         return name
 
 
-def _round(df: DataFrame, capacity: int) -> DataFrame:
-    """(item, piece, size, bin): best fit, largest first, within each partition. An item of size 0 or null has no bin."""
-    schema = T.StructType([*(df.schema[x] for x in ("item", "piece", "size")), T.StructField("bin", T.StringType())])
+#: Items that a task sorts at once.
+SORTED = 1_000_000
+
+
+def _round(df: DataFrame, capacity: int, level: int) -> DataFrame:
+    """(item, piece, size, bin): best fit, largest first, within each partition; every item has a size above 0.
+
+    A bin's number is made of the round, the partition and a running number, so no two bins share one, and the same
+    partitions give the same numbers. Of a large partition, SORTED items at a time are sorted; bins stay open.
+    """
+    schema = T.StructType([*(df.schema[x] for x in ("item", "piece", "size")), T.StructField("bin", T.LongType())])
 
     def run(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches).combine_chunks()
-        sizes = table.column("size").to_numpy()
-        fit, names, run_id, made = BestFit(capacity), [None] * len(sizes), uuid.uuid4().hex, iter(range(1 << 62))
-        for k in np.argsort(-sizes, kind="stable").tolist():
-            names[k] = fit.put(int(sizes[k]), lambda: f"{run_id}-{next(made)}")
-        yield from table.append_column("bin", pa.array(names, pa.string())).to_batches()
+        fit = BestFit(capacity)
+        first = level << 49 | TaskContext.get().partitionId() << 28  # below 2**53, so that doubles hold it too
+        made = iter(range(first, first + (1 << 28)))
+
+        def packed(held):
+            table = pa.Table.from_batches(held).sort_by([("size", "descending"), ("item", "ascending"), ("piece", "ascending")]).combine_chunks()
+            bins = [fit.put(n, made.__next__) for n in table.column("size").to_pylist()]
+            return table.append_column("bin", pa.array(bins, pa.int64())).to_batches()
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= SORTED:
+                yield from packed(held)
+                held, n = [], 0
+        if held:
+            yield from packed(held)
 
     return df.select("item", "piece", "size").mapInArrow(run, schema)
 
@@ -61,29 +77,31 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, nearly: float = 0.99
     have piece 0, size 0 and a null container. Each row is an item, so repeated rows are separate items.
 
     Each partition packs its own items by best fit, largest first. Containers filled to the share `nearly` are done.
-    The others become items of the next round, in fan_in times fewer partitions; the last round has one task, or as many
-    as are needed for per_task containers each, so no task grows with the data. Only underfull containers move, by
-    number and size. Containers are numbered at the end without collecting them.
+    The others become items of the next round, in fan_in times fewer partitions, to which their numbers send them; the
+    last round has one task, or as many as are needed for per_task containers each, so no task grows with the data. What
+    such a task leaves open is at most one container that is less than half full, so more than one of them costs less
+    than one container in per_task. Only underfull containers move, by number and size.
     """
     own = cut(df.select(F.col(key).alias("item"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n")))
     pieces = own.select("item", F.posexplode(F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("long")), lambda k: F.least(F.lit(capacity), F.col("n") - k * capacity))).otherwise(F.array(F.lit(0).cast("long")))).alias("piece", "size"))
-    # random bin names are made once and written, so a lost task can't name them anew
-    packed = cut(_round(pieces.filter("size > 0"), capacity))
+    packed = cut(_round(pieces.filter("size > 0"), capacity, 0))
     level = packed.groupBy("bin").agg(F.sum("size").alias("size"))
     tasks = max(1, packed.rdd.getNumPartitions())
     links = packed.select("item", "piece", "size", "bin")
+    round_ = 0
     while True:
+        round_ += 1
         open_ = level.filter(F.col("size") < int(capacity * nearly)).select(F.col("bin").alias("item"), F.lit(0).alias("piece"), "size")
         left = open_.count()
         fewer = max(1, tasks // fan_in, -(-left // per_task))
         if left < 2 or fewer >= tasks and tasks > 1:
             break
-        moved = cut(_round(open_.repartition(fewer), capacity))
+        moved = cut(_round(open_.repartition(fewer, "item"), capacity, round_))
         links = links.join(moved.select(F.col("item").alias("bin"), F.col("bin").alias("into")), "bin", "left").select("item", "piece", "size", F.coalesce("into", "bin").alias("bin"))
         level = moved.groupBy("bin").agg(F.sum("size").alias("size"))
         if fewer == 1 or fewer >= tasks:
             break
         tasks = fewer
-    named = links.select(F.col("item").alias(key), "piece", "size", F.xxhash64("bin").alias("container"))
+    named = links.select(F.col("item").alias(key), "piece", "size", F.col("bin").alias("container"))
     none = own.filter("n = 0").select(F.col("item").alias(key), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("long").alias("container"))
     return named.unionByName(none)

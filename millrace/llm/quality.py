@@ -123,8 +123,10 @@ def _measure(texts: pa.Array, common: np.ndarray) -> dict[str, np.ndarray]:
     gap[f[f > 1] - 2] = False
     # a field between two separators has few words
     tags = per((b == 60) & (b1 == 116) & (b2 == 100))
+    # code has brackets between its commas and semicolons, rows have not
+    brackets = per((b == 123) | (b == 125) | (b == 40) | (b == 41))
     fields = np.maximum.reduce([per(tight), per(semi), per(b == 124), per(gap) + per((b == 9) & np.append(solid[1:], False) & ~first), tags])
-    cells = (fields >= 2) & (words <= np.where(tags >= 2, 4, 2) * fields + 4) & (fields <= 60) & (loose <= fields) & ((hits < 0.35 * np.maximum(words, 1)) | (per(b == 124) >= 2))
+    cells = (fields >= 2) & (words <= np.where(tags >= 2, 4, 2) * fields + 4) & (brackets < 0.5 * fields) & (loose <= fields) & ((hits < 0.35 * np.maximum(words, 1)) | (per(b == 124) >= 2))
     # the last solid character
     last = np.full(lines, -1)
     solids = np.flatnonzero(solid)

@@ -72,6 +72,22 @@ def test_containers(spark, small):
     assert all(n == 1 or sizes[k] > queries.CAPACITY for k, n in rows.groupby("doc_id").size().items())
 
 
+def test_containers_are_numbered_alike_in_every_run(spark, small):
+    rows = [sorted(map(str, queries.p8_containers(spark, small).collect())) for _ in range(2)]
+    assert rows[0] == rows[1]
+
+
+def test_large_partitions_are_packed_in_parts(spark):
+    df = spark.createDataFrame([(k, 1 + k * 7 % 90) for k in range(5000)], "k long, n long").repartition(4)
+    kept, packing.SORTED = packing.SORTED, 300
+    try:
+        got = packing.pack(df, "k", "n", 100).toPandas()
+    finally:
+        packing.SORTED = kept
+    fills = got.groupby("container")["size"].sum()
+    assert fills.max() <= 100 and len(fills) <= got["size"].sum() / 100 * 1.05 + 2
+
+
 def test_containers_of_odd_sizes(spark):
     df = spark.createDataFrame([(1, 10), (1, 10), (2, 0), (3, None), (4, 25), (5, 1), (None, 3)], "k long, n long").repartition(3)
     got = packing.pack(df, "k", "n", 10).toPandas()
@@ -317,6 +333,18 @@ def test_bisecting(spark, small, odd):
     assert bisecting.groups(odd, "id", "text").agg(F.sum("size")).first()[0] == 4
 
 
+def test_no_leaf_is_wide(spark):
+    got = queries.p4_groups(spark, "/root/testdata/sf0.1").toPandas()
+    low = queries._low_questions(spark, "/root/testdata/sf0.1")
+    leaf = {r["id"]: r.group_id for r in bisecting.members(low, "id", "query").collect()}
+    text = {r["id"]: r["query"] for r in low.collect()}
+    assert got["size"].sum() == len(leaf) and set(leaf.values()) == set(got.group_id)
+    same = defaultdict(set)
+    for k, g in leaf.items():
+        same[g].add(" ".join(sorted(set(TOKEN.findall(text[k].lower())))))
+    assert all(d <= 0.5 or len(same[g]) == 1 for g, d in zip(got.group_id, got.dispersion))
+
+
 @pytest.mark.parametrize("local", [1000, 8192])
 def test_bisecting_ends_by_compactness_only(spark, monkeypatch, local):
     monkeypatch.setattr(bisecting, "LOCAL", local, raising=False)
@@ -454,6 +482,15 @@ def test_statistics(spark):
     assert got["d"].n_words == got["e"].n_words == 0 and got["f"].fresh < 0.05 and got["f"].top == 0.5
 
 
+def test_wide_tables_have_cells(spark):
+    common = spark.createDataFrame([("en", "the")], "lang string, word string")
+    wide = "\n".join(",".join(f"v{k * j}" for k in range(200)) for j in range(5))
+    code = "function a(b){return c(d,e,f);}" * 40
+    rows = [("a", wide), ("b", wide.replace(",", "\t")), ("c", "<tr>" + "<td>x</td>" * 150 + "</tr>"), ("d", code)]
+    got = {r.k: r.cells for r in quality.statistics(spark.createDataFrame(rows, "k string, t string"), "k", "t", common).collect()}
+    assert got == {"a": 1.0, "b": 1.0, "c": 1.0, "d": 0.0}
+
+
 def test_rules_of_odd_rows(spark, odd):
     common = spark.createDataFrame([("en", "the")], "lang string, word string")
     labels = spark.createDataFrame([(3, "junk"), (6, "junk"), (7, "prose"), (8, None), (None, "list")], "id long, kind string")
