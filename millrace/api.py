@@ -57,8 +57,8 @@ def merge_refresh(stored: dict[str, DataFrame], new: dict[str, DataFrame]) -> di
 
 
 def save_index(chunks: DataFrame, path: str) -> None:
-    """Postings and statistics of the usual fields as tables, postings parted by field."""
-    postings, terms, fields = search.index(chunks, "vector_id", {"title": F.col("title"), "section": F.col("heading_path"), "content": F.col("body")})
+    """Postings and statistics of the usual fields as tables, postings parted by field; search_chunks(idx=load_index(…)) reads them."""
+    postings, terms, fields = search.chunk_index(chunks)
     postings.write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
     terms.write.mode("overwrite").partitionBy("field").parquet(f"{path}/terms")
     fields.write.mode("overwrite").parquet(f"{path}/fields")

@@ -5,6 +5,8 @@ Searches take as queries every logged question, or vector, whose id is divisible
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +16,13 @@ from millrace.operators import articles as A
 from millrace.operators import decide as D
 from millrace.operators import evaluate as E
 from millrace.operators import search as S
-from millrace.session import cut
+from millrace.session import cut, stamp
 from millrace.sources.tables import one_of_each, spread, table
 
 
 
-def _fields() -> dict:
-    """Fields of a chunk by the names that weights use."""
-    return {"title": F.col("title"), "section": F.col("heading_path"), "content": F.col("body")}
-
-
-
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return spread(one_of_each(table(spark, d, "chunks"), "vector_id"), "vector_id")
+    return one_of_each(spread(table(spark, d, "chunks"), "vector_id"), "vector_id")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -38,23 +34,51 @@ def _terms(spark, d):
     return S.query_terms(questions(spark, d), "qid", F.col("query"))
 
 
+#: What was built in this application from tables that haven't changed since.
+_BUILT: dict = {}
+
+
+def _built(spark: SparkSession, d: str, name: str, build) -> object:
+    """An index of the chunks is built once, as a user would, and read by every batch of questions after that."""
+    key = (spark.sparkContext.applicationId, d, name, stamp(spark, f"{d}/chunks.parquet"))
+    if key not in _BUILT:
+        _BUILT[key] = build(chunks(spark, d))
+    return _BUILT[key]
+
+
+def _texts(spark, d):
+    return _built(spark, d, "texts", lambda c: S.stored_index(c, "vector_id", {"content": F.col("text")}))
+
+
+def _index_of(spark, d):
+    return _built(spark, d, "fields", S.chunk_index)
+
+
+def _vectors(spark, d):
+    return _built(spark, d, "vectors", lambda c: cut(S.hashed_vectors(c, "vector_id", F.col("text"))))
+
+
+def search_index(spark, d):
+    """Builds what the searches read: postings of the fields and of whole texts, and vectors; rows of each."""
+    _BUILT.clear()
+    parts = {"fields": _index_of(spark, d)[0], "texts": _texts(spark, d)[0], "vectors": _vectors(spark, d)}
+    return reduce(DataFrame.unionByName, [t.groupBy().agg(F.lit(n).alias("part"), F.count("*").alias("n")) for n, t in parts.items()])
+
+
 def tokenize_tf(spark, d):
     return S.term_frequencies(chunks(spark, d), "vector_id", F.col("body")).select(F.col("id").alias("vector_id"), "term", "tf", F.col("dl").cast("long").alias("dl"))
 
 
 def term_stats(spark, d):
-    _, stats, _ = S.index(chunks(spark, d), "vector_id", {"title": F.col("title"), "section": F.col("heading_path"), "content": F.col("body")})
-    return stats
+    return _index_of(spark, d)[1]
 
 
 def _bm25(spark, d, k=10):
-    terms = _terms(spark, d)
-    return S.bm25(S.index(chunks(spark, d), "vector_id", {"content": F.col("text")}, terms), terms, k)
+    return S.bm25(_texts(spark, d), _terms(spark, d), k)
 
 
 def _fielded(spark, d, k):
-    terms = _terms(spark, d)
-    return S.bm25(S.index(chunks(spark, d), "vector_id", _fields(), terms), terms, k, L.FIELDS, L.FIELD_DEPTH)
+    return S.bm25(_index_of(spark, d), _terms(spark, d), k, L.FIELDS, L.FIELD_DEPTH)
 
 
 def _out(df, *more):
@@ -105,18 +129,18 @@ def hybrid_search_rm3(spark, d):
     sparse = cut(_fielded(spark, d, L.TOP_K))
     more = cut(_feedback(spark, d, sparse).select("qid", "term"))
     wide = _terms(spark, d).join(more.select("qid").distinct(), "qid", "left_semi").unionByName(more)
-    expanded = S.bm25(S.index(chunks(spark, d), "vector_id", _fields(), wide), wide, L.TOP_K, L.FIELDS, L.FIELD_DEPTH).select("qid", F.lit("expanded").alias("list"), "id", "score", "rank")
+    expanded = S.bm25(_index_of(spark, d), wide, L.TOP_K, L.FIELDS, L.FIELD_DEPTH).select("qid", F.lit("expanded").alias("list"), "id", "score", "rank")
     return _out(S.weighted_fusion(_lists(spark, d, sparse).unionByName(expanded), {"dense": L.DENSE, "sparse": L.SPARSE, "expanded": L.EXPANDED}))
 
 
 def retrieve(spark, d):
-    found = S.retrieve(chunks(spark, d), questions(spark, d).select("qid", "query"), second=S.lexical_overlap)
+    found = S.retrieve(chunks(spark, d), questions(spark, d).select("qid", "query"), second=S.lexical_overlap, idx=_index_of(spark, d), vectors=_vectors(spark, d))
     return found.withColumns({"score": F.round("score", 6), "similarity": F.round("similarity", 6)})
 
 
 def _ranked_chunks(spark, d):
-    """Fielded results with page and place."""
-    return cut(_fielded(spark, d, L.TOP_K)).join(chunks(spark, d).select(F.col("vector_id").alias("id"), "url", "chunk_pos"), "id").withColumnRenamed("id", "vector_id")
+    """Fielded results with page and place, written once."""
+    return cut(_fielded(spark, d, L.TOP_K).join(chunks(spark, d).select(F.col("vector_id").alias("id"), "url", "chunk_pos"), "id").withColumnRenamed("id", "vector_id"))
 
 
 def section_boost(spark, d):
@@ -131,8 +155,8 @@ def articles_neighbours(spark, d):
     return found.select("qid", F.col("article").cast("long").alias("article"), "vector_id", F.round("score", 6).alias("score"), "via_neighbour")
 
 
-def _articles(spark, d):
-    return A.bodies(A.passages(_ranked_chunks(spark, d), chunks(spark, d)), chunks(spark, d))
+def _articles(spark, d, ranked=None):
+    return A.bodies(A.passages(_ranked_chunks(spark, d) if ranked is None else ranked, chunks(spark, d)), chunks(spark, d))
 
 
 def article_bodies(spark, d):
@@ -144,8 +168,9 @@ def pack_context(spark, d):
 
 
 def extractive_answer(spark, d):
-    packed = A.pack(_articles(spark, d), 4, 1 << 60)
-    titles = _ranked_chunks(spark, d).join(chunks(spark, d).select("vector_id", F.coalesce(F.nullif("title", F.lit("")), "heading_path", F.lit("Untitled")).alias("title")), "vector_id")
+    ranked = _ranked_chunks(spark, d)
+    packed = A.pack(_articles(spark, d, ranked), 4, 1 << 60)
+    titles = ranked.join(chunks(spark, d).select("vector_id", F.coalesce(F.nullif("title", F.lit("")), "heading_path", F.lit("Untitled")).alias("title")), "vector_id")
     titles = A.article_order(titles, 4).groupBy("qid", "article").agg(F.min_by("title", "rank").alias("title"))
     return A.answers(A.best_sentences(packed, questions(spark, d).select("qid", "query")), titles)
 
@@ -174,7 +199,7 @@ def recall_hit_mrr(spark, d):
     c = chunks(spark, d)
     asked = c.filter("vector_id % 100 = 0 and title is not null").select(F.col("vector_id").alias("qid"), F.col("title").alias("query"))
     terms = S.query_terms(asked, "qid", F.col("query"))
-    found = S.bm25(S.index(c, "vector_id", {"content": F.col("text")}, terms), terms, L.TOP_K)
+    found = S.bm25(_texts(spark, d), terms, L.TOP_K)
     relevant = asked.join(c.select("vector_id", "title"), F.col("query") == F.col("title")).select("qid", F.col("vector_id").alias("id"))
     return E.summary(E.ranks(found.select("qid", "id", "rank"), relevant))
 
@@ -209,6 +234,7 @@ _HOST = "lower(regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^
 _SAME = f"coalesce({_HOST.format('url')} = {_HOST.format('cur')} AND least(2, len({_SEG.format('url')}), len({_SEG.format('cur')})) > 0 AND list_slice({_SEG.format('url')}, 1, least(2, len({_SEG.format('url')}), len({_SEG.format('cur')}))) = list_slice({_SEG.format('cur')}, 1, least(2, len({_SEG.format('url')}), len({_SEG.format('cur')}))), false)"
 
 SQL = {
+    "search_index": f"WITH {_C}, {_index(_ALL)}, x AS (SELECT count(DISTINCT (vector_id, term)) AS n FROM (SELECT vector_id, unnest({TOK.format('text')}) AS term FROM c)) SELECT 'fields' AS part, count(*) AS n FROM p UNION ALL SELECT 'texts', n FROM x UNION ALL SELECT 'vectors', count(*) FROM c",
     "tokenize_tf": f"WITH {_C} SELECT vector_id, term, count(*) AS tf, dl FROM (SELECT vector_id, len(t) AS dl, unnest(t) AS term FROM (SELECT vector_id, {TOK.format('body')} AS t FROM c)) GROUP BY ALL",
     "term_stats": f"WITH {_C}, {_index(_ALL)} SELECT field, term, df FROM st",
     "bm25_topk": f"WITH {_C}, {_Q}, {_index({'content': 'text'})}, {_scored({'content': 'text'}, {'content': 1.0}, 10, None)} SELECT qid, id AS vector_id, round(score, 6) AS score, rank FROM b",
@@ -225,4 +251,4 @@ SQL["articles_neighbours"] = f"{_FIELDED}, {_PAGED}, near AS (SELECT DISTINCT qi
 SQL["rerank_head"] = f"{_FIELDED}, o AS (SELECT b.*, list_distinct({TOK.format('q.query')}) AS qk, {TOK.format('c.body')} AS bk FROM b JOIN c ON c.vector_id = b.id JOIN q USING (qid)), s AS (SELECT *, CASE WHEN rank < 20 AND len(qk) > 0 THEN len(list_intersect(qk, bk)) / len(qk) END AS s2 FROM o) SELECT qid, id AS vector_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank >= 20, s2 IS NULL, s2 DESC, rank) - 1 AS rank FROM s"
 SQL["focused_search"] = f"{_FIELDED}, pg AS (SELECT vector_id, chunk_pos FROM c WHERE url = (SELECT url FROM c ORDER BY vector_id LIMIT 1)) SELECT x.qid, pg.vector_id, round(coalesce(b.score, 0), 6) AS score, row_number() OVER (PARTITION BY x.qid ORDER BY b.rank IS NULL, b.rank, chunk_pos) - 1 AS place FROM (SELECT DISTINCT qid FROM b) x, pg LEFT JOIN b ON b.qid = x.qid AND b.id = pg.vector_id"
 
-QUERIES = {f.__name__: f for f in (tokenize_tf, term_stats, bm25_topk, fielded_bm25_topk, cosine_topk, rrf_fusion, hybrid_search, rm3_terms, hybrid_search_rm3, retrieve, section_boost, articles_neighbours, article_bodies, pack_context, extractive_answer, focused_search, rerank_head, refinements, recall_hit_mrr)}
+QUERIES = {f.__name__: f for f in (search_index, tokenize_tf, term_stats, bm25_topk, fielded_bm25_topk, cosine_topk, rrf_fusion, hybrid_search, rm3_terms, hybrid_search_rm3, retrieve, section_boost, articles_neighbours, article_bodies, pack_context, extractive_answer, focused_search, rerank_head, refinements, recall_hit_mrr)}
