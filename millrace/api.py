@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import lexicon as L
 from millrace.functions import text as X
 from millrace.functions import urls as R
 from millrace.operators import articles as A
-from millrace.operators import chunker, crawl, decide, evaluate, extract, logs, render, search, understand
+from millrace.operators import chunker, crawl, decide, evaluate, extract, logs, render, search, turns, understand
 from millrace.session import cut
 from millrace.sources import corpus
 
-__all__ = ["answer", "build_index", "calibrate", "due_indexes", "evaluate_questions", "export_corpus", "gap_report", "import_corpus", "load_index", "log_entries", "merge_refresh", "plan_refresh", "quota", "sample", "save_index", "search_chunks"]
+__all__ = ["answer", "answer_events", "build_index", "calibrate", "due_indexes", "evaluate_questions", "export_corpus", "finalize", "gap_report", "import_corpus", "import_index", "load_index", "log_entries", "merge_refresh", "plan_refresh", "quota", "sample", "save_index", "search_chunks"]
 
 # Bytes that a page takes, and articles and tokens that each kind of generator gets.
 PAGE_BYTES = 23_000
@@ -81,26 +81,43 @@ def search_chunks(chunks: DataFrame, queries: DataFrame, **how) -> DataFrame:
     return search.retrieve(chunks, queries, **how)
 
 
-def answer(chunks: DataFrame, queries: DataFrame, refuse: float = L.REFUSE, confident: float = L.CONFIDENT, pack: str = "extractive", **how) -> DataFrame:
-    """(qid, outcome, certainty, top_score, answer, sources) for queries (qid, query).
+def answer(chunks: DataFrame, queries: DataFrame, refuse: float = L.REFUSE, confident: float = L.CONFIDENT, pack: str = "extractive", focus: str | None = None, **how) -> DataFrame:
+    """(qid, outcome, certainty, top_score, answer, sources, refinements) for queries (qid, query).
 
     Small talk isn't looked up. A question is refused without results or below the floor; otherwise excerpts of the best
-    articles answer it, with their sources as cards, below the confident floor marked uncertain.
+    articles answer it, with their sources as cards, below the confident floor marked uncertain. Where several pages lead
+    about equally, refinements name them. With `focus`, the URL of a page that was picked, only that page answers, and a
+    question isn't refused for its score.
     """
     talk = queries.select("qid", "query", understand.intent(F.col("query")).alias("intent"))
     asked = talk.filter("intent = 'question'").select("qid", "query")
     ranked = cut(search.retrieve(chunks, asked, **how))
+    if focus:
+        scoped = A.page_scope(ranked.withColumnRenamed("place", "__p") if "place" in ranked.columns else ranked, chunks, focus)
+        near = ranked.select("qid", "vector_id", "similarity")
+        ranked = cut(scoped.join(near, ["qid", "vector_id"], "left").join(chunks.select("vector_id", "url", "chunk_pos"), "vector_id").withColumnRenamed("place", "rank"))
     own = A.article_order(ranked.join(chunks.select("vector_id", "title", "heading_path", "body"), "vector_id"))
     heads = cut(own.groupBy("qid", "article", "url").agg(F.min_by("title", "rank").alias("title"), F.min_by("heading_path", "rank").alias("heading_path"), F.min_by("body", "rank").alias("first_body"), F.greatest(F.lit(0.0), F.max("similarity")).alias("similarity")))
     most, budget = PACKS[pack]
-    packed = A.pack(A.bodies(A.passages(ranked, chunks), chunks), most, budget)
+    packed = cut(A.pack(A.bodies(A.passages(ranked, chunks), chunks), most, budget))
     cards = render.source_cards(heads.join(packed.select("qid", "article", "body"), ["qid", "article"])).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank_no", "title", "breadcrumb", "snippet", "relevance", "url", "display_url"))).alias("sources"))
     said = A.answers(A.best_sentences(packed, asked), heads.select("qid", "article", F.coalesce("title", "heading_path", F.lit("Untitled")).alias("title")))
-    top = heads.groupBy("qid").agg(F.round(F.max("similarity"), 6).alias("top_score"))
-    verdict = decide.verdict(F.col("top_score"), F.col("top_score").isNotNull(), F.lit(refuse), F.lit(confident))
-    done = talk.join(top, "qid", "left").join(said, "qid", "left").join(cards, "qid", "left").withColumn("certainty", F.when(F.col("intent") == "question", verdict))
+    options = decide.refinements(heads).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "label", "url"))).alias("refinements"))
+    top = heads.groupBy("qid").agg(F.round(F.max("similarity"), 6).alias("top_score"), F.count("*").alias("__n"))
+    done = talk.join(top, "qid", "left").join(said, "qid", "left").join(cards, "qid", "left").join(options, "qid", "left")
+    verdict = turns.decision(F.col("top_score"), F.coalesce("__n", F.lit(0)), F.lit(refuse), F.lit(confident), F.lit(True), F.lit(bool(focus)))
+    done = done.withColumn("certainty", F.when(F.col("intent") == "question", verdict))
     outcome = F.when(F.col("intent") != "question", "small-talk").when(F.col("certainty") == "refuse", "refused").otherwise("answered")
-    return done.withColumn("outcome", outcome).select("qid", "outcome", "certainty", "top_score", F.when(F.col("outcome") == "answered", F.col("answer")).alias("answer"), F.when(F.col("outcome") == "answered", F.col("sources")).alias("sources"))
+    answered = F.col("outcome") == "answered"
+    return done.withColumn("outcome", outcome).select("qid", "outcome", "certainty", "top_score", F.when(answered, F.col("answer")).alias("answer"), F.when(answered, F.col("sources")).alias("sources"), F.when(answered, F.col("refinements")).alias("refinements"))
+
+
+def answer_events(answers: DataFrame, replies: DataFrame | None = None, tier: str = "extractive") -> DataFrame:
+    """(qid, n, kind, detail): the events of answers, in order; with a model's replies (qid, reply), those are shown, and an
+    answer by extraction takes over where a reply declines."""
+    own = answers.filter("outcome <> 'small-talk'")
+    own = own.withColumn("reply", F.col("answer")) if replies is None else own.join(replies.select("qid", "reply"), "qid", "left")
+    return turns.events(own.select("qid", "certainty", F.lit(tier).alias("tier"), "reply", F.col("answer").alias("fallback"), F.greatest(F.lit(0), F.coalesce(F.size("refinements"), F.lit(0))).alias("refinements")))
 
 
 def log_entries(answers: DataFrame, queries: DataFrame, index_id: str, at_ms: Column) -> DataFrame:
@@ -114,6 +131,33 @@ def cached(queries: DataFrame, cache: DataFrame, index_id: str, settings: str) -
     return queries.withColumn("key", key).join(cache.select("key", "markdown"), "key", "left")
 
 
+def cached_put(cache: DataFrame, answers: DataFrame) -> DataFrame:
+    """cache with answers (key, index_id, markdown, refused, at_ms) put in, each index held to its latest 200; see operators.turns."""
+    return turns.put(cache, answers)
+
+
+def finalize(chunks: DataFrame, probes: int = 20, embed=search.hashed_vectors) -> dict[str, DataFrame]:
+    """What a finished crawl leaves: statistics of each index and its floors, which probes calibrate.
+
+    Titles at even distances are asked of all indexes at once: an index should answer its own, and not the others'. Probes
+    are a fixed number for each index, so they are the small side of an exact nearest-neighbour search over all chunks.
+    """
+    asked = logs.even_stride(chunks, "index_id", "title", probes)
+    queries = cut(asked.withColumn("qid", F.row_number().over(Window.orderBy("index_id", "title")).cast("long")))
+    vectors = cut(embed(chunks, "vector_id", F.col("text")))
+    near = search.cosine(vectors, embed(queries, "qid", F.col("title")).withColumnRenamed("id", "qid"), 50)
+    met = near.join(chunks.select(F.col("vector_id").alias("id"), F.col("index_id").alias("of")), "id").groupBy("qid", "of").agg(F.max("score").alias("score"))
+    scores = met.join(queries, "qid").select(F.col("of").alias("index_id"), "score", (F.col("of") == F.col("index_id")).alias("positive"))
+    return {"stats": logs.index_statistics(chunks), "floors": decide.calibrate(cut(scores), "index_id")}
+
+
+def import_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
+    """Chunks of a corpus file, numbered anew, with their postings and statistics saved, so that they can be searched at once."""
+    chunks = cut(corpus.read_chunks(spark, path))
+    save_index(chunks, index_path)
+    return chunks
+
+
 def gap_report(log: DataFrame, **floors) -> DataFrame:
     return logs.gap_report(log, **floors)
 

@@ -91,9 +91,13 @@ def versions(pages: DataFrame) -> DataFrame:
 
 
 def duplicates(pages: DataFrame, by: str, key: str) -> DataFrame:
-    """(key, kept): pages that repeat another one's content, and the smallest key that stands for them."""
-    least = pages.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min(key).alias("kept"), F.count("*").alias("n")).filter("n > 1")
-    return pages.join(least, by).filter(F.col(key) != F.col("kept")).select(key, "kept")
+    """(key, kept): pages that repeat another one's content, and the smallest key that stands for them.
+
+    Contents are grouped by a hash of 256 bits, so texts aren't shuffled.
+    """
+    hashed = pages.filter(F.col(by).isNotNull()).select(key, F.sha2(F.col(by).cast("string"), 256).alias("__h"))
+    least = hashed.groupBy("__h").agg(F.min(key).alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    return hashed.join(least, "__h").filter(F.col(key) != F.col("kept")).select(key, "kept")
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -227,6 +231,110 @@ def preview(found: DataFrame, include: list[str], exclude: list[str], most: int)
     return found.select("link").distinct().agg(F.count("*").alias("found"), F.count_if(~scope).alias("out_of_scope"), F.count_if(scope & ~safe).alias("unsafe"), F.least(F.lit(most), F.count_if(scope & safe)).alias("kept"))
 
 
+def site_preview(seeds_: DataFrame, rules: DataFrame, agent: str, root: str, linked: DataFrame, include: list[str], exclude: list[str], most: int, wider: int = 3) -> DataFrame:
+    """One row for a crawl from root: discovered seeds (url), excluded, blocked by robots, links (link) of the root page
+    within the root and on its host, pages to expect, and the host as a better root where that reaches so many more."""
+    from millrace.api import under_root
+
+    origin = "/".join(root.split("/")[:3]) + "/"
+    fit = lambda u: R.in_scope(u, include, exclude) & ~(R.acts(u) | R.binary(u))
+    named = seeds_.select(R.canonical_url(F.col("url"), F.lit(root)).alias("url"))
+    inside = F.coalesce(under_root(F.col("url"), root) & fit(F.col("url")), F.lit(False))
+    known = allowed(cut(named.withColumn("inside", inside)).withColumn("host", R.host(F.col("url"))), rules, agent)
+    kept = F.count_distinct(F.when(F.col("inside") & F.col("allowed") & (F.col("url") != root), F.col("url")))
+    seeded = known.agg(F.count("*").alias("discovered"), F.count_if(~F.col("inside")).alias("excluded"), F.count_if(F.col("inside") & ~F.col("allowed")).alias("blocked"), (kept + 1).alias("__kept"))
+    near = linked.select("link").distinct().filter(fit(F.col("link")))
+    reach = near.agg(F.count_if(under_root(F.col("link"), root)).alias("linked_here"), F.count_if(under_root(F.col("link"), origin)).alias("linked_on_host"))
+    one = seeded.join(reach)  # one row each
+    better = F.when(F.lit(origin != root) & (F.col("linked_on_host") - F.col("linked_here") >= wider), F.lit(origin))
+    return one.select("discovered", "excluded", "blocked", "linked_here", "linked_on_host", F.greatest(F.lit(1), F.least(F.lit(most), F.col("__kept") + F.col("linked_here"))).alias("expected"), better.alias("better_root"))
+
+
 def seconds_needed(pages: Column, per_second: float) -> Column:
     """Estimated seconds of a crawl: loading, then the slower of politeness and embedding."""
     return F.ceil(4 + F.greatest(pages / per_second, pages * 0.45) + 0.45)
+
+
+#: Attempts after which a failed URL isn't tried again, renders of a crawl, and renders in a row without use.
+ATTEMPTS, RENDERS, USELESS = 2, 50, 5
+
+
+def enqueued(queue: DataFrame, new: DataFrame) -> DataFrame:
+    """queue (url, depth, status, attempts, last_status, reason) with URLs of new (url, depth) that it doesn't know in any status."""
+    fresh = new.groupBy("url").agg(F.min("depth").alias("depth")).join(queue.select("url"), "url", "left_anti")
+    nothing = {"status": F.lit("queued"), "attempts": F.lit(0), "last_status": F.lit(None).cast("int"), "reason": F.lit(None).cast("string")}
+    return queue.unionByName(fresh.withColumns(nothing).select(*queue.columns))
+
+
+def marked(queue: DataFrame, results: DataFrame) -> DataFrame:
+    """queue after attempts (url, status, last_status, reason): one more attempt each; a failure without a reason takes that
+    of its HTTP status. Results of unknown URLs are passed over."""
+    r = results.select("url", F.col("status").alias("__s"), F.col("last_status").alias("__h"), F.coalesce("reason", F.when(F.col("status") == "failed", F.coalesce(failure(F.col("last_status"), F.lit(None)), F.lit("other")))).alias("__r"))
+    met = F.col("__s").isNotNull()
+    return queue.join(r, "url", "left").withColumns({"status": F.coalesce("__s", "status"), "attempts": F.col("attempts") + met.cast("int"), "last_status": F.coalesce("__h", "last_status"), "reason": F.when(met, F.col("__r")).otherwise(F.col("reason"))}).drop("__s", "__h", "__r")
+
+
+def requeued(queue: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
+    """queue with failures worth another attempt queued again, up to so many attempts."""
+    again = (F.col("status") == "failed") & retryable(F.col("reason")) & (F.col("attempts") < attempts)
+    return queue.withColumn("status", F.when(again, "queued").otherwise(F.col("status")))
+
+
+def recrawled(queue: DataFrame) -> DataFrame:
+    return queue.withColumn("status", F.lit("queued"))
+
+
+def next_queued(queue: DataFrame, most: int) -> DataFrame:
+    """The next URLs of the queue, in order of URL; a batch, so bounded by what is asked for."""
+    return queue.filter("status = 'queued'").orderBy("url").limit(most)
+
+
+def counts(queue: DataFrame) -> DataFrame:
+    """One row: how many are queued, done, failed and skipped."""
+    return queue.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("queued", "done", "failed", "skipped")))
+
+
+def crawled(pages: DataFrame, seeds: DataFrame, rules: DataFrame, agent: str, include: list[str], exclude: list[str], depth: int, most: int) -> DataFrame:
+    """The queue after a crawl over fetched pages (one for each `page`, with outcome, status, html, final_url, url).
+
+    Round by round, the queued URLs meet their pages: those that robots rules bar, or that come after `most` pages are
+    done, are skipped, pages that ask not to be indexed too, but their links count; failures keep their reason. Links of a
+    round within scope are queued one deeper. Each round is a join written to the shared folder; rows never reach the driver.
+    """
+    kinds = "url string, depth int, status string, attempts int, last_status int, reason string"
+    queue = enqueued(pages.sparkSession.createDataFrame([], kinds), seeds.select("url", F.lit(0).alias("depth")))
+    queue, done = cut(queue), 0
+    fit = links(pages).filter(R.in_scope(F.col("link"), include, exclude) & ~R.acts(F.col("link")) & ~R.binary(F.col("link")))
+    for d in range(depth + 1):
+        now = allowed(queue.filter("status = 'queued'").select("url", R.host(F.col("url")).alias("host")), rules, agent)
+        met = now.join(pages.select(F.col("page").alias("url"), "outcome", F.col("status").alias("last_status"), "failure"), "url", "left")
+        place = F.row_number().over(Window.orderBy("url")) if most < 1 << 40 else F.lit(0)
+        good = F.col("allowed") & F.col("outcome").isin("indexed", "unchanged")
+        ranked_ = met.filter(good).select("url", place.alias("__n")).filter(F.col("__n") > most - done).select("url", F.lit(True).alias("late"))
+        state = F.when(~F.col("allowed") | F.col("late").isNotNull() | (F.col("outcome") == "skipped"), "skipped").when(good, "done").otherwise("failed")
+        results = cut(met.join(ranked_, "url", "left").select("url", state.alias("status"), F.when(state == "failed", F.coalesce("last_status", F.lit(0))).alias("last_status"), F.when(state == "failed", F.coalesce("failure", F.when(F.col("outcome") == "auth", "forbidden"), F.lit("network"))).alias("reason"), ((state == "done") | F.coalesce((F.col("outcome") == "skipped") & F.col("allowed"), F.lit(False))).alias("harvest")))
+        done += results.filter("status = 'done'").count()
+        queue = marked(queue, results)
+        if d < depth:
+            found = results.filter("harvest").join(fit, F.col("url") == F.col("page")).select(F.col("link").alias("url"), F.lit(d + 1).alias("depth"))
+            queue = enqueued(queue, found)
+        queue = cut(queue)
+    return queue
+
+
+def renders(pages: DataFrame, by: str, order: list[str], helped: str, most: int = RENDERS, useless: int = USELESS) -> DataFrame:
+    """pages that ask to be rendered, with allowed: the first `most` of each crawl, until `useless` in a row brought nothing."""
+    w = Window.partitionBy(by).orderBy(*order)
+    placed = pages.withColumn("__k", F.row_number().over(w)).withColumn("__run", F.sum((~F.col(helped)).cast("int")).over(w.rowsBetween(-(useless - 1), 0)))
+    over = F.min(F.when(F.col("__run") == useless, F.col("__k"))).over(Window.partitionBy(by))
+    return placed.withColumn("allowed", (F.col("__k") <= most) & (F.col("__k") <= F.coalesce(over, F.col("__k")))).drop("__k", "__run")
+
+
+def stopped(fetches: DataFrame, by: str, order: list[str], status: str, ceiling: int) -> DataFrame:
+    """(by, order): where each crawl stops, after `ceiling` failures of site or network in a row. Missing pages neither
+    count nor break a row of failures."""
+    bad = infrastructure(F.col(status))
+    w = Window.partitionBy(by).orderBy(*order)
+    told = fetches.filter(bad | F.col(status).between(200, 399)).withColumn("__run", F.sum(bad.cast("int")).over(w.rowsBetween(-(ceiling - 1), 0)))
+    first = F.min(F.when(F.col("__run") == ceiling, F.struct(*order))).alias("f")
+    return told.groupBy(by).agg(first).filter("f is not null").select(by, *(F.col(f"f.{o}") for o in order))

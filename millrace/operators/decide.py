@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import lexicon as L
@@ -24,22 +24,41 @@ def quantile(sorted_: Column, q: float) -> Column:
     return F.when(n > 0, F.get(sorted_, F.least(n - 1, F.floor(n * q)).cast("int")))
 
 
+#: Bins into which scores are counted when one of them is looked for by its place.
+BINS = 4096
+
+
+def nth(scores: DataFrame, by: str, score: str, wanted: DataFrame) -> DataFrame:
+    """(by, name, value): scores by their place from 0 in ascending order, for wanted (by, name, place).
+
+    Scores are counted in bins first, and only those of the bin that holds a place are counted one by one. Both are sums,
+    so no group's scores ever come together, however large it is.
+    """
+    binned = scores.withColumn("bin", F.floor(F.least(F.col(score), F.lit(1.0)) * BINS))
+    w = Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy(by, "bin").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    inside = bins.join(wanted, by).filter((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))).select(by, "bin", "name", (F.col("place") - F.col("before")).alias("place"))
+    v = Window.partitionBy(by, "name").orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
+    few = binned.join(F.broadcast(inside), [by, "bin"]).groupBy(by, "name", "place", score).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(v))
+    return few.filter(F.col("upto") > F.col("place")).groupBy(by, "name").agg(F.min(score).alias("value"))
+
+
 def calibrate(scores: DataFrame, by: str) -> DataFrame:
     """(by, refuse, confident, samples) of scores (by, score, positive): floors from what should and shouldn't be answered.
 
-    With fewer than five usable negatives the usual floors hold. Scores are bounded samples of probes for each index, so
-    a group is small; only finite scores above 0 count.
+    With fewer than five usable negatives the usual floors hold; only finite scores above 0 count. The worst negative,
+    or from ten on the second worst, and the lowest tenth of the positives are found by place, see nth().
     """
-    usable = scores.filter("score > 0 and not isnan(score) and score < double('infinity')")
-    lists = scores.select(by).distinct().join(usable.groupBy(by).agg(F.sort_array(F.collect_list(F.when(~F.col("positive"), F.col("score")))).alias("neg"), F.sort_array(F.collect_list(F.when(F.col("positive"), F.col("score")))).alias("pos")), by, "left")
-    n = F.coalesce(F.size("neg"), F.lit(0))
-    n = F.greatest(n, F.lit(0))
-    worst = F.get("neg", F.when(n >= 10, n - 2).otherwise(n - 1))
-    floor = F.greatest(F.lit(L.REFUSE), F.least(worst + MARGIN, F.lit(SANE)))
-    low = quantile(F.col("pos"), 0.1)
-    refuse = F.when((F.size("pos") >= 5) & (floor > low), low).otherwise(floor)
+    usable = scores.filter("score > 0 and not isnan(score) and score < double('infinity')").select(by, "score", "positive")
+    sizes = scores.select(by).distinct().join(usable.groupBy(by).agg(F.count_if(~F.col("positive")).alias("neg"), F.count_if("positive").alias("pos")), by, "left").na.fill(0, ["neg", "pos"])
+    n, m = F.col("neg"), F.col("pos")
+    worst = nth(usable.filter(~F.col("positive")), by, "score", sizes.filter("neg > 0").select(by, F.lit("w").alias("name"), F.when(n >= 10, n - 2).otherwise(n - 1).alias("place")))
+    low = nth(usable.filter("positive"), by, "score", sizes.filter("pos > 0").select(by, F.lit("l").alias("name"), F.least(m - 1, F.floor(m * 0.1)).alias("place")))
+    both = sizes.join(worst.select(by, F.col("value").alias("worst")), by, "left").join(low.select(by, F.col("value").alias("low")), by, "left")
+    floor = F.greatest(F.lit(L.REFUSE), F.least(F.col("worst") + MARGIN, F.lit(SANE)))
+    refuse = F.when((m >= 5) & (floor > F.col("low")), F.col("low")).otherwise(floor)
     enough = n >= 5
-    return lists.select(by, F.when(enough, F.round(refuse, 3)).otherwise(L.REFUSE).alias("refuse"), F.when(enough, F.round(F.least(refuse + SPAN, F.lit(SANE + SPAN)), 3)).otherwise(L.CONFIDENT).alias("confident"), n.cast("long").alias("samples"))
+    return both.select(by, F.when(enough, F.round(refuse, 3)).otherwise(L.REFUSE).alias("refuse"), F.when(enough, F.round(F.least(refuse + SPAN, F.lit(SANE + SPAN)), 3)).otherwise(L.CONFIDENT).alias("confident"), n.alias("samples"))
 
 
 def sweep(cases: DataFrame, floors: list[float]) -> DataFrame:
@@ -73,8 +92,6 @@ def label(title: Column, path: Column) -> Column:
 def refinements(articles: DataFrame) -> DataFrame:
     """(qid, place, label, url) of articles (qid, article, url, title, heading_path, similarity): up to three pages to
     choose from, if at least three distinct ones lead and are about as similar; none where a similarity is unknown."""
-    from pyspark.sql import Window
-
     named = articles.withColumn("label", label(F.col("title"), F.col("heading_path"))).filter("label <> ''")
     for key in ("url", "__l"):
         named = named.withColumn("__l", F.lower("label")).withColumn("__k", F.row_number().over(Window.partitionBy("qid", key).orderBy("article"))).filter("__k = 1").drop("__k")

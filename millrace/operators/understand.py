@@ -63,6 +63,17 @@ def planned(turns: DataFrame, question: str, search: str, reply: str) -> DataFra
     return turns.withColumn("plan", F.when(good, new).otherwise(F.col(search))).withColumn("source", F.when(good, "model").when(F.col(search) != F.col(question), "followup").otherwise("raw"))
 
 
+def combined(reply: Column) -> Column:
+    """(query, passage) of a reply that should name both. Without any label all of it is the query; with only the
+    passage's, what stands before that."""
+    text = F.regexp_replace(F.coalesce(reply, F.lit("")), r"(?U)^\s+|\s+$", "")
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    passage = bare(F.regexp_extract(text, r"(?is)PASSAGE:\s*(.+)", 1))
+    named = bare(F.regexp_extract(text, r"(?i)QUERY:\s*(.+)", 1))
+    before = bare(F.regexp_extract(text, r"(?is)^(.*?)PASSAGE:", 1))
+    return F.struct(F.when(named != "", named).when(passage == "", text).otherwise(before).alias("query"), passage.alias("passage"))
+
+
 def dense_text(query: Column, passage: Column, most: int = 600) -> Column:
     """What is embedded: the question, and below it a passage that a model wrote as if it answered it."""
     return F.when(F.trim(F.coalesce(passage, F.lit(""))) == "", query).otherwise(F.concat(query, F.lit("\n\n"), F.substring(F.trim(passage), 1, most)))

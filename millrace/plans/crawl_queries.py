@@ -209,4 +209,14 @@ _WHY = "CASE WHEN (status BETWEEN 200 AND 299 AND html IS NOT NULL) OR status =
 _STATUSES = (0, 204, 301, 304, 400, 401, 402, 403, 404, 405, 408, 410, 429, 451, 500, 503)
 SQL["crawl_outcomes"] = f"WITH {_P}, x AS (SELECT fetch_id, url, final_url, html, robots_tag, unnest([status, {', '.join(map(str, _STATUSES))}]) AS status FROM p), o AS (SELECT fetch_id, status, {_WALL} AS wall, {_WHY} AS failure, coalesce(regexp_matches(robots_tag, '(?i)(^|[\\s,])(noindex|none)([\\s,]|$)'), false) OR {_META} AS no FROM x) SELECT DISTINCT fetch_id, status, wall, failure, coalesce(failure IN ('network', 'server', 'throttled', 'indexing'), false) AS again, CASE WHEN status = 304 THEN 'unchanged' WHEN wall IS NOT NULL THEN 'auth' WHEN failure IS NOT NULL THEN 'failed' WHEN no THEN 'skipped' ELSE 'indexed' END AS outcome FROM o"
 
+# a title's question by its shape: a question, a task by its first word in one of its forms, a short name
+_VERBS = "[" + ", ".join(f"'{v}'" for v in L.TASK_VERBS) + "]"
+_NOISY = " OR ".join(f"regexp_matches(x, '{L.duck(p)}')".replace("what'?s", "what''?s") for p in (L.NOISE_TITLES, L.MONTH_TITLES))
+SQL["title_questions"] = (
+    "WITH o AS (SELECT DISTINCT title FROM chunks WHERE title IS NOT NULL AND vector_id IS NOT NULL), s AS (SELECT title, trim(regexp_replace(regexp_replace(regexp_replace(title, '\\s*\\[[^\\]]*\\]\\s*$', ''), '\\s*\\([^)]*\\)\\s*$', ''), '[\\s\\x{00A0}\\x{FEFF}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}]+', ' ', 'g')) AS x FROM o),"
+    " w AS (SELECT *, lower(split_part(x, ' ', 1)) AS f, x[length(split_part(x, ' ', 1)) + 1:] AS rest FROM s), g AS (SELECT *, CASE WHEN suffix(f, 'ing') AND length(f) >= 5 THEN [f[:-4], regexp_replace(f[:-4], '(bb|cc|dd|ff|gg|kk|ll|mm|nn|pp|rr|ss|tt|zz)$', ''), f[:-4] || 'e'] ELSE [] END AS forms FROM w),"
+    f" h AS (SELECT *, CASE WHEN len(forms) > 0 AND regexp_matches(f[:-4], '(bb|cc|dd|ff|gg|kk|ll|mm|nn|pp|rr|ss|tt|zz)$') THEN f[:-5] END AS half FROM g), v AS (SELECT *, list_filter(list_concat([f], [forms[1], half, forms[3]]), lambda y: list_contains({_VERBS}, y))[1] AS verb FROM h)"
+    f" SELECT title, CASE WHEN length(x) < 6 OR length(x) > 70 OR {_NOISY} THEN NULL WHEN suffix(x, '?') THEN x WHEN verb IS NOT NULL THEN 'How do I ' || verb || rest || '?' WHEN len(string_split(x, ' ')) <= 5 THEN 'What is ' || x || '?' END AS question FROM v"
+)
+
 QUERIES = {f.__name__: f for f in (canonical_urls, scope_filter, unsafe_urls, noindex, crawl_outcomes, latest_pages, incremental_diff, duplicate_pages, link_frontier, crawl_preview, robots_allowed, seed_urls, paced_fetches, html_blocks, chunk_pages, render_needed, markdown_render, starters, title_questions, source_cards, chunk_sizes, limiter_state, breaker_state)}

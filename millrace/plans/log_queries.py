@@ -272,4 +272,32 @@ SQL["error_kinds"] = (
     f" if({_has(L.MODEL_SAID)}, 'model_not_found', if({_has(L.FILTER_SAID)}, 'content_filtered', 'bad_request')) AS k2 FROM b GROUP BY ALL), e(kind, a, b, c, shown_as, d) AS (VALUES {_POLICIES}) SELECT coalesce(k1, k2) AS kind, status, said, n, a::BOOLEAN AS retryable, b::BOOLEAN AS terminal, c::BOOLEAN AS auto_retry, shown_as, d::BOOLEAN AS trips FROM k LEFT JOIN e ON e.kind = coalesce(k1, k2)"
 )
 
+# guards of a rewrite: what must be kept, in SQL
+_EDGES = "^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$"
+_SPLIT = "regexp_split_to_array({q}, '[\\s\\x{00A0}\\x{FEFF}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}]+')"
+
+
+def _kept(q: str) -> str:
+    quoted = f"list_transform(regexp_extract_all({q}, '[\"''“”]([^\"''“”]{{2,60}})[\"''“”]', 1), lambda x: lower(trim(x)))"
+    plain = f"list_filter(list_transform({_SPLIT.replace('{q}', q)}, lambda w: regexp_replace(w, '^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$', '', 'g')), lambda w: length(w) >= 2)"
+    fixed = f"list_transform(list_filter({plain}, lambda w: regexp_matches(w, '^[A-Z]{{2,8}}$') OR regexp_matches(w, '[0-9]') OR regexp_matches(w, '^[A-Za-z0-9_]+[-.][A-Za-z0-9_.-]+$')), lambda w: lower(w))"
+    return f"list_filter(list_concat({quoted}, {fixed}), lambda x: x <> '')"
+
+
+_FIRST = "trim(coalesce(list_filter(string_split({r}, chr(10)), lambda x: trim(x) <> '')[1], ''))"
+
+
+def _cleaned(r: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({_FIRST.replace('{r}', r)}, '(?i)^(query|search|rewritten|output)\\s*:\\s*', ''), '^[\"''“”]+|[\"''“”]+$', '', 'g'))"
+
+
+def _reason(q: str, r: str) -> str:
+    lost = f"list_filter({_kept(q)}, lambda t: NOT (contains(lower({r}), t) OR list_contains({TOK.format(r)}, t)))[1]"
+    said = f"list_filter({TOK.format(q)}, lambda t: length(t) > 2)"
+    return f"CASE WHEN {r} = '' THEN 'empty' WHEN length({r}) > 300 THEN 'too long' WHEN length({r}) > length({q}) * 3 THEN 'grown too much' WHEN {lost} IS NOT NULL THEN 'dropped: ' || {lost} WHEN len({said}) > 0 AND NOT list_has_any({said}, {TOK.format(r)}) THEN 'no word in common' END"
+
+
+SQL["rewrite_guard"] = f"WITH {_LOG}, a AS (SELECT id, query, lead(query) OVER (PARTITION BY index_id ORDER BY at_ms, id) AS nx FROM l WHERE query IS NOT NULL), b AS (SELECT id, query, {_cleaned('nx')} AS rw FROM a WHERE nx IS NOT NULL) SELECT id, {_reason('query', 'rw')} AS reason FROM b"
+SQL["query_plans"] = f"{SQL['follow_up'].rpartition(' SELECT id, turn_no')[0]}, z AS (SELECT c.id, c.turn_no, c.question, CASE WHEN leans AND len(extra) > 0 THEN c.question || ' ' || array_to_string(extra, ' ') ELSE c.question END AS search, t.markdown, {_cleaned('t.markdown')} AS rw FROM c JOIN t USING (id, turn_no)), y AS (SELECT *, markdown IS NOT NULL AND {_reason('question', 'rw')} IS NULL AS good FROM z) SELECT id, turn_no, CASE WHEN good THEN rw ELSE search END AS plan, CASE WHEN good THEN 'model' WHEN search <> question THEN 'followup' ELSE 'raw' END AS source FROM y"
+
 QUERIES = {f.__name__: f for f in (verdict_bands, calibrate_floors, floor_sweep, recommended_floor, scatter_sweep, pii_mask, intents, follow_up, rewrite_guard, query_plans, failed_queries, gap_report, gap_csv, pick_priors, prior_boost, spend_rollup, cache_eviction, chat_sessions_latest, chat_sessions_kept, index_stats, index_freshness, probe_titles, content_hashes, content_hash_dupes, failure_streaks, outcome_counts, log_dedupe, event_sessions, event_windows, answer_coverage, refusals, error_kinds)}

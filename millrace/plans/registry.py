@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import api_queries, crawl_queries, log_queries, search_queries
+from millrace.plans import api_queries, crawl_queries, log_queries, search_queries, turn_queries
 
-_PARTS = (search_queries, log_queries, crawl_queries, api_queries)
+_PARTS = (search_queries, log_queries, crawl_queries, api_queries, turn_queries)
 
 
 def queries() -> dict:
