@@ -307,12 +307,15 @@ def crawled(pages: DataFrame, seeds: DataFrame, rules: DataFrame, agent: str, in
     fit = links(pages).filter(R.in_scope(F.col("link"), include, exclude) & ~R.acts(F.col("link")) & ~R.binary(F.col("link")))
     for d in range(depth + 1):
         now = allowed(queue.filter("status = 'queued'").select("url", R.host(F.col("url")).alias("host")), rules, agent)
-        met = now.join(pages.select(F.col("page").alias("url"), "outcome", F.col("status").alias("last_status"), "failure"), "url", "left")
-        place = F.row_number().over(Window.orderBy("url")) if most < 1 << 40 else F.lit(0)
-        good = F.col("allowed") & F.col("outcome").isin("indexed", "unchanged")
-        ranked_ = met.filter(good).select("url", place.alias("__n")).filter(F.col("__n") > most - done).select("url", F.lit(True).alias("late"))
+        met = cut(now.join(pages.select(F.col("page").alias("url"), "outcome", F.col("status").alias("last_status"), "failure"), "url", "left"))
+        good = F.col("allowed") & F.coalesce(F.col("outcome").isin("indexed", "unchanged"), F.lit(False))
+        fine = met.filter(good).select("url")
+        late = fine.limit(0)
+        if fine.count() > most - done:  # the first ones in order of URL are kept, at most as many as a crawl may have
+            late = fine.join(fine.orderBy("url").limit(max(0, most - done)), "url", "left_anti")
+        late = late.withColumn("late", F.lit(True))
         state = F.when(~F.col("allowed") | F.col("late").isNotNull() | (F.col("outcome") == "skipped"), "skipped").when(good, "done").otherwise("failed")
-        results = cut(met.join(ranked_, "url", "left").select("url", state.alias("status"), F.when(state == "failed", F.coalesce("last_status", F.lit(0))).alias("last_status"), F.when(state == "failed", F.coalesce("failure", F.when(F.col("outcome") == "auth", "forbidden"), F.lit("network"))).alias("reason"), ((state == "done") | F.coalesce((F.col("outcome") == "skipped") & F.col("allowed"), F.lit(False))).alias("harvest")))
+        results = cut(met.join(late, "url", "left").select("url", state.alias("status"), F.when(state == "failed", F.coalesce("last_status", F.lit(0))).alias("last_status"), F.when(state == "failed", F.coalesce("failure", F.when(F.col("outcome") == "auth", "forbidden"), F.lit("network"))).alias("reason"), ((state == "done") | F.coalesce((F.col("outcome") == "skipped") & F.col("allowed"), F.lit(False))).alias("harvest")))
         done += results.filter("status = 'done'").count()
         queue = marked(queue, results)
         if d < depth:

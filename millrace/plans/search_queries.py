@@ -256,7 +256,7 @@ SQL["refinements"] = (
     f"{_FIELDED}, r AS (SELECT b.*, c.url, c.title, c.heading_path FROM b JOIN c ON c.vector_id = b.id), mm AS (SELECT *, round(CASE WHEN max(score) OVER g = min(score) OVER g THEN 1 ELSE (score - min(score) OVER g) / (max(score) OVER g - min(score) OVER g) END, 9) AS s FROM r WINDOW g AS (PARTITION BY qid)), ar AS (SELECT *, min(rank) OVER (PARTITION BY qid, url) AS first FROM mm),"
     f" hd AS (SELECT qid, url, first, dense_rank() OVER (PARTITION BY qid ORDER BY first) - 1 AS article, list(title ORDER BY rank)[1] AS title, list(heading_path ORDER BY rank)[1] AS heading_path, max(s) AS sim FROM ar GROUP BY qid, url, first QUALIFY article < 8), nm AS (SELECT *, {_LABEL} AS name FROM hd),"
     " lb AS (SELECT *, CASE WHEN length(name) <= 60 THEN name WHEN strpos(reverse(name[:59]), ' ') > 0 AND 59 - strpos(reverse(name[:59]), ' ') > 36 THEN name[:59 - strpos(reverse(name[:59]), ' ')] || '…' ELSE name[:59] || '…' END AS label FROM nm WHERE name <> ''),"
-    " u1 AS MATERIALIZED (SELECT * FROM lb QUALIFY row_number() OVER (PARTITION BY qid, lower(label) ORDER BY article) = 1), pl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY article) - 1 AS place FROM u1), ok AS (SELECT qid FROM pl WHERE place < 3 GROUP BY qid HAVING count(*) = 3 AND max(sim) - min(sim) <= 0.03) SELECT qid, place, label, url FROM pl SEMI JOIN ok USING (qid) WHERE place < 3"
+    " u1 AS MATERIALIZED (SELECT * FROM lb QUALIFY row_number() OVER (PARTITION BY qid, lower(label) ORDER BY article) = 1), pl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY article) AS k FROM u1), ok AS (SELECT qid FROM pl WHERE k <= 3 GROUP BY qid HAVING count(*) = 3 AND max(sim) - min(sim) <= 0.03) SELECT qid, k - 1 AS place, label, url FROM pl SEMI JOIN ok USING (qid) WHERE k <= 3"
 )
 
 QUERIES = {f.__name__: f for f in (search_index, tokenize_tf, term_stats, bm25_topk, fielded_bm25_topk, cosine_topk, rrf_fusion, hybrid_search, rm3_terms, hybrid_search_rm3, retrieve, section_boost, articles_neighbours, article_bodies, pack_context, extractive_answer, focused_search, rerank_head, refinements, recall_hit_mrr)}
