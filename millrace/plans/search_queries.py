@@ -42,10 +42,15 @@ def _built(spark: SparkSession, d: str, name: str, build) -> object:
     """An index of the chunks is built once, as a user would, and read by every batch of questions after that."""
     key = (spark.sparkContext.applicationId, d, name, stamp(spark, f"{d}/chunks.parquet"))
     if key not in _BUILT:
-        _BUILT[key] = build(chunks(spark, d))
+        _BUILT[key] = build(chunks(spark, d) if name == "corpus" else _corpus(spark, d))
     return _BUILT[key]
 
 
+def _corpus(spark, d):
+    """One row of each chunk, as the index keeps them."""
+    return _built(spark, d, "corpus", cut)
+
+
 def _texts(spark, d):
     return _built(spark, d, "texts", lambda c: S.stored_index(c, "vector_id", {"content": F.col("text")}))
 
@@ -117,7 +122,7 @@ def hybrid_search(spark, d):
 
 
 def _feedback(spark, d, sparse):
-    texts = chunks(spark, d).select(F.col("vector_id").alias("id"), "text")
+    texts = _corpus(spark, d).select(F.col("vector_id").alias("id"), "text")
     return S.feedback_terms(sparse, texts, _terms(spark, d))
 
 
@@ -134,29 +139,29 @@ def hybrid_search_rm3(spark, d):
 
 
 def retrieve(spark, d):
-    found = S.retrieve(chunks(spark, d), questions(spark, d).select("qid", "query"), second=S.lexical_overlap, idx=_index_of(spark, d), vectors=_vectors(spark, d))
+    found = S.retrieve(_corpus(spark, d), questions(spark, d).select("qid", "query"), second=S.lexical_overlap, idx=_index_of(spark, d), vectors=_vectors(spark, d))
     return found.withColumns({"score": F.round("score", 6), "similarity": F.round("similarity", 6)})
 
 
 def _ranked_chunks(spark, d):
     """Fielded results with page and place, written once."""
-    return cut(_fielded(spark, d, L.TOP_K).join(chunks(spark, d).select(F.col("vector_id").alias("id"), "url", "chunk_pos"), "id").withColumnRenamed("id", "vector_id"))
+    return cut(_fielded(spark, d, L.TOP_K).join(_corpus(spark, d).select(F.col("vector_id").alias("id"), "url", "chunk_pos"), "id").withColumnRenamed("id", "vector_id"))
 
 
 def section_boost(spark, d):
-    found = cut(_fielded(spark, d, L.TOP_K)).join(chunks(spark, d).select(F.col("vector_id").alias("id"), "url"), "id")
+    found = cut(_fielded(spark, d, L.TOP_K)).join(_corpus(spark, d).select(F.col("vector_id").alias("id"), "url"), "id")
     current = found.filter("rank = 0").select("qid", F.col("url").alias("current"))
     scaled = S.min_max(found.withColumn("list", F.lit("sparse"))).join(current, "qid")
     return _out(S.ranked(S.boosted(scaled, [F.when(R.same_section(F.col("url"), F.col("current")), F.lit(L.SECTION_BOOST))]), L.TOP_K, ["qid"]))
 
 
 def articles_neighbours(spark, d):
-    found = A.passages(_ranked_chunks(spark, d), chunks(spark, d), whole=False)
+    found = A.passages(_ranked_chunks(spark, d), _corpus(spark, d), whole=False)
     return found.select("qid", F.col("article").cast("long").alias("article"), "vector_id", F.round("score", 6).alias("score"), "via_neighbour")
 
 
 def _articles(spark, d, ranked=None):
-    return A.bodies(A.passages(_ranked_chunks(spark, d) if ranked is None else ranked, chunks(spark, d)), chunks(spark, d))
+    return A.bodies(A.passages(_ranked_chunks(spark, d) if ranked is None else ranked, _corpus(spark, d)), _corpus(spark, d))
 
 
 def article_bodies(spark, d):
@@ -170,25 +175,25 @@ def pack_context(spark, d):
 def extractive_answer(spark, d):
     ranked = _ranked_chunks(spark, d)
     packed = A.pack(_articles(spark, d, ranked), 4, 1 << 60)
-    titles = ranked.join(chunks(spark, d).select("vector_id", F.coalesce(F.nullif("title", F.lit("")), "heading_path", F.lit("Untitled")).alias("title")), "vector_id")
+    titles = ranked.join(_corpus(spark, d).select("vector_id", F.coalesce(F.nullif("title", F.lit("")), "heading_path", F.lit("Untitled")).alias("title")), "vector_id")
     titles = A.article_order(titles, 4).groupBy("qid", "article").agg(F.min_by("title", "rank").alias("title"))
     return A.answers(A.best_sentences(packed, questions(spark, d).select("qid", "query")), titles)
 
 
 def focused_search(spark, d):
     """Every question scoped to the page of the first chunk: all of that page's chunks, the found ones first."""
-    url = chunks(spark, d).orderBy("vector_id").first()["url"]
-    found = A.page_scope(cut(_fielded(spark, d, L.TOP_K)).withColumnRenamed("id", "vector_id"), chunks(spark, d), url)
+    url = _corpus(spark, d).orderBy("vector_id").first()["url"]
+    found = A.page_scope(cut(_fielded(spark, d, L.TOP_K)).withColumnRenamed("id", "vector_id"), _corpus(spark, d), url)
     return found.select("qid", "vector_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 def rerank_head(spark, d):
-    found = _fielded(spark, d, L.TOP_K).join(chunks(spark, d).select(F.col("vector_id").alias("id"), "body"), "id").join(questions(spark, d).select("qid", "query"), "qid")
+    found = _fielded(spark, d, L.TOP_K).join(_corpus(spark, d).select(F.col("vector_id").alias("id"), "body"), "id").join(questions(spark, d).select("qid", "query"), "qid")
     return _out(S.rerank(found, S.lexical_overlap(F.col("query"), F.col("body"))))
 
 
 def refinements(spark, d):
-    found = _ranked_chunks(spark, d).join(chunks(spark, d).select("vector_id", "title", "heading_path"), "vector_id")
+    found = _ranked_chunks(spark, d).join(_corpus(spark, d).select("vector_id", "title", "heading_path"), "vector_id")
     heads = A.article_order(S.min_max(found.withColumn("list", F.lit("s"))).withColumn("score", F.round("score", 9)))
     one = heads.groupBy("qid", "article", "url").agg(F.min_by("title", "rank").alias("title"), F.min_by("heading_path", "rank").alias("heading_path"), F.max("best").alias("similarity"))
     return D.refinements(one).withColumn("place", F.col("place").cast("long"))
@@ -196,7 +201,7 @@ def refinements(spark, d):
 
 def recall_hit_mrr(spark, d):
     """Known-item questions: each chunk's own title of every hundredth id, all chunks with that title being relevant."""
-    c = chunks(spark, d)
+    c = _corpus(spark, d)
     asked = c.filter("vector_id % 100 = 0 and title is not null").select(F.col("vector_id").alias("qid"), F.col("title").alias("query"))
     terms = S.query_terms(asked, "qid", F.col("query"))
     found = S.bm25(_texts(spark, d), terms, L.TOP_K)
