@@ -262,77 +262,47 @@ def test_junk_by_class_and_id():
     assert H.page_of('<link rel="canonical" href="/a"><time datetime="2024">', "https://h/b")["canonical"] == "https://h/a"
 
 
-def plain_passages(blocks, title, crumbs):
-    """The rules of passages, one unit after another."""
-    out, heads, held, total = [], [], [], 0
-
-    def close(carry):
-        nonlocal held, total
-        if "\n\n".join(held).strip():
-            path = K.path_of([*crumbs, *(h[1] for h in heads)])
-            out.append(("\n\n".join(held).strip(), path, heads[-1][2] if heads else None))
-        held, total = ([carry], K.size(carry)) if carry else ([], 0)
-
-    def cut(text):
-        words, line = [], []
-        for s in K.sentences(text):
-            if K.size(s) <= 350:
-                words.append(s)
-                continue
-            line, n = [], 0
-            for w in s.split():
-                if K.size(w) > 350:
-                    words += ([" ".join(line)] if line else []) + [w[k : k + 1312] for k in range(0, len(w), 1312)]
-                    line, n = [], 0
-                else:
-                    if n and n + K.size(w) > 350:
-                        words.append(" ".join(line))
-                        line, n = [], 0
-                    line.append(w)
-                    n += K.size(w)
-            words += [" ".join(line)] if line else []
-        pieces, now, n = [], [], 0
-        for w in words:
-            if n and n + K.size(w) > 350:
-                pieces.append(" ".join(now))
-                now, n = [], 0
-            now.append(w)
-            n += K.size(w)
-        return pieces + [" ".join(now)]
-
-    for b in blocks:
-        if b["type"] == "heading":
-            if total:
-                close("")
-            heads[:] = [h for h in heads if h[0] < (b["level"] or 2)] + [(b["level"] or 2, b["text"], b["anchor"])]
-            continue
-        for text in cut(b["text"]) if b["type"] == "paragraph" and K.size(b["text"]) > 350 else [b["text"]]:
-            whole = b["type"] != "paragraph"
-            if total and total + K.size(text) > 400:
-                close("" if whole else K._tail(" ".join(held)))
-            held.append(text)
-            total += K.size(text)
-            if not whole and total >= 350:
-                close(K._tail(text))
-    if total:
-        close("")
-    if len(out) > 1 and K.size(page := "\n\n".join(o[0] for o in out)) < 120:
-        return [(page, " > ".join(x for x in [*crumbs, title] if x) or out[0][1], out[0][2])]
-    return out
+def bodies_by_definition(units, carried="", put_off=False):
+    """The passages of units (text, loose): of all places where a passage may end, the first."""
+    if not units and not carried:
+        return []
+    join = lambda j: ([carried] if carried else []) + [t for t, _ in units[:j]]
+    for j in range(len(units) + 1):
+        n = sum(map(K.size, join(j)))
+        if j and units[j - 1][1] and n >= 350:
+            return ["\n\n".join(join(j))] + bodies_by_definition(units[j:], K._tail(units[j - 1][0]))
+        if j < len(units) and n and n + K.size(units[j][0]) > 400 and (j or not put_off):
+            return ["\n\n".join(join(j))] + bodies_by_definition(units[j:], K._tail(" ".join(join(j))) if units[j][1] else "", True)
+    return ["\n\n".join(join(len(units)))]
+
+
+def random_blocks(r):
+    words = ["a", "word", "longer-word", "z" * 1400, "x" * 3000, "end.", "why?", "だ。"]
+    for _ in range(r.randint(0, 25)):
+        kind = r.choice(["heading", "paragraph", "paragraph", "paragraph", "list", "code"])
+        n = r.choice([1, 3, 30, 120, 300, 900]) if kind != "heading" else 3
+        yield {"type": kind, "text": " ".join(r.choices(words, [30, 30, 10, 0.05, 0.05, 6, 2, 2], k=n)), "level": r.choice([None, 1, 2, 3]), "anchor": r.choice([None, "x", "y"])}
+
+
+def test_units_lose_nothing_and_are_as_large_as_they_may_be():
+    r = random.Random(8)
+    for _ in range(200):
+        for block in random_blocks(r):
+            section = K.Section([])
+            section.add(block)
+            assert "".join("".join(section.texts).split()) == "".join(block["text"].split())
+            if block["type"] != "paragraph" or K.size(block["text"]) <= 350:
+                assert section.texts == [block["text"]]
+            for one, after in zip(section.texts, section.texts[1:]):
+                assert K.size(one) <= 350 and K.size(one) + K.size(after) > 175
 
 
 def test_passages_follow_the_rules():
     r = random.Random(9)
-    words = ["a", "word", "longer-word", "z" * 1400, "x" * 3000, "end.", "why?", "だ。"]
     for _ in range(300):
-        blocks = []
-        for _ in range(r.randint(0, 25)):
-            kind = r.choice(["heading", "paragraph", "paragraph", "paragraph", "list", "code"])
-            n = r.choice([1, 3, 30, 120, 300, 900]) if kind != "heading" else 3
-            text = " ".join(r.choices(words, [30, 30, 10, 0.05, 0.05, 6, 2, 2], k=n))
-            blocks.append({"type": kind, "text": text, "level": r.choice([None, 1, 2, 3]), "anchor": r.choice([None, "x", "y"])})
-        got = [(p["body"], p["heading_path"], p["anchor"]) for p in K.passages(blocks, "T", ["Home", "home"])]
-        assert got == plain_passages(blocks, "T", ["Home", "home"])
+        found = K.sections(list(random_blocks(r)))
+        for section in found:
+            assert section.bodies() == bodies_by_definition(list(zip(section.texts, section.loose)))
 
 
 def test_rendering():
