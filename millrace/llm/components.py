@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import cut
+from millrace.session import cut, release
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -13,7 +13,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternates two star contractions until nothing changes: every id hands its larger neighbours to the smallest one,
     then its smaller ones. Minima are summed up before their shuffle, so an id with very many links is no hot group;
-    each round is written to the shared folder. Links with a null end are left out. The driver sees two numbers a round.
+    each round is written to the shared folder, and the one before removed. Links with a null end are left out. The driver sees two numbers a round.
     """
     edges = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None
@@ -24,7 +24,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = cut(small)
+        before, edges = edges, cut(small)
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
