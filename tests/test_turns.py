@@ -103,6 +103,15 @@ def test_crawl_keeps_to_limits(spark):
     assert (got["a"], got["b"], got["d"]) == ("done", "done", "skipped")
 
 
+def test_what_lies_under_a_root(spark):
+    urls = ["https://h/hc", "https://h/hc/", "https://H/hc/a", "https://h/hcx", "https://g/hc/a", "https://h", "https://h/", None]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    for root, bare in (("https://h/hc", True), ("https://h/hc/", False)):
+        assert [r[0] for r in df.select(api.under_root(F.col("u"), root)).collect()] == [bare, True, True, False, False, False, False, False]
+    for root in ("https://h", "https://h/"):
+        assert [r[0] for r in df.select(api.under_root(F.col("u"), root)).collect()] == [True, True, True, True, False, True, True, False]
+
+
 def test_render_budget_and_ceiling(spark):
     helped = [True, False, False, True, False, False, False, True, True]
     df = spark.createDataFrame([("h", k, h) for k, h in enumerate(helped)], "h string, k int, helped boolean")
