@@ -77,3 +77,24 @@ def test_cosine_in_blocks_with_ties_and_void_queries(spark, monkeypatch, block):
     got = sorted((x.qid, x.id, x.score, x["rank"]) for x in S.cosine(vectors, queries, 9).collect())
     want = [(a, int(b), float(v[b] @ q[a]), n) for a in range(len(q)) for n, b in enumerate(sorted(range(len(v)), key=lambda i: (-(v[i] @ q[a]), i))[:9])]
     assert got == sorted(want)
+
+
+def test_products_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(scans, "BLOCK", 2)
+    v, q = np.arange(24.0).reshape(8, 3), np.arange(15.0).reshape(5, 3) - 4
+    vectors = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    queries = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(q)], "qid long, v array<double>")
+    pairs = [(a, b) for a in range(5) for b in range(8) if (a + b) % 3]
+    got = sorted((x.qid, x.id, x.near) for x in S.pair_products(vectors, queries, spark.createDataFrame(pairs, "qid long, id long")).collect())
+    assert got == [(a, b, float(v[b] @ q[a])) for a, b in pairs]
+
+
+@pytest.mark.parametrize("name", ["retrieve", "grounded_prompts", "source_cards", "answer_batch", "answer_events", "focused_answers"])
+def test_all_logged_questions_are_asked(spark, small, name):
+    from millrace.plans import registry
+
+    asked = {r.id for r in spark.read.parquet(f"{small}/query_log.parquet").filter("query is not null and id is not null").select("id").distinct().collect()}
+    got = {r.qid for r in registry.queries()[name](spark, small).select("qid").distinct().collect()}
+    assert got <= asked and len(got) > 0.5 * len(asked)
+    if name in ("answer_batch", "focused_answers"):
+        assert got == asked
