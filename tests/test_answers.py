@@ -71,3 +71,11 @@ def test_answers_with_ranked_chunks_in_blocks_are_the_same(spark, tables):
     for pack in ("extractive", "small"):
         got = sorted(map(str, api.answer(chunks, asked, 0.2, 0.4, pack).collect()))
         assert got == sorted(map(str, api.answer(chunks, asked, 0.2, 0.4, pack, priors=spark.createDataFrame([], "qid long, url string, boost double")).collect()))
+
+
+def test_a_picked_page_is_not_shuffled_to_its_questions(spark, tables):
+    """All questions ask for one page, so it goes to them; else one task would have the work of all."""
+    chunks, asked = tables
+    heads = S.heads(chunks, asked, 4, A.places(chunks, "https://h/3"))
+    plan = A.passage_bodies(heads, chunks, "https://h/3")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
