@@ -79,3 +79,10 @@ def test_a_picked_page_is_not_shuffled_to_its_questions(spark, tables):
     heads = S.heads(chunks, asked, 4, A.places(chunks, "https://h/3"))
     plan = A.passage_bodies(heads, chunks, "https://h/3")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_events_are_of_every_question_though_words_are_asked_once(spark, tables):
+    chunks, asked = tables
+    rows = api.answer_events(api.answer(chunks, asked, 0.0, 0.9)).collect()
+    of = lambda q: sorted((r.n, r.kind, r.detail) for r in rows if r.qid == q)
+    assert of(92) == of(93) and [k for _, k, _ in of(92)][-1] == "done"
