@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import api
+from millrace.functions import text as X
 from millrace.operators import articles as A
 from millrace.operators import search as S
 from millrace.session import cut
@@ -108,3 +109,22 @@ def test_a_picked_page_needs_rankings_only_of_questions_near_it(spark, tables, m
         assert not alike or floor < 0.7 or some < len(ASKED) / 2
         assert not alike or floor < 1 or not some
     assert {"confident", "uncertain"} <= certain
+
+
+def test_vectors_count_tokens_and_first_letters(spark):
+    texts = ["abcde ab abcde", None, "", "abcdef abcd"]
+    got = {r.id: r.v for r in S.hashed_vectors(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", F.col("text"), 16).collect()}
+    for n, t in enumerate(texts):
+        want = [0.0] * 16
+        for token in (t or "").split():
+            for part in (token, token[:4]) if len(token) > 4 else (token,):
+                want[int(X.fnv_of(part), 16) % 16] += 1
+        norm = sum(x * x for x in want) ** 0.5 or 1
+        assert got[n] == pytest.approx([x / norm for x in want], abs=1e-6)
+
+
+def test_a_picked_page_is_cut_into_sentences_once(spark, tables):
+    chunks, asked = tables
+    heads = S.heads(chunks, asked, 4, A.places(chunks, "https://h/3"))
+    got, want = (sorted((r.qid, r.body, r.first_body, r.excerpt) for r in A.excerpted(m).collect()) for m in (A.whole_page(heads, chunks, "https://h/3"), A.passage_bodies(heads, chunks, "https://h/3")))
+    assert got == want and len(got) == len(ASKED)
