@@ -100,3 +100,27 @@ def test_all_logged_questions_are_asked(spark, small, name):
     assert got <= asked and len(got) > 0.5 * len(asked)
     if name in ("answer_batch", "focused_answers"):
         assert got == asked
+
+
+@pytest.mark.parametrize("first, k", [(64, 7), (4096, 7), (64, 400)])
+def test_vectors_of_counts_are_summed_in_short_numbers(monkeypatch, first, k):
+    """The best rows are those of exact products, with ties by id; vectors that aren't counts, and empty ones, are there too."""
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(scans, "FIRST", first)
+    draw = np.random.default_rng(5)
+    docs = draw.integers(0, 3, (900, 32)) * (draw.random((900, 32)) < 0.5)
+    docs[500:600] = docs[100:200]
+    docs = (docs / np.maximum(np.linalg.norm(docs, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    asked = (draw.integers(1, 3, (60, 32)) * (draw.random((60, 32)) < 0.2)).astype(float)
+    asked[7], asked[8], asked[9] = 0, draw.random(32), -asked[9]
+    asked = (asked / np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-12)).astype(np.float32).astype(float)
+    counts = scans.Counts(asked, np.flatnonzero(asked.any(axis=1)))
+    assert len(counts.q) == 57 and set(counts.rest.tolist()) == {8, 9}
+    ids = draw.permutation(900).astype(np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 130]), pa.array(list(docs[a : a + 130]), pa.list_(pa.float32()))], ["id", "v"]) for a in range(0, 900, 130)]
+    got = [r for b in scans.nearest(SimpleNamespace(value=(np.arange(60), asked)), k, True)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    product = np.round(asked @ docs.astype(float).T, 9)
+    want = [(q, int(ids[i]), n) for q in range(60) for n, i in enumerate(np.lexsort((ids, -scans.rounded(product[q])))[:k])]
+    assert sorted((q, i, n) for q, i, _, n in got) == sorted(want)
